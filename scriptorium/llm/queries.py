@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_quality, fingerprints, mixing, packing, rule_lists, sharding, token_counts, warc
+from . import compression_quality, fingerprints, jaccard_join, mixing, packing, rule_lists, sharding, token_counts, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -26,6 +26,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), capacity=1024)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    how = jaccard_join.Likeness(size=4, percent=85, lower=True)
+    return jaccard_join.join(_documents(spark, sf_dir), how)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(_documents(spark, sf_dir).select("doc_id", "text"), limit=16 << 20)
     return out.select("doc_id", "n_bytes", "shard", "depth", "page")
@@ -63,7 +68,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op3_sharding, op4_warc, op5_token_counts, op7_fingerprints, op8_mixing, op9_compression_quality, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_jaccard_join, op3_sharding, op4_warc, op5_token_counts, op7_fingerprints, op8_mixing, op9_compression_quality, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
