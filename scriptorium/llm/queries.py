@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_quality, fingerprints, jaccard_join, mixing, packing, rule_lists, sharding, token_counts, warc
+from . import compression_quality, fingerprints, jaccard_join, mixing, packing, rule_lists, sharding, suffix_dedup, token_counts, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -45,6 +45,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.spans(_documents(spark, sf_dir), length=400)
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.likeness_to_edited(_documents(spark, sf_dir))
 
@@ -68,7 +72,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_jaccard_join, op3_sharding, op4_warc, op5_token_counts, op7_fingerprints, op8_mixing, op9_compression_quality, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_jaccard_join, op3_sharding, op4_warc, op5_token_counts, op6_suffix_dedup, op7_fingerprints, op8_mixing, op9_compression_quality, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
