@@ -1,12 +1,58 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read again."""
+"""The corpus pipeline: five stages over `documents`, each written as Parquet and read again.
+
+Each stage works on all rows that the one before it kept. All but the last
+return the columns of `documents`:
+
+1. quality_rules: documents that the base test or the learned rules reject go.
+2. jaccard_join: of each component of near copies (five-word shingles,
+   similarity 0.8 or more) the document with the smallest doc_id stays.
+3. suffix_dedup: passages of `PASSAGE_BYTES` bytes that also start anywhere else
+   are cut out of the texts (about 45 words; a run of over 50 repeated words is longer).
+4. mixing: rows are written in the order of the Pfair schedule of their sources.
+5. packing: pieces of sequences of at most 1024 tokens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scriptorium.llm import jaccard_join, mixing, packing, rule_lists, suffix_dedup
 from scriptorium.llm.common import stash
+from scriptorium.llm.queries import tokenizer_path
+
+PASSAGE_BYTES = 256
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rules = rule_lists.learn_from(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return rule_lists.apply_rules(docs, rules).where("kept").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.keep_one(docs, jaccard_join.Likeness(size=5, percent=80))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(docs, length=PASSAGE_BYTES)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ordered = mixing.mix(docs).repartitionByRange("slot", "rank").sortWithinPartitions("slot", "rank")
+    return ordered.select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), capacity=1024)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("jaccard_join", near_copies),
+    ("suffix_dedup", repeated_passages),
+    ("mixing", mixture),
+    ("packing", packed),
+]
+#: Learned rules and tokenizers can't be expressed in SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -329,8 +329,10 @@ def join(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
 
 def keep_one(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     """The rows of `docs` without near copies: of each component the one with the smallest doc_id, of
-    repeated rows one; null doc_id stay."""
+    rows with equal doc_id and text one; else null doc_id stay."""
     linked = join(docs.select("doc_id", "text"), how)
     gone = linked.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.dropDuplicates(kept.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if linked.groupBy("doc_id").agg(F.count("*").alias("rows")).where(F.col("rows") > 1).isEmpty():
+        return kept
+    return kept.dropDuplicates(["doc_id", "text"])
