@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 #: Bytes of text that one vectorised step works on; bounds a Python worker's memory.
 SLICE_BYTES = 2 << 20
 
@@ -58,6 +60,7 @@ def forget(*tables: DataFrame) -> None:
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Bound the Arrow batches that go to Python workers (rows; long texts also by bytes)."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

@@ -10,12 +10,13 @@ A document's set holds 64-bit hashes of its distinct shingles. The steps:
 3. Documents with equal sets are one class; classes with equal prefix and size are one
    group, and only groups go through the join.
 4. Shingles of the groups' prefixes are dealt and sorted; a list (the groups
-   that share one) of up to `SHORT` groups gives its pairs that pass the length filter. A
-   longer one only links neighbours in size and a few pivots.
-5. Group pairs are expand to pairs of their members, and these are verified on the
+   that share one) of up to `SHORT` groups gives its pairs that pass the positional filter (what
+   is left of both sets from the shared shingle on must be enough; it implies the length filter). A
+   longer one only links neighbours in size, and all with a few pivots: those with the least before the shingle.
+5. Group pairs are expanded to pairs of their members, and these are verified on the
    whole texts' sets. Verified links give components.
 6. Long lists and large groups whose members are not in one component by now are
-   settled exactly: all their pairs across components that pass the length filter are verified.
+   settled exactly: all their pairs across components that pass the positional filter are verified.
    Pairs inside a component need no look, as they cannot change it. So no pair
    within a group of copies is enumerated, and no link between components is lost.
 
@@ -45,6 +46,8 @@ SKETCH_BITS = 18
 _SLICES = 16
 #: Groups up to which a list gives all its pairs, and members up to which a group does.
 SHORT, SMALL_GROUP = 64, 16
+#: Entries of a long list that all others are compared with at once.
+PIVOTS = 3
 #: Rows of one list that are held at once.
 _HELD = 1 << 20
 _NULL_ID = 1 << 62
@@ -137,93 +140,94 @@ def _prefixes(docs: DataFrame, how: Likeness, sketch: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, node long, n long, set_key binary, group_key binary, prefix array<long>")
 
 
-def _list_pairs(percent: int):
-    """Pairs of the sorted lists: a < b; rows of long lists come again as (member, null, list)."""
+def _list_pairs(how: Likeness):
+    """Pairs of the sorted lists: a < b; rows of long lists come again as (member, null, list, place in its prefix)."""
 
-    def emit(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.minimum(a, b), np.maximum(a, b)
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether two entries (group, size, place) can be alike with this as their first common shingle."""
+        room = np.minimum(x[:, 1] - x[:, 2], y[:, 1] - y[:, 2])
+        return (x[:, 0] != y[:, 0]) & (room * (100 + how.percent) >= how.percent * (x[:, 1] + y[:, 1]))
 
-    def settled(tok: np.ndarray, gid: np.ndarray, n: np.ndarray, known: tuple | None) -> tuple[list, list, tuple | None]:
+    def pairs_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        ok = near(x, y)
+        return np.sort(np.stack([x[ok, 0], y[ok, 0]], axis=1), axis=1)
+
+    def long_list(own: np.ndarray, known: tuple | None) -> tuple[list, tuple]:
+        """Pairs with neighbours in size and with the pivots: the entries with the least before the shingle."""
+        if known is None:
+            known = own[np.lexsort((own[:, 0], own[:, 2]))[:PIVOTS]], own[:1]
+        pivots, before = known
+        chain = np.concatenate([before, own])
+        pairs = [pairs_of(chain[:-1], chain[1:]), *(pairs_of(np.broadcast_to(p, own.shape), own) for p in pivots)]
+        return pairs, (pivots, own[-1:])
+
+    def settled(tok: np.ndarray, entries: np.ndarray, known: tuple | None) -> tuple[list, list, tuple | None]:
         """Pairs and long rows of whole lists, or of a part of one list (known: its pivots and last row)."""
         change = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
         length = np.diff(np.concatenate([change, [len(tok)]]))
         per_row = np.repeat(length, length)
         long_row = (per_row > SHORT) | (known is not None)
-        pairs, rows = [], []
+        pairs, rows, last = [], [], None
         mask = (per_row > 1) & ~long_row
-        t, g, k = tok[mask], gid[mask], n[mask]
+        t, e = tok[mask], entries[mask]
         for d in range(1, SHORT):
             same = np.flatnonzero(t[d:] == t[:-d])
             if not len(same):
                 break
-            same = same[100 * k[same] >= percent * k[same + d]]
-            keep = g[same] != g[same + d]
-            pairs.append(emit(g[same][keep], g[same + d][keep]))
-        last = None
+            pairs.append(pairs_of(e[same], e[same + d]))
         if long_row.any():
             for at, size in zip(change.tolist(), length.tolist()):
-                if size <= SHORT and known is None:
-                    continue
-                own, sizes = gid[at : at + size], n[at : at + size]
-                pivots, before = known if known is not None else (np.unique([own[0], own[size // 2], own.min()]), own[:1])
-                chain = np.concatenate([before, own])
-                pairs.append(emit(chain[:-1], chain[1:]))
-                pairs.extend(emit(np.full(size, p), own) for p in pivots)
-                rows.append((own, np.full(size, tok[at])))
-                last = (pivots, own[-1:])
+                if size > SHORT or known is not None:
+                    own = entries[at : at + size]
+                    found, last = long_list(own, known)
+                    pairs += found
+                    rows.append(np.column_stack([own[:, 0], np.full(size, tok[at]), own[:, 2]]))
         return pairs, rows, last
 
     def batch_of(pairs: list, rows: list) -> Iterator[pa.RecordBatch]:
-        a = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.int64)
-        b = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, np.int64)
-        found = np.unique(np.stack([a, b], axis=1)[a != b], axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        member = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.int64)
-        of = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, np.int64)
-        if len(found) + len(member):
+        found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+        entries = np.concatenate(rows) if rows else np.zeros((0, 3), np.int64)
+        n, m = len(found), len(entries)
+        if n + m:
+            gap = lambda size: pa.nulls(size, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([found[:, 0], member])),
-                    pa.concat_arrays([pa.array(found[:, 1]), pa.nulls(len(member), pa.int64())]),
-                    pa.concat_arrays([pa.nulls(len(found), pa.int64()), pa.array(of)]),
+                    pa.array(np.concatenate([found[:, 0], entries[:, 0]])),
+                    pa.concat_arrays([pa.array(found[:, 1]), gap(m)]),
+                    pa.concat_arrays([gap(n), pa.array(entries[:, 1])]),
+                    pa.concat_arrays([gap(n), pa.array(entries[:, 2])]),
                 ],
-                names=["a", "b", "list"],
+                names=["a", "b", "list", "place"],
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size, known = 0, None
 
         def flush(final: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, size, known
-            tok, gid, n = (np.concatenate([h[k] for h in held]) for k in range(3))
-            end = len(tok) if final else int(np.searchsorted(tok, tok[-1]))  # the last list may go on
-            partial = end == 0 and len(tok) >= _HELD
+            tok, entries = (np.concatenate([h[k] for h in held]) for k in (0, 1))
             if known is not None and tok[0] != known[2]:
                 known = None
             if known is not None:  # the rest of a list whose start is gone
                 cut = int(np.searchsorted(tok, tok[0], "right"))
-                pairs, rows, last = settled(tok[:cut], gid[:cut], n[:cut], known[:2])
+                pairs, rows, last = settled(tok[:cut], entries[:cut], known[:2])
                 yield from batch_of(pairs, rows)
                 known = (*last, tok[0]) if cut == len(tok) and not final else None
-                tok, gid, n = tok[cut:], gid[cut:], n[cut:]
-                end = max(0, end - cut)
-                held, size = ([(tok, gid, n)] if len(tok) else []), len(tok)
-                if not len(tok):
-                    return
-                partial = False
-            if partial:
-                pairs, rows, last = settled(tok, gid, n, None)
+                tok, entries = tok[cut:], entries[cut:]
+            end = len(tok) if final else int(np.searchsorted(tok, tok[-1])) if len(tok) else 0  # the last list may go on
+            if end == 0 and len(tok) >= _HELD:
+                pairs, rows, last = settled(tok, entries, None)
                 yield from batch_of(pairs, rows)
-                known, held, size = (*last, tok[0]), [], 0
-                return
-            if end:
-                pairs, rows, _ = settled(tok[:end], gid[:end], n[:end], None)
+                known, end = (*last, tok[0]), len(tok)
+            elif end:
+                pairs, rows, _ = settled(tok[:end], entries[:end], None)
                 yield from batch_of(pairs, rows)
-            held, size = ([(tok[end:], gid[end:], n[end:])] if end < len(tok) else []), len(tok) - end
+            held, size = ([(tok[end:], entries[end:])] if end < len(tok) else []), len(tok) - end
 
         for batch in batches:
             if len(batch):
-                held.append(tuple(batch.column(k).to_numpy() for k in range(3)))
+                held.append((batch.column(0).to_numpy(), np.column_stack([batch.column(k).to_numpy() for k in (1, 2, 3)])))
                 size += len(batch)
             if size >= 1 << 17 and (len(held) > 8 or size >= _HELD):
                 yield from flush(False)
@@ -233,8 +237,8 @@ def _list_pairs(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, how: Likeness) -> DataFrame:
-    """Those of the pairs (a, b) whose texts' sets are alike enough."""
+def _verified(pairs: DataFrame, texts: DataFrame, how: Likeness) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are alike enough; `texts` has _id and _text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,7 +262,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, how: Likeness) -> DataFrame:
             mask = np.array(keep, bool)
             yield pa.RecordBatch.from_arrays([pa.array(ids[0][mask]), pa.array(ids[1][mask])], names=["a", "b"])
 
-    texts = docs.select(_node().alias("_id"), document_text().alias("_text"))
     left = pairs.join(texts, F.col("a") == F.col("_id")).select("a", "b", F.col("_text").alias("x"))
     both = left.join(texts, F.col("b") == F.col("_id")).select("a", "b", "x", F.col("_text").alias("y"))
     return both.mapInArrow(run, "a long, b long").distinct()
@@ -278,10 +281,11 @@ def join(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     # lists of groups by prefix shingle
     heads = members.where(F.col("cls") == F.col("gid")).select(F.col("gid").alias("node"), "n")
     tokens = table.where(F.col("n") > 0).select("node", "prefix").join(heads, "node")
-    tokens = tokens.select(F.explode("prefix").alias("tok"), F.col("node").alias("gid"), "n")
+    tokens = tokens.select(F.posexplode("prefix").alias("place", "tok"), F.col("node").alias("gid"), "n")
+    tokens = tokens.select("tok", "gid", "n", F.col("place").cast("long").alias("place"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     dealt = tokens.repartition("tok").sortWithinPartitions("tok", "n", "gid")
-    found = stash(dealt.mapInArrow(_list_pairs(how.percent), "a long, b long, list long").distinct(), "lists")
+    found = stash(dealt.mapInArrow(_list_pairs(how), "a long, b long, list long, place long").distinct(), "lists")
     small_batches(spark, 512)
     pairs = found.where(F.col("list").isNull()).select("a", "b")
 
@@ -298,25 +302,38 @@ def join(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     inside = inner.select("gid", F.col("cls").alias("a")).join(inner.select("gid", F.col("cls").alias("b")), "gid").where(F.col("a") < F.col("b")).select("a", "b")
     star = members.where((F.col("size") > SMALL_GROUP) & (F.col("cls") != F.col("gid"))).select(F.col("gid").alias("a"), F.col("cls").alias("b"))
     first = few.unionByName(stars).unionByName(inside).unionByName(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
-    links = stash(_verified(first, docs, how), "links")
-    labels = stash(components(links), "labels")
+    first = stash(first, "pairs")
 
     # what is still open: lists, group pairs and groups that were not looked at pair by pair
-    open_lists = found.where(F.col("list").isNotNull()).select("list", F.col("a").alias("gid"))
-    key = F.xxhash64(F.lit("pair"), "a", "b")
-    open_lists = open_lists.unionByName(many.select(key.alias("list"), F.col("a").alias("gid"))).unionByName(many.select(key.alias("list"), F.col("b").alias("gid")))
-    open_lists = open_lists.unionByName(sizes.where(F.col("size") > SMALL_GROUP).select(F.xxhash64(F.lit("group"), "gid").alias("list"), "gid"))
-    rest = open_lists.join(members.select("gid", "cls", "n"), "gid").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-    rest = stash(rest.select("list", "cls", "n", F.coalesce("component", "cls").alias("component")), "open")
+    open_lists = found.where(F.col("list").isNotNull()).select("list", F.col("a").alias("gid"), "place")
+    whole_set = F.lit(0).cast("long").alias("place")
+    key = F.xxhash64(F.lit("pair"), "a", "b").alias("list")
+    open_lists = open_lists.unionByName(many.select(key, F.col("a").alias("gid"), whole_set)).unionByName(many.select(key, F.col("b").alias("gid"), whole_set))
+    open_lists = open_lists.unionByName(sizes.where(F.col("size") > SMALL_GROUP).select(F.xxhash64(F.lit("group"), "gid").alias("list"), "gid", whole_set))
+    open_rows = open_lists.join(members.select("gid", "cls", "n"), "gid").select("list", "cls", "n", (F.col("n") - F.col("place")).alias("room"))
+    # entries too late in their prefix for any partner of the list
+    least = open_rows.groupBy("list").agg(F.min("n").alias("least"))
+    fits = lambda room, n, m: room * (100 + how.percent) >= how.percent * (n + m)
+    open_rows = open_rows.join(least, "list").where(fits(F.col("room"), F.col("n"), F.col("least"))).drop("least")
+    open_rows = stash(open_rows.distinct(), "open")
+
+    wanted = first.select(F.col("a").alias("_id")).unionByName(first.select(F.col("b").alias("_id"))).unionByName(open_rows.select(F.col("cls").alias("_id"))).distinct()
+    texts = docs.select(_node().alias("_id"), document_text().alias("_text")).join(wanted, "_id", "left_semi")
+    texts = stash(texts, "texts")
+    links = stash(_verified(first, texts, how), "links")
+    labels = stash(components(links), "labels")
+
+    rest = open_rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+    rest = stash(rest.select("list", "cls", "n", "room", F.coalesce("component", "cls").alias("component")), "open")
     mixed = rest.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") != F.col("high")).select("list")
     rest = stash(rest.join(mixed, "list", "left_semi"), "open")
     if not rest.isEmpty():
-        x = rest.select("list", F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_of"))
-        y = rest.select("list", F.col("cls").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_of"))
-        near = (100 * F.col("a_n") >= how.percent * F.col("b_n")) & (100 * F.col("b_n") >= how.percent * F.col("a_n"))
+        x = rest.select("list", F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("room").alias("a_room"), F.col("component").alias("a_of"))
+        y = rest.select("list", F.col("cls").alias("b"), F.col("n").alias("b_n"), F.col("room").alias("b_room"), F.col("component").alias("b_of"))
+        near = fits(F.least("a_room", "b_room"), F.col("a_n"), F.col("b_n"))
         across = x.join(y, "list").where((F.col("a") < F.col("b")) & (F.col("a_of") != F.col("b_of")) & near).select("a", "b").distinct()
         across = across.join(first, ["a", "b"], "left_anti")
-        links = stash(links.unionByName(_verified(across, docs, how)), "links")
+        links = stash(links.unionByName(_verified(across, texts, how)), "links")
         labels = stash(components(links), "labels")
 
     degree = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
