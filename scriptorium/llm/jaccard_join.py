@@ -267,6 +267,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, how: Likeness) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def _one_document(table: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of rows that share a doc_id but not a set."""
+    own = F.xxhash64("set_key")
+    several = table.where(F.col("n") > 0).groupBy("node").agg(F.min(own).alias("low"), F.max(own).alias("high")).where(F.col("low") != F.col("high")).select("node")
+    several = stash(several, "several")
+    if several.isEmpty():
+        return table.sparkSession.createDataFrame([], "a long, b long")
+    rows = table.where(F.col("n") > 0).join(several, "node", "left_semi").select("node", "set_key").join(classes.select("set_key", "cls"), "set_key")
+    first = rows.groupBy("node").agg(F.min("cls").alias("a"))
+    return rows.join(first, "node").select("a", F.col("cls").alias("b")).where(F.col("a") != F.col("b")).distinct()
+
+
 def join(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of every row: its set's size, its component's smallest
     doc_id, and the verified links of its class of equal sets that the join looked at."""
@@ -321,7 +333,8 @@ def join(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     texts = docs.select(_node().alias("_id"), document_text().alias("_text")).join(wanted, "_id", "left_semi")
     texts = stash(texts, "texts")
     links = stash(_verified(first, texts, how), "links")
-    labels = stash(components(links), "labels")
+    one = _one_document(table, classes)
+    labels = stash(components(links.unionByName(one)), "labels")
 
     rest = open_rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     rest = stash(rest.select("list", "cls", "n", "room", F.coalesce("component", "cls").alias("component")), "open")
@@ -334,7 +347,7 @@ def join(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
         across = x.join(y, "list").where((F.col("a") < F.col("b")) & (F.col("a_of") != F.col("b_of")) & near).select("a", "b").distinct()
         across = across.join(first, ["a", "b"], "left_anti")
         links = stash(links.unionByName(_verified(across, texts, how)), "links")
-        labels = stash(components(links), "labels")
+        labels = stash(components(links.unionByName(one)), "labels")
 
     degree = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
     named = classes.select("set_key", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").join(degree, "cls", "left")

@@ -75,5 +75,14 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_packing, op2_jaccard_join, op3_sharding, op4_warc, op5_token_counts, op6_suffix_dedup, op7_fingerprints, op8_mixing, op9_compression_quality, op10_quality_rules)}
 
 
+#: SHA-1 as base32: four times 40 bits as eight digits of base 32, in the alphabet of RFC 4648.
+_BASE32 = " || ".join(f"lpad(to_base(CAST('0x' || substr(h, {1 + 10 * k}, 10) AS BIGINT), 32), 8, '0')" for k in range(4))
+_OP4 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, translate({_BASE32}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+  CASE WHEN last IS NULL OR page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN last IS NULL OR page_id = last THEN NULL ELSE last END AS refers_to FROM d"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": _OP4}

@@ -6,8 +6,8 @@ shard as soon as its bytes fit; only oversized ones split on another bit, one bi
 at a time, so small neighbours share a shard of smaller depth. Prefixes that are
 still too large at the first depth are summed again by the whole hash. What no bit
 can split (copies of one row, or a row above the limit) gets overflow pages: its
-rows are numbered across tasks by partial counts and dealt over pages of at most
-the limit, a single larger row alone on its page.
+rows are dealt over pages of at most the limit, each task filling pages of its own, a
+single larger row alone on its page.
 
 Only sums per prefix are shuffled to find the directory, and the directory is a
 table that never goes to the driver; it is broadcast up to `BROADCAST_ENTRIES`
@@ -82,17 +82,12 @@ def shard(docs: DataFrame, limit: int, key: tuple[str, ...] = ("doc_id", "text")
 
 
 def _pages(rows: DataFrame, limit: int) -> DataFrame:
-    """Deal rows of equal hash over overflow pages; numbered by task first, so no task gets all of them."""
-    rows = rows.withColumn("_task", F.spark_partition_id())
-    counts = rows.groupBy("_hash", "n_bytes", "_task").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_hash").orderBy("n_bytes", "_task").rowsBetween(Window.unboundedPreceding, -1)
-    # each (size, task) starts on a page of its own, so pages hold rows of one size
-    per_page = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("n_bytes"), F.lit(1)))).cast("long")
-    counts = counts.withColumn("_pages", F.ceil(F.col("_n") / per_page)).withColumn("_first", F.coalesce(F.sum("_pages").over(before), F.lit(0)))
-    own = Window.partitionBy("_hash", "n_bytes", "_task").orderBy(F.lit(0))
-    numbered = rows.withColumn("_k", F.row_number().over(own) - 1).join(counts.drop("_n", "_pages"), ["_hash", "n_bytes", "_task"])
-    paged = numbered.withColumn("page", F.col("_first") + F.floor(F.col("_k") / per_page).cast("long"))
-    return paged.withColumn("_depth", F.lit(BITS)).drop("_task", "_k", "_first")
+    """Deal rows of equal hash over overflow pages: each task numbers its own pages, so no task gets all rows."""
+    of_task = Window.partitionBy("_hash", "_task")
+    per_page = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.max("n_bytes").over(of_task), F.lit(1))))
+    numbered = rows.withColumn("_task", F.spark_partition_id().cast("long")).withColumn("_k", F.row_number().over(of_task.orderBy("n_bytes")) - 1)
+    page = F.shiftleft(F.col("_task"), 32) + F.floor(F.col("_k") / per_page).cast("long")
+    return numbered.withColumn("page", page).withColumn("_depth", F.lit(BITS)).drop("_task", "_k")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

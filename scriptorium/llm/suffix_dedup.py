@@ -147,6 +147,8 @@ def _sort_buckets(rows: np.ndarray, buckets: list[range]) -> list[list[int]]:
         if heads[x] != heads[y]:
             return -1 if heads[x] < heads[y] else 1
         d = shift[residue[x], residue[y]]
+        if d >= rows.shape[1]:  # the first v bytes are whole rows
+            return 0
         return int(ranks[x, d]) - int(ranks[y, d])
 
     key = cmp_to_key(compare)
@@ -419,22 +421,22 @@ def _cut(with_text: bool):
                 rows.append((tkey, len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), text))
             columns = list(zip(*rows)) or [()] * 5
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["tkey", "removed", "spans", "sha", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["_tkey", "_removed", "_spans", "_sha", "_kept"])
 
     return run
 
 
 def _results(docs: DataFrame, length: int, with_text: bool, hot: int) -> DataFrame:
-    """The rows of `docs` with _key, _n (bytes), _copies, and removed, spans, sha, kept where bytes inside go."""
+    """The rows of `docs` with _key, _n (bytes), _copies, and _removed, _spans, _sha, _kept where bytes inside go."""
     ranges, texts = _repeated(docs, length, hot)
     per_text = ranges.distinct().groupBy("tkey").agg(F.collect_list(F.struct("start", "end")).alias("own"))
-    cut = texts.join(per_text, "tkey").mapInArrow(_cut(with_text), "tkey binary, removed long, spans long, sha string, kept string")
+    cut = texts.join(per_text, "tkey").mapInArrow(_cut(with_text), "_tkey binary, _removed long, _spans long, _sha string, _kept string")
     # a text whose copies come from several tasks may be there more than once
-    cut = cut.groupBy("tkey").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("removed", "spans", "sha", "kept")))
+    cut = cut.groupBy("_tkey").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("_removed", "_spans", "_sha", "_kept")))
     rows = docs.withColumn("_key", _key(document_text())).withColumn("_n", F.octet_length(document_text()).cast("long"))
     copies = rows.where(F.col("_n") >= length).groupBy("_key").agg(F.count("*").alias("_copies")).where(F.col("_copies") > 1)
-    changed = cut.join(copies.withColumnRenamed("_key", "tkey"), "tkey", "full_outer")
-    return rows.join(changed, rows["_key"] == changed["tkey"], "left").drop("tkey")
+    changed = cut.join(copies.withColumnRenamed("_key", "_tkey"), "_tkey", "full_outer")
+    return rows.join(changed, rows["_key"] == changed["_tkey"], "left").drop("_tkey")
 
 
 def spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
@@ -445,15 +447,15 @@ def spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
     return out.select(
         "doc_id",
         F.col("_n").alias("n_bytes"),
-        F.when(whole, F.col("_n")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, F.lit(1)).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("sha", F.sha2(document_text().cast("binary"), 256))).alias("kept_sha256"),
+        F.when(whole, F.col("_n")).otherwise(F.coalesce("_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(whole, F.lit(1)).otherwise(F.coalesce("_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("_sha", F.sha2(document_text().cast("binary"), 256))).alias("kept_sha256"),
     )
 
 
 def remove(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
     """The same columns and rows, the repeated bytes cut out of `text` (a cut character goes whole) and `n_chars` brought up to date."""
     out = _results(docs, length, True, hot)
-    text = F.when(F.col("_copies").isNotNull(), F.lit("")).otherwise(F.coalesce("kept", "text"))
+    text = F.when(F.col("_copies").isNotNull(), F.lit("")).otherwise(F.coalesce("_kept", "text"))
     out = out.withColumn("text", text).select(*docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -74,6 +74,12 @@ def encode_spans(texts: list[str], path: str) -> list[tuple[list[int], list[tupl
     """Ids with the character span of each."""
     tok = tokenizer(path)
     if path.endswith(".model"):
-        protos = [tok.encode(t, out_type="immutable_proto") for t in texts]
-        return [([p.id for p in x.pieces], [(p.begin, p.end) for p in x.pieces]) for x in protos]
+        out = []
+        for text in texts:
+            pieces = tok.encode(text, return_type="proto").pieces
+            at = list(range(len(text) + 1))
+            if not text.isascii():  # offsets are of bytes; a byte inside a character counts as its start
+                at = [k for k, c in enumerate(text) for _ in c.encode()] + [len(text)]
+            out.append(([p.id for p in pieces], [(at[p.begin], at[p.end]) for p in pieces]))
+        return out
     return [(e.ids, e.offsets) for e in tok.encode_batch(texts, add_special_tokens=False)]
