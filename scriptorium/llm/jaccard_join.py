@@ -13,8 +13,8 @@ A document's set holds 64-bit hashes of its distinct shingles. The steps:
    that share one) of up to `SHORT` groups gives its pairs that pass the positional filter (what
    is left of both sets from the shared shingle on must be enough; it implies the length filter). A
    longer one only links neighbours in size, and all with a few pivots: those with the least before the shingle.
-5. Group pairs are expanded to pairs of their members, and these are verified on the
-   whole texts' sets. Verified links give components.
+5. Group pairs are expanded to pairs of their members; marks of 128 bytes rule most
+   of the unlike ones out, and the rest are verified on the whole texts' sets. Verified links give components.
 6. Long lists and large groups whose members are not in one component by now are
    settled exactly: all their pairs across components that pass the positional filter are verified.
    Pairs inside a component need no look, as they cannot change it. So no pair
@@ -51,6 +51,8 @@ PIVOTS = 3
 #: Rows of one list that are held at once.
 _HELD = 1 << 20
 _NULL_ID = 1 << 62
+#: Bits of a set's parity mark, and rows up to which the ids of candidate texts are broadcast.
+MARK_BITS, BROADCAST_ROWS = 1024, 250_000
 
 
 @dataclass(frozen=True)
@@ -121,7 +123,7 @@ def _prefixes(docs: DataFrame, how: Likeness, sketch: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            n, sets, groups, prefixes, lengths = [], [], [], [], []
+            n, sets, groups, prefixes, lengths, marks = [], [], [], [], [], []
             for _, h in _sets(batch.column(2), how):
                 first = h[:0]
                 if len(h):
@@ -132,12 +134,14 @@ def _prefixes(docs: DataFrame, how: Likeness, sketch: np.ndarray) -> DataFrame:
                 groups.append(xxhash.xxh3_128_digest(len(h).to_bytes(8, "little") + first.tobytes()))
                 prefixes.append(first)
                 lengths.append(len(first))
+                parity = np.bincount((h & np.uint64(MARK_BITS - 1)).astype(np.int64), minlength=MARK_BITS) & 1
+                marks.append(np.packbits(parity.astype(np.uint8)).tobytes())
             values = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(groups, pa.binary()), lists], names=["doc_id", "node", "n", "set_key", "group_key", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(groups, pa.binary()), lists, pa.array(marks, pa.binary())], names=["doc_id", "node", "n", "set_key", "group_key", "prefix", "mark"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _node().alias("node"), document_text().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, node long, n long, set_key binary, group_key binary, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, node long, n long, set_key binary, group_key binary, prefix array<long>, mark binary")
 
 
 def _list_pairs(how: Likeness):
@@ -237,6 +241,28 @@ def _list_pairs(how: Likeness):
     return run
 
 
+def _plausible(pairs: DataFrame, table: DataFrame, how: Likeness) -> DataFrame:
+    """Those of the pairs (a, b) whose marks don't rule them out.
+
+    A mark's bit is the parity of the shingles whose hash falls on it, so two marks differ in at
+    most as many bits as the sets differ in shingles: an upper bound of their intersection, for 128 bytes a set.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(batch), -1) for k in (4, 5))
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            keep = pa.array((n - differ) // 2 * (100 + how.percent) >= how.percent * n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    own = table.where(F.col("n") > 0).select(F.col("node").alias("_id"), "n", "mark")
+    left = pairs.join(own, F.col("a") == F.col("_id")).select("a", "b", F.col("n").alias("n"), F.col("mark").alias("x"))
+    right = own.select("_id", F.col("n").alias("m"), F.col("mark").alias("y"))
+    both = left.join(right, F.col("b") == F.col("_id")).select("a", "b", "n", "m", "x", "y")
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, how: Likeness) -> DataFrame:
     """Those of the pairs (a, b) whose sets are alike enough; `texts` has _id and _text."""
 
@@ -314,7 +340,7 @@ def join(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     inside = inner.select("gid", F.col("cls").alias("a")).join(inner.select("gid", F.col("cls").alias("b")), "gid").where(F.col("a") < F.col("b")).select("a", "b")
     star = members.where((F.col("size") > SMALL_GROUP) & (F.col("cls") != F.col("gid"))).select(F.col("gid").alias("a"), F.col("cls").alias("b"))
     first = few.unionByName(stars).unionByName(inside).unionByName(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
-    first = stash(first, "pairs")
+    first = stash(_plausible(first, table, how), "pairs")
 
     # what is still open: lists, group pairs and groups that were not looked at pair by pair
     open_lists = found.where(F.col("list").isNotNull()).select("list", F.col("a").alias("gid"), "place")
@@ -330,6 +356,9 @@ def join(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     open_rows = stash(open_rows.distinct(), "open")
 
     wanted = first.select(F.col("a").alias("_id")).unionByName(first.select(F.col("b").alias("_id"))).unionByName(open_rows.select(F.col("cls").alias("_id"))).distinct()
+    wanted = stash(wanted, "wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     texts = docs.select(_node().alias("_id"), document_text().alias("_text")).join(wanted, "_id", "left_semi")
     texts = stash(texts, "texts")
     links = stash(_verified(first, texts, how), "links")
@@ -345,7 +374,7 @@ def join(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
         y = rest.select("list", F.col("cls").alias("b"), F.col("n").alias("b_n"), F.col("room").alias("b_room"), F.col("component").alias("b_of"))
         near = fits(F.least("a_room", "b_room"), F.col("a_n"), F.col("b_n"))
         across = x.join(y, "list").where((F.col("a") < F.col("b")) & (F.col("a_of") != F.col("b_of")) & near).select("a", "b").distinct()
-        across = across.join(first, ["a", "b"], "left_anti")
+        across = _plausible(across.join(first, ["a", "b"], "left_anti"), table, how)
         links = stash(links.unionByName(_verified(across, texts, how)), "links")
         labels = stash(components(links.unionByName(one)), "labels")
 
