@@ -160,9 +160,27 @@ def image_url_from_srcset(value: Column) -> Column:
     scored = F.transform(
         items,
         lambda x, i: F.struct(
-            F.coalesce(F.regexp_extract(x, "\\s([0-9.]+)[xwh]$", 1).try_cast("double"), F.lit(1.0)).alias("score"),
+            F.coalesce(F.regexp_extract(F.lower(x), "\\s([0-9]+(?:\\.[0-9]+)?)[xw]$", 1).try_cast("double") * F.when(F.endswith(x, F.lit("x")), 1000).otherwise(1), F.lit(0.0)).alias("score"),
             i.alias("at"),
             F.regexp_extract(x, "^(\\S+)", 1).alias("url"),
         ),
     )
     return F.coalesce(F.array_max(scored)["url"], F.lit(""))
+
+
+def is_full_size_image(url: Column) -> Column:
+    u = F.lower(normalize_text(url))
+    has = lambda tokens: F.exists(F.array(*(F.lit(t) for t in tokens)), lambda t: F.contains(u, t))
+    return (u != "") & ~has(rules.PREVIEW_URLS) & has(rules.FULL_SIZE_URLS)
+
+
+def acceptable_preview(width: Column, height: Column) -> Column:
+    return (F.coalesce(width, F.lit(0)) >= rules.PREVIEW_SIZE[0]) & (F.coalesce(height, F.lit(0)) >= rules.PREVIEW_SIZE[1])
+
+
+def url_keys(value: Column) -> Column:
+    """Forms under which an image's URL or path may be written: whole, path only, without leading dots and slashes."""
+    plain = F.regexp_replace(normalize_text(value), "^<|>$", "")
+    forms = F.array(plain, path(plain), F.coalesce(F.try_url_decode(plain), plain), F.coalesce(F.try_url_decode(path(plain)), plain))
+    clean = F.transform(forms, lambda x: F.regexp_replace(F.regexp_replace(F.replace(x, F.lit("\\"), F.lit("/")), "/+", "/"), "^\\./", ""))
+    return F.array_distinct(F.filter(F.concat(clean, F.transform(clean, lambda x: F.regexp_replace(x, "^/+", ""))), lambda x: x != ""))

@@ -190,7 +190,7 @@ def numeric_citations(value: Column) -> Column:
     """A comma list of numbers and ranges, tidied; null if any part is something else."""
     parts = F.transform(F.split(normalize_text(value), ","), lambda p: F.regexp_replace(strip(p), f"{SPACE}*[-‐‑‒–—−]{SPACE}*", "–"))
     ok = F.forall(parts, lambda p: p.rlike("^[0-9]+(–[0-9]+)?$"))
-    return F.when(ok, F.array_join(parts, ","))
+    return F.when(ok, F.array_join(parts, ", "))
 
 
 def overlap_chunks(value: Column) -> Column:
@@ -236,3 +236,61 @@ def latex(value: Column) -> Column:
     out = F.regexp_replace(out, "\\\\mspace\\{([^}]*?)mu\\}", "\\\\mkern$1mu")
     out = F.regexp_replace(out, "\\\\up(alpha|beta|gamma|delta|epsilon|zeta|eta|theta|iota|kappa|lambda|mu|nu|xi|pi|rho|sigma|tau|upsilon|phi|chi|psi|omega)(?![A-Za-z])", "\\\\$1")
     return strip(F.regexp_replace(out, "^\\$([^$]*)\\$$", "$1"))
+
+
+def citation_sup(value: Column) -> Column:
+    """Numeric citations in brackets or parentheses as superscripts, with tidy spacing around them."""
+    out = F.regexp_replace(text_or_empty(value), "\\s*[\\[(](?:(?i:refs?\\.?)\\s*)?([0-9]+(?:\\s*[-–,]\\s*[0-9]+)*)[\\])]", "<sup>$1</sup>")
+    out = F.regexp_replace(out, "\\s*[−—-]\\s*(?=[0-9]+[^<>]*</sup>)", "–")
+    return tidy_punctuation(F.regexp_replace(out, "\\s+(<su[bp]>)", "$1"))
+
+
+def tidy_punctuation(value: Column) -> Column:
+    """No blanks before closing or after opening marks, at most one blank line, stripped."""
+    out = F.regexp_replace(text_or_empty(value), "\\s+([,.;:!?])", "$1")
+    out = F.regexp_replace(F.regexp_replace(out, "([(\\[])\\s+", "$1"), "\\s+([)\\]])", "$1")
+    return strip(F.regexp_replace(F.regexp_replace(out, "\\n{3,}", "\n\n"), "[ \\t]+\\n", "\n"))
+
+
+def clean_citation_markers(value: Column, unwrap_links: bool = False, join_labels: bool = False, drop_figure_lines: bool = False) -> Column:
+    """Text without article links, figure lines and gaps in labels, as asked for."""
+    out = text_or_empty(value)
+    if drop_figure_lines:
+        out = F.regexp_replace(F.regexp_replace(out, "(?im)^(?:extended data\\s+)?fig\\.\\s*[a-z0-9.-]+:.*$", ""), "(?im)^\\s*source data\\s*$", "")
+    if unwrap_links:
+        out = F.regexp_replace(out, "\\[([^\\]]+)\\]\\((?:/(?:article|articles)/[^)]+|#[^)]+)\\)", "$1")
+    if join_labels:
+        out = F.regexp_replace(out, "\\b(Extended Data|Figs?|Tabs?|Eqs?|Refs?)\\s+([0-9]+[A-Za-z]?)\\b", "$1$2")
+    return tidy_punctuation(out)
+
+
+def join_fragments(parts: Column) -> Column:
+    """Inline fragments with a space where both edges are letters or digits."""
+    start = F.lit("")
+    edge = lambda s, p: s.rlike("[\\p{L}\\p{N},.;:]$") & p.rlike("^[\\p{L}\\p{N}(]")
+    return F.aggregate(F.filter(parts, lambda p: strip(p) != ""), start, lambda s, p: F.when((s == "") | ~edge(s, strip(p)), F.concat(s, strip(p))).otherwise(F.concat(s, F.lit(" "), strip(p))))
+
+
+def strip_title_heading(markdown: Column, title: Column) -> Column:
+    """Markdown without its first line if that is a heading equal to the title."""
+    first = F.regexp_extract(strip(markdown), "^#\\s+([^\\n]*)", 1)
+    same = (canonical(title) != "") & (canonical(first) == canonical(title))
+    return F.when(same, strip(F.regexp_replace(strip(markdown), "^#[^\\n]*\\n?", ""))).otherwise(markdown)
+
+
+def strip_abstract_label(value: Column) -> Column:
+    return strip(F.regexp_replace(normalize_text(value), "(?i)^(abstract|summary)\\s*[:.—–-]?\\s+", ""))
+
+
+def is_lookup_title(value: Column, least: int = 0) -> Column:
+    """Whether a page's title can be looked up: long enough and no sign of a redirect or gate."""
+    t = F.lower(normalize_text(value))
+    return (F.char_length(t) >= least) & (t != "") & ~contains_any(t, rules.TITLE_DENIALS)
+
+
+def language(value: Column) -> Column:
+    """Language code of a name or code; null if unknown."""
+    t = F.lower(F.regexp_replace(normalize_text(value), "_", "-"))
+    names = F.create_map(*(F.lit(x) for pair in rules.LANGUAGES.items() for x in pair))
+    code = F.when(t.rlike("^[a-z]{2,3}(-[a-z0-9]{2,8})*$"), F.substring_index(t, "-", 1))
+    return F.coalesce(F.try_element_at(names, t), code)

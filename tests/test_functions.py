@@ -105,7 +105,7 @@ def test_signals(value):
 
 
 def test_citations_and_labels(value):
-    assert value(T.numeric_citations(F.lit("1 - 3, 5"))) == "1–3,5" and value(T.numeric_citations(F.lit("1, x"))) is None
+    assert value(T.numeric_citations(F.lit("1 - 3, 5"))) == "1–3, 5" and value(T.numeric_citations(F.lit("1, x"))) is None
     assert value(T.figure_label(F.lit("Fig. 3A shows"))) == "figure 3a" and value(T.last_year(F.lit("1999; 2004"))) == "2004"
     assert value(T.latex(F.lit(" $\\upalpha  x$ "))) == "\\alpha x"
 
@@ -183,3 +183,15 @@ def test_xml(spark):
 
 def test_catalogue_is_small():
     assert sum(len(p[2]) + len(p[3]) + len(p[4]) for p in rules.PROVIDERS) < 100
+
+
+def test_more_text(value):
+    assert value(T.citation_sup(F.lit("as shown [1 - 3] , here"))) == "as shown<sup>1–3</sup>, here"
+    assert value(T.clean_citation_markers(F.lit("see [x](#ref1) in Fig 3 ."), True, True)) == "see x in Fig3."
+    assert value(T.join_fragments(F.array(F.lit("a"), F.lit(" "), F.lit("b"), F.lit(".")))) == "a b."
+    assert value(T.strip_title_heading(F.lit("# My  Title\n\nbody"), F.lit("my title"))) == "body"
+    assert value(T.strip_abstract_label(F.lit("Abstract: text"))) == "text"
+    assert value(T.is_lookup_title(F.lit("A paper"), 3)) and not value(T.is_lookup_title(F.lit("Redirecting")))
+    assert value(T.language(F.lit("en_US"))) == "en" and value(T.language(F.lit("German"))) == "de" and value(T.language(F.lit("??"))) is None
+    assert value(I.is_full_size_image(F.lit("http://a/full/x.png"))) and not value(I.is_full_size_image(F.lit("http://a/full/thumb/x")))
+    assert "x/y.png" in value(I.url_keys(F.lit("./x//y.png"))) and value(I.acceptable_preview(F.lit(300), F.lit(200)))

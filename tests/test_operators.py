@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium import sources
+from scriptorium.operators import assets as A
 from scriptorium.operators import budgets, matching, quality, records, reports, routing, sections
 from scriptorium.plans import articles
 from scriptorium.streaming import counts_by_window, deduplicated
@@ -203,3 +204,31 @@ def test_articles(docs):
     r = articles.article_from_markdown(docs).where("doc_id = 1").first()
     assert r.kind in ("fulltext", "abstract_only") and len(r.sections) >= 4 and r.section_abstract.startswith("This abstract")
     assert articles.envelope(articles.article_from_markdown(docs), ["markdown"]).columns == ["doc_id", "kind", "confidence", "tokens", "markdown"]
+
+
+def test_images_and_assets(spark):
+    docs = spark.createDataFrame([(1, "![a](https://h/x/f1.png?s=2) and ![b](img/f2.png) ![c](none.png)"), (2, None)], "doc_id long, text string")
+    assets = spark.createDataFrame([(1, 0, "figure", "https://o/f1.png", "local/1.png", "Figure 1", "body"), (1, 1, "figure", "./img//f2.png", "local/2.png", "Fig. 2", "appendix"), (1, 2, "supplementary", "s.zip", "s", "S", "")], "doc_id long, pos int, kind string, url string, path string, heading string, section string")
+    got = {r.doc_id: r.text for r in A.rewrite_links(docs, assets).collect()}
+    assert got == {1: "![a](local/1.png) and ![b](local/2.png) ![c](none.png)", 2: ""}
+    assert [r.pos for r in A.selected(assets, "body").collect()] == [0] and A.selected(assets, "all").count() == 3 and A.selected(assets, "none").count() == 0
+    assert [x.count() for x in A.split_supplementary(assets)] == [1, 2]
+
+
+def test_injections(spark):
+    blocks = spark.createDataFrame([(1, 0, "**Figure 1.** Map"), (1, 1, "TABLE_1"), (1, 2, "text")], "doc_id long, pos int, block string")
+    figs = spark.createDataFrame([(1, 0, "figure", "f.png", "Fig. 1")], "doc_id long, pos int, kind string, url string, heading string")
+    tables = spark.createDataFrame([(1, "TABLE_1", "| a |")], "doc_id long, placeholder string, markdown string")
+    out = A.inject_tables(A.inject_figures(blocks, figs), tables).orderBy("pos").collect()
+    assert [r.block for r in out] == ["![Figure 1](f.png)\n\n**Figure 1.** Map", "| a |", "text"]
+    text = spark.createDataFrame([(1, 0, "see Fig. 1a and Table 2")], "doc_id long, pos int, text string")
+    labels = spark.createDataFrame([(1, "Figure 1"), (1, "Figure 3")], "doc_id long, label string")
+    assert [tuple(r) for r in A.mentions(text, labels).collect()] == [(1, "figure 1", 0)]
+
+
+def test_download_notes(spark):
+    rows = spark.createDataFrame([(1, True, None, 10, 10, False), (1, False, "preview", 400, 300, None), (2, False, "full", 0, 0, None), (1, False, "preview", 10, 10, None)], "doc_id long, failed boolean, download_tier string, width int, height int, preview_accepted boolean")
+    assert {r.doc_id: r.marks for r in A.notes(rows).collect()} == {1: ["download:assets_partial", "download:assets_preview_fallback"], 2: []}
+    assert A.accepted_previews(rows).count() == 3
+    urls = spark.createDataFrame([(["a", "b", "a"], "x")], "u array<string>, p string")
+    assert A.pdf_candidates(urls, ["u"], 1, "p").first().pdf_urls == ["a", "x", "b"]
