@@ -154,6 +154,52 @@ def prune(node: Node) -> Node:
     return node
 
 
+def container_score(node: Node) -> float:
+    """Text length with bonuses for headings, paragraphs, figures and a body's identity, less for back matter's."""
+    headings = len(node.find("h1", "h2", "h3", "h4", "h5", "h6"))
+    parts = sum(1 for n in node.find("p", "div", "section", "article") if n.text())
+    own = node.identity()
+    bonus = 400.0 if identity_class(own) == "body" else 0.0
+    if any(t in own for t in rules.IDENTITY_TOKENS["references_or_back_matter"]):
+        bonus -= 120.0
+    return len(node.text()) + 200 * headings + 40 * parts + 20 * len(node.find("figure", "table")) + bonus
+
+
+def completeness(node: Node) -> int:
+    """Whether a container has a title, an abstract and a body, and is an article or main element."""
+    inside = [identity_class(n.identity()) for n in node.walk()]
+    return (
+        40 * (node.tag == "h1" or bool(node.find("h1")))
+        + 40 * ("abstract" in inside)
+        + 40 * ("body" in inside)
+        + 10 * (node.tag == "article")
+        + 5 * (node.tag == "main")
+    )
+
+
+def complete_ancestor(node: Node, highest: int = 8) -> Node:
+    """The node or one of its next ancestors that is most complete, then scores highest; the inner one of equals."""
+    best, key = node, (completeness(node), container_score(node))
+    up = node.parent
+    while up is not None and up.tag not in ("", "html") and highest:
+        own = (completeness(up), container_score(up))
+        if own > key:
+            best, key = up, own
+        up, highest = up.parent, highest - 1
+    return best
+
+
+def identity_class(identity: str) -> str:
+    text = squeeze(identity).lower()
+    return next((name for name, tokens in rules.IDENTITY_TOKENS.items() if any(t in text for t in tokens)), "")
+
+
+def primary_language(found: list[dict], wanted: str = "en") -> list[dict]:
+    """Of parallel abstracts the ones in the wanted language; all if none is."""
+    own = [a for a in found if (a["language"] or "").lower().split("-")[0] == wanted]
+    return own or found
+
+
 def meta(root: Node) -> dict[str, list[str]]:
     found: dict[str, list[str]] = {}
     for n in root.find("meta"):

@@ -249,3 +249,32 @@ def match_hints(headings: DataFrame, hints: DataFrame, key: str = "doc_id") -> D
     folded = heads.join(given, key, "left").withColumn("hints", F.coalesce("hints", F.array().cast("array<struct<order:int,name:string,kind:string>>")))
     pairs = folded.select(key, F.explode(F.aggregate("heads", start, step)["out"]).alias("x")).select(key, "x.pos", F.col("x.kind").alias("hint_kind"))
     return headings.join(pairs, [key, "pos"], "left")
+
+
+def without_leading_abstract(found: DataFrame, abstracts: DataFrame, key: str = "doc_id", ratio: float = rules.NEAR_PARAGRAPH_RATIO, band: int = rules.NEAR_DUPLICATE_LENGTHS) -> DataFrame:
+    """Body sections without their first paragraphs that repeat one of the document's abstracts (key, abstract); what is left empty goes.
+
+    Only paragraphs whose length is near an abstract paragraph's are compared, and only within a document.
+    """
+    from .matching import matcher_ratio
+
+    split = lambda c: F.split(c, f"\\n{T.SPACE}*\\n")
+    known = abstracts.select(key, F.explode(split(F.col("abstract"))).alias("a")).withColumn("a", T.normalize_text(F.col("a"))).where("a <> ''")
+    paragraphs = found.where(F.col("kind") == "body").select(key, "section", F.posexplode(split(F.col("text"))).alias("at", "raw")).withColumn("p", T.normalize_text(T.strip_markdown_images(F.col("raw")))).where("p <> ''")
+    close = paragraphs.join(known, key).where(F.abs(F.char_length("p") - F.char_length("a")) <= band)
+    same = (T.canonical(F.col("p")) == T.canonical(F.col("a"))) | (matcher_ratio("p", "a") >= ratio)
+    repeats = close.where(same).select(key, "section", "at").distinct().withColumn("repeat", F.lit(True))
+    marked = paragraphs.join(repeats, [key, "section", "at"], "left")
+    first_own = F.min(F.when(F.col("repeat").isNull(), F.col("at"))).over(Window.partitionBy(key, "section"))
+    kept = marked.withColumn("_first", first_own).where(F.col("at") >= F.col("_first"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", F.col("raw").alias("v")))), lambda x: T.strip(x["v"])), "\n\n")
+    rest = kept.groupBy(key, "section").agg(text.alias("_rest"))
+    out = found.join(rest, [key, "section"], "left")
+    gone = (F.col("kind") == "body") & F.col("_rest").isNull() & (F.col("text") != "")
+    return out.where(~gone).withColumn("text", F.when((F.col("kind") == "body") & F.col("_rest").isNotNull(), F.col("_rest")).otherwise(F.col("text"))).drop("_rest")
+
+
+def first_prose(found: DataFrame, key: str = "doc_id", n: int = 6) -> DataFrame:
+    """The first n substantial blocks of each document (key, pos, block)."""
+    prose = found.where(~_is_heading(F.col("block")) & T.is_substantial_prose(F.col("block")))
+    return prose.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).where(F.col("_n") <= n).drop("_n")

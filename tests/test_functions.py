@@ -7,6 +7,7 @@ from scriptorium import rules
 from scriptorium.functions import headings as H
 from scriptorium.functions import html as W
 from scriptorium.functions import identifiers as I
+from scriptorium.functions import signals as S
 from scriptorium.functions import text as T
 from scriptorium.functions import xml as X
 from scriptorium.operators import matching, quality, reports
@@ -195,3 +196,21 @@ def test_more_text(value):
     assert value(T.language(F.lit("en_US"))) == "en" and value(T.language(F.lit("German"))) == "de" and value(T.language(F.lit("??"))) is None
     assert value(I.is_full_size_image(F.lit("http://a/full/x.png"))) and not value(I.is_full_size_image(F.lit("http://a/full/thumb/x")))
     assert "x/y.png" in value(I.url_keys(F.lit("./x//y.png"))) and value(I.acceptable_preview(F.lit(300), F.lit(200)))
+
+
+def test_embedded_signals(value):
+    page = F.lit('<script>AAASdataLayer={"page": {"pageInfo": {"pageType": "journal-article-denial", "viewType": "abs"}}, "user": {"entitled": "false"}};</script>')
+    assert value(S.science_blocking(S.data_layer(page, "AAASdataLayer"))) == ["aaas_page_type_denial", "aaas_view_abs", "aaas_entitlement_denied"]
+    assert value(S.data_layer(F.lit("x = {broken;"), "x")) is None
+    shut = F.lit('{"page": {"attributes": {"accessType": "Paywall", "freeAccess": "no"}}, "user": {"access": "no"}}')
+    assert value(S.pnas_blocking(shut)) == ["pnas_paywall_no_access"]
+    assert value(S.wiley_blocking(F.lit('{"content": {"item": {"access": "no", "format-viewed": "abstract"}}, "page": {"tertiary-section": "abs"}}'))) == ["wiley_access_no", "wiley_format_viewed_abstract", "wiley_page_tertiary_abs"]
+    assert value(S.positive(F.lit('<article class="article-body">'))["strong"]) == ["article_body_marker"]
+    assert value(S.urls_in_json(F.lit('{"a": {"url": "http://x/1"}, "href": "http://x/1", "value": "no"}'))) == ["http://x/1"]
+
+
+def test_containers():
+    root = W.tree('<html><body><main><h1>T</h1><div class="abstract">a</div><div class="article-body"><p>text</p></div></main></body></html>')
+    body = next(n for n in root.walk() if n.attrs.get("class") == "article-body")
+    assert W.complete_ancestor(body).tag in ("main", "body") and W.container_score(body) > 400
+    assert W.primary_language([{"language": "fr"}, {"language": "en-US"}]) == [{"language": "en-US"}]

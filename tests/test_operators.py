@@ -232,3 +232,13 @@ def test_download_notes(spark):
     assert A.accepted_previews(rows).count() == 3
     urls = spark.createDataFrame([(["a", "b", "a"], "x")], "u array<string>, p string")
     assert A.pdf_candidates(urls, ["u"], 1, "p").first().pdf_urls == ["a", "x", "b"]
+
+
+def test_repeated_abstract_paragraphs(spark):
+    rows = [(1, 0, "Body", 2, "body", "same words here\n\nown words"), (1, 1, "Other", 2, "body", "same words here"), (1, 2, "References", 2, "references", "same words here")]
+    found = spark.createDataFrame(rows, "doc_id long, section int, heading string, level int, kind string, text string")
+    abstracts = spark.createDataFrame([(1, "Same words, here")], "doc_id long, abstract string")
+    got = [(r.section, r.text) for r in sections.without_leading_abstract(found, abstracts).orderBy("section").collect()]
+    assert got == [(0, "own words"), (2, "same words here")]
+    blocks = spark.createDataFrame([(1, k, "One. Two." if k % 2 else "short") for k in range(20)], "doc_id long, pos int, block string")
+    assert [r.pos for r in sections.first_prose(blocks).orderBy("pos").collect()] == [1, 3, 5, 7, 9, 11]
