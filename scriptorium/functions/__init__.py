@@ -20,3 +20,8 @@ def arrow_udf(schema: str) -> Callable[[Callable], Callable[..., Column]]:
         return call
 
     return wrap
+
+
+def once(value: Column) -> Column:
+    """The same value behind an expression that the optimiser won't copy, for long rule chains used in several places."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)

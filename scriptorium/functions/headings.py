@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules
-from .text import contains_any, has_access_gate, normalize_text, starts_with_any, strip
+from .text import contains_any, normalize_text, starts_with_any, strip
 
 
 def normalize_heading(value: Column) -> Column:
@@ -24,12 +26,16 @@ def heading_text(line: Column) -> Column:
 
 def heading_category(tag: Column, text: Column, title: Column | None = None) -> Column:
     """Class of a page's heading: the first rule that holds decides."""
-    h = normalize_heading(text)
-    out = F.when(F.lower(normalize_text(tag)) == "h1", "front_matter").when(h == "", "body_heading")
+    return category_of(normalize_heading(text), F.lower(normalize_text(tag)) == "h1", title)
+
+
+def category_of(h: Column, first_level: Column, title: Column | None = None) -> Column:
+    """The same of a normalised heading; give it as a column of its own, as every rule reads it."""
+    out = F.when(first_level, "front_matter").when(h == "", "body_heading")
     if title is not None:
         out = out.when((normalize_text(title) != "") & (h == normalize_heading(title)), "front_matter")
     return (
-        out.when(has_access_gate(h), "ancillary")
+        out.when(contains_any(h, rules.ACCESS_GATE_PHRASES), "ancillary")
         .when(h.isin(*rules.ABSTRACT_HEADINGS) | h.startswith("abstract"), "abstract")
         .when(starts_with_any(h, rules.DATA_HEADINGS), "data_availability")
         .when(starts_with_any(h, rules.CODE_HEADINGS), "code_availability")
@@ -42,8 +48,12 @@ def heading_category(tag: Column, text: Column, title: Column | None = None) ->
 
 def markdown_heading_category(text: Column, title: Column | None = None, hint: Column | None = None) -> Column:
     """Class of a Markdown heading; a section hint overrides the rules."""
-    h = normalize_heading(text)
-    page = heading_category(F.lit("h2"), text, title)
+    return markdown_category_of(normalize_heading(text), title, hint)
+
+
+def markdown_category_of(h: Column, title: Column | None = None, hint: Column | None = None) -> Column:
+    """The same of a normalised heading."""
+    page = category_of(h, F.lit(False), title)
     page = F.when(page == "ancillary", "auxiliary").otherwise(page)
     out = F.when(h == "", "body_heading")
     if title is not None:
@@ -64,30 +74,35 @@ def markdown_heading_category(text: Column, title: Column | None = None, hint: C
 
 
 def section_kind(heading: Column) -> Column:
-    h = F.lower(normalize_text(heading))
-    category = heading_category(F.lit("h2"), heading)
+    return kind_of(F.lower(normalize_text(heading)), normalize_heading(heading))
+
+
+def kind_of(lower: Column, h: Column) -> Column:
+    """Kind of a section from its lower-case and its normalised heading."""
+    category = category_of(h, F.lit(False))
     return (
-        F.when(h == "", "body")
-        .when(h.isin("references", "bibliography"), "references")
-        .when(h.isin("supplementary materials", "supplementary information"), "supplementary")
-        .when(h == "conversion notes", "diagnostics")
-        .when(category.isin("data_availability", "code_availability", "abstract"), category)
-        .when(category == "references_or_back_matter", "references")
-        .when(category == "ancillary", "diagnostics")
-        .otherwise("body")
+        F.when(lower == "", "body")
+        .when(lower.isin("references", "bibliography"), "references")
+        .when(lower.isin("supplementary materials", "supplementary information"), "supplementary")
+        .when(lower == "conversion notes", "diagnostics")
+        .otherwise(
+            F.element_at(
+                F.create_map(*(F.lit(x) for x in ("data_availability", "data_availability", "code_availability", "code_availability", "abstract", "abstract", "references_or_back_matter", "references", "ancillary", "diagnostics", "front_matter", "body", "body_heading", "body"))),
+                category,
+            )
+        )
     )
 
 
 def section_priority(heading: Column) -> Column:
     """Order in which sections are packed: an equal heading decides, else the first one contained."""
     h = F.lower(normalize_text(heading))
-    exact = dict(reversed(rules.SECTION_PRIORITY))
-    out = None
-    for key, value in exact.items():
-        out = F.when(h == key, value) if out is None else out.when(h == key, value)
-    for key, value in rules.SECTION_PRIORITY:
-        out = out.when(F.contains(h, F.lit(key)), value)
-    return out.otherwise(rules.DEFAULT_PRIORITY)
+    known = F.create_map(*(F.lit(x) for pair in dict(reversed(rules.SECTION_PRIORITY)).items() for x in pair))
+    inside = None  # neighbours of equal priority are one condition
+    for value, group in groupby(rules.SECTION_PRIORITY, key=lambda x: x[1]):
+        found = contains_any(h, [k for k, _ in group])
+        inside = F.when(found, value) if inside is None else inside.when(found, value)
+    return F.coalesce(F.try_element_at(known, h), inside.otherwise(rules.DEFAULT_PRIORITY))
 
 
 def identity_category(identity: Column) -> Column:

@@ -89,18 +89,19 @@ def truncate_to_tokens(normalized: Column, budget: Column | int) -> Column:
     return F.when(budget <= 0, F.lit("")).when(estimate_tokens(normalized) <= budget, normalized).otherwise(cut)
 
 
+def _alternatives(phrases: Iterable[str]) -> str:
+    return "|".join(f"\\Q{p}\\E" for p in phrases)
+
+
 def contains_any(value: Column, phrases: Iterable[str]) -> Column:
-    out = F.lit(False)
-    for p in phrases:
-        out = out | F.contains(value, F.lit(p))
-    return out
+    """One regular expression for all phrases: long chains of conditions would outgrow a generated method."""
+    phrases = tuple(phrases)
+    return F.rlike(value, F.lit(_alternatives(phrases))) if phrases else F.lit(False)
 
 
 def starts_with_any(value: Column, prefixes: Iterable[str]) -> Column:
-    out = F.lit(False)
-    for p in prefixes:
-        out = out | F.startswith(value, F.lit(p))
-    return out
+    prefixes = tuple(prefixes)
+    return F.rlike(value, F.lit(f"^(?:{_alternatives(prefixes)})")) if prefixes else F.lit(False)
 
 
 def matching_phrases(value: Column, phrases: Iterable[str]) -> Column:

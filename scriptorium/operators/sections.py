@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import headings as H
+from ..functions import once
 from ..functions import text as T
 
 
@@ -46,7 +47,8 @@ def sections(docs: DataFrame, key: str = "doc_id", text: str = "text", fallback:
     title = T.strip(F.regexp_replace(T.strip(F.col("head")), "^#+", ""))
     own = F.when(F.col("head").isNull() | (title == ""), F.lit(fallback)).otherwise(title)
     found = grouped.select(key, "part", own.alias("heading"), level.alias("level"), T.strip_markdown_images(F.col("raw")).alias("text"), (T.strip(F.col("raw")) == "").alias("blank"))
-    found = found.withColumn("kind", H.section_kind(F.col("heading")))
+    found = found.withColumn("_lower", once(F.lower(T.normalize_text(F.col("heading"))))).withColumn("_h", once(H.normalize_heading(F.col("heading"))))
+    found = found.withColumn("kind", once(H.kind_of(F.col("_lower"), F.col("_h")))).drop("_lower", "_h")
     by_part = Window.partitionBy(key).orderBy("part")
     found = found.withColumn("next_level", F.lead("level").over(by_part))
     keeps = (F.col("text") != "") | (F.col("blank") & (F.col("kind") == "body") & (F.col("next_level") > F.col("level")))
@@ -107,14 +109,15 @@ def structure(found: DataFrame, key: str = "doc_id", title: str | None = None) -
     before = of_doc.rowsBetween(Window.unboundedPreceding, -1)
     heading = _is_heading(F.col("block"))
     level = F.least(H.heading_level(F.col("block")), F.lit(6))
-    label = H.heading_text(F.col("block"))
-    category = H.heading_category(F.concat(F.lit("h"), level.cast("string")), label, named)
+    found = found.withColumn("_h", once(F.when(heading, H.normalize_heading(H.heading_text(F.col("block"))))))
+    category = H.category_of(F.col("_h"), level == 1, named)
     if named is not None:
-        category = F.when((T.normalize_text(named) != "") & (H.normalize_heading(label) == H.normalize_heading(named)), "title").otherwise(category)
-    marked = found.withColumn("heading", heading).withColumn("category", F.when(heading, category))
+        category = F.when((T.normalize_text(named) != "") & (F.col("_h") == H.normalize_heading(named)), "title").otherwise(category)
+    marked = found.withColumn("heading", once(heading)).withColumn("category", once(F.when(F.col("heading"), category)))
+    heading = F.col("heading")
     # what a paragraph would be if no state holds
     own = F.when(T.has_access_gate(F.col("block")), "ancillary").when(T.is_substantial_prose(F.col("block")), "body_paragraph").otherwise("front_matter")
-    marked = marked.withColumn("own", F.when(~heading, own))
+    marked = marked.withColumn("own", once(F.when(~heading, own)))
     # paragraphs end front matter and, unless a lasting state holds, every state
     lasting = F.col("category").isin("abstract", "references_or_back_matter", "data_availability", "code_availability")
     marked = marked.withColumn("state", F.last(F.when(heading & (F.col("category") != "ancillary"), F.col("category")), ignorenulls=True).over(before))
@@ -160,11 +163,13 @@ def body_metrics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     of_doc = Window.partitionBy(key).orderBy("pos")
     found = blocks(docs, key, text).withColumn("heading", _is_heading(F.col("block")))
-    found = found.withColumn("category", F.when(F.col("heading"), H.markdown_heading_category(H.heading_text(F.col("block")))))
+    found = found.withColumn("_h", once(F.when(F.col("heading"), H.normalize_heading(H.heading_text(F.col("block"))))))
+    found = found.withColumn("category", once(F.when(F.col("heading"), H.markdown_category_of(F.col("_h")))))
     state = F.coalesce(F.last("category", ignorenulls=True).over(of_doc), F.lit("body_heading"))
     fence = F.col("block") == "$$"
     found = found.withColumn("state", state).withColumn("formula", F.sum(fence.cast("int")).over(of_doc) % 2 == 1)
-    gate = T.has_access_gate(F.col("block")) | F.col("block").rlike("^!\\[[^\\]]*\\]\\([^)]*\\)$")
+    found = found.withColumn("gate", once(T.has_access_gate(F.col("block")) | F.col("block").rlike("^!\\[[^\\]]*\\]\\([^)]*\\)$")))
+    gate = F.col("gate")
     in_body = (F.col("state") == "body_heading") & (F.col("heading") | (~F.col("formula") & ~fence & ~gate))
     in_abstract = (F.col("state") == "abstract") & ~F.col("heading") & ~fence
     joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(c, F.struct("pos", "block")))), lambda x: x["block"]), "\n\n")

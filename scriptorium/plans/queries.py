@@ -467,3 +467,119 @@ def event_counts_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import counts_by_window
 
     return counts_by_window(read_table(spark, sf_dir, "events"), "ts", "event_type")
+
+
+@query(r"""
+WITH n AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name || ', ' || c_mktsegment ELSE c_mktsegment || ' ' || c_name END AS name FROM customer),
+k AS (SELECT c_custkey, trim(regexp_replace(lower(CASE WHEN contains(name, ',') THEN trim(split_part(name, ',', 2)) || ' ' || trim(split_part(name, ',', 1)) ELSE name END), '[^a-z0-9]+', ' ', 'g')) AS key FROM n)
+SELECT key, count(*) AS names, min(c_custkey) AS first FROM k GROUP BY key""")
+def author_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in either order under one key."""
+    c = read_table(spark, sf_dir, "customer")
+    name = F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit(", "), "c_mktsegment")).otherwise(F.concat("c_mktsegment", F.lit(" "), "c_name"))
+    return c.select(T.author_key(name).alias("key"), "c_custkey").groupBy("key").agg(F.count("*").alias("names"), F.min("c_custkey").alias("first"))
+
+
+@query(r"""
+WITH r AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'https://doi.org/10.1016/J.' || user_id || '–' || event_id || ').' WHEN 1 THEN 'doi: 10.1038/S' || event_id || ' ' || user_id
+  WHEN 2 THEN 'see 10.1126/x.' || event_id || '; and more' ELSE 'no identifier ' || event_id END AS raw FROM events),
+c AS (SELECT event_id, raw, regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(lower(trim(raw)), '‐‑‒–—−', '------'), '^https?://(dx\.)?doi\.org/', ''), '^doi:\s*', ''), '\s+', '', 'g'), '[).,;]+$', '') AS cleaned FROM r)
+SELECT event_id, cleaned, regexp_replace(translate(lower(regexp_extract(raw, '(10\.[0-9]{4,9}/[^\s"<>]+)', 1)), '‐‑‒–—−', '------'), '[).,;]+$', '') AS found FROM c""")
+def doi_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOIs cleaned and found in texts that are made from event ids."""
+    e, u = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    kind = F.col("event_id") % 4
+    raw = (
+        F.when(kind == 0, F.concat(F.lit("https://doi.org/10.1016/J."), u, F.lit("–"), e, F.lit(").")))
+        .when(kind == 1, F.concat(F.lit("doi: 10.1038/S"), e, F.lit(" "), u))
+        .when(kind == 2, F.concat(F.lit("see 10.1126/x."), e, F.lit("; and more")))
+        .otherwise(F.concat(F.lit("no identifier "), e))
+    )
+    return read_table(spark, sf_dir, "events").select("event_id", I.clean_doi(raw).alias("cleaned"), F.coalesce(I.extract_doi(raw), F.lit("")).alias("found"))
+
+
+_MIMES = ["application/pdf", "text/html; charset=utf-8", "image/png", "odd/type"]
+
+
+@query(f"""
+WITH m AS (SELECT p_partkey, list_value({_quoted(_MIMES)})[1 + p_partkey % 4] AS mime, 'http://h/a/' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '.tar.gz?x=1' ELSE '' END AS url FROM part)
+SELECT p_partkey, CASE WHEN starts_with(mime, 'application/pdf') THEN '.pdf' WHEN starts_with(mime, 'text/html') THEN '.html' WHEN mime = 'image/png' THEN '.png' WHEN p_partkey % 3 = 0 THEN '.gz' ELSE '.bin' END AS extension FROM m""")
+def file_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extensions from MIME types, else from URLs."""
+    p = F.col("p_partkey")
+    mime = F.element_at(F.array(*(F.lit(m) for m in _MIMES)), (p % 4 + 1).cast("int"))
+    url = F.concat(F.lit("http://h/a/"), p.cast("string"), F.when(p % 3 == 0, ".tar.gz?x=1").otherwise(""))
+    return read_table(spark, sf_dir, "part").select("p_partkey", I.extension(mime, url).alias("extension"))
+
+
+@query(r"""
+WITH m AS (SELECT event_id, user_id, 'fulltext:' || event_type || CASE WHEN event_id % 3 = 0 THEN '_ok' WHEN event_id % 3 = 1 THEN '_fail' ELSE '_odd' END AS mark, event_id AS pos FROM events)
+SELECT user_id, string_agg(mark, ' -> ' ORDER BY pos) FILTER (mark LIKE '%\_ok' ESCAPE '\') AS path, count(DISTINCT CASE WHEN mark LIKE '%\_odd' ESCAPE '\' THEN NULL ELSE mark END) AS marks FROM m WHERE event_id < 2000 GROUP BY user_id""")
+def success_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of success marks of each user's first events, and how many different known marks there are."""
+    e = read_table(spark, sf_dir, "events").where(F.col("event_id") < 2000)
+    end = F.when(F.col("event_id") % 3 == 0, "ok").when(F.col("event_id") % 3 == 1, "fail").otherwise("odd")
+    marked = e.select("user_id", "event_id", reports.mark(F.lit("fulltext"), F.col("event_type"), end).alias("mark"))
+    known = reports.parse_mark(F.col("mark"), ["ok", "fail"])["outcome"].isNotNull()
+    trail = F.transform(F.sort_array(F.collect_list(F.struct("event_id", "mark"))), lambda x: x["mark"])
+    out = marked.groupBy("user_id").agg(reports.success_path(trail).alias("path"), F.count_distinct(F.when(known, F.col("mark"))).alias("marks"))
+    return out.withColumn("path", F.nullif("path", F.lit("")))
+
+
+@query("""
+WITH p AS (SELECT user_id, event_id AS pos, CASE event_id % 3 WHEN 0 THEN 'negative' WHEN 1 THEN 'unknown' ELSE 'positive' END AS state FROM events)
+SELECT user_id, arg_min(pos, (CASE state WHEN 'positive' THEN 0 WHEN 'unknown' THEN 1 ELSE 2 END, pos)) AS pos FROM p GROUP BY user_id""")
+def best_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's first probe of the best state."""
+    state = F.when(F.col("event_id") % 3 == 0, "negative").when(F.col("event_id") % 3 == 1, "unknown").otherwise("positive")
+    probes = read_table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("pos"), state.alias("state"))
+    return routing.best_probe(probes, "user_id").select("user_id", "pos")
+
+
+@query("""
+WITH d AS (SELECT user_id, event_type, count(*) FILTER (event_id % 2 = 0) AS a, count(*) FILTER (event_id % 2 = 1) AS b FROM events GROUP BY 1, 2)
+SELECT user_id, event_type, b - a AS delta FROM d WHERE b <> a""")
+def counter_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences between two counters of each user, without unchanged keys."""
+    e = read_table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count_if(F.col("event_id") % 2 == 0).alias("a"), F.count_if(F.col("event_id") % 2 == 1).alias("b"))
+    maps = e.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "a"))).alias("before"), F.map_from_entries(F.collect_list(F.struct("event_type", "b"))).alias("after"))
+    return maps.select("user_id", F.explode(records.counter_delta(F.col("before"), F.col("after"))).alias("event_type", "delta"))
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, length(text) AS size FROM conversations WHERE length(text) <= 600), r AS (SELECT conv_id, turn, size, sum(size) OVER (PARTITION BY conv_id ORDER BY turn) AS total FROM t)
+SELECT conv_id, count(*) AS shown FROM r WHERE total <= 100000 GROUP BY conv_id""")
+def skipping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that fit a budget one after the other; turns of over 600 characters are skipped."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), F.char_length("text").alias("bytes"))
+    return budgets.pack_skipping(turns, 100_000, "conv_id", largest=600).groupBy("conv_id").agg(F.count("*").alias("shown"))
+
+
+@query()
+def scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of each benchmark text scored by tokens and characters, and whether the first is sure."""
+    ranked = _ranked(spark, sf_dir, 5)
+    asked = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_title"))
+    works = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("work_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
+    pairs = ranked.select("query_id", "work_id", F.col("rank").alias("pos")).join(asked, "query_id").join(works, "work_id")
+    return matching.confident(matching.score_candidates(pairs)).select("query_id", "work_id", "score", "confident")
+
+
+@query()
+def page_references_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many references, assets, abstracts and PDF links each page has."""
+    found = articles.pages_to_articles(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", *(F.size(c).cast("long").alias(c) for c in ("references", "assets", "abstracts", "pdf_urls", "meta_authors")))
+
+
+@query()
+def document_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as articles: kind, confidence, tokens, number of sections."""
+    out = articles.article_from_markdown(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "kind", "confidence", "tokens", F.size("sections").cast("long").alias("sections"))
+
+
+@query()
+def line_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of every document without navigation and promotion lines."""
+    return sections.clean_lines(read_table(spark, sf_dir, "documents")).select("doc_id", F.char_length("text").cast("long").alias("chars"))
