@@ -74,3 +74,11 @@ def test_splices_agree_with_whole_texts(text, chunk, overlap):
 
 def test_token_counts_of_nothing(empty):
     assert token_counts.count_tokens(empty, WORDS).collect() == []
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abC'é́ \n\t\r\x0b\x1c\x85\xa0\u2003\u3000中ﬁ½<|endoftext|>1!sreSRE"), max_size=60), max_size=6))
+def test_counts_by_words_are_those_of_whole_texts(texts):
+    assert token_counts.words_stand_alone(WORDS) and not token_counts.words_stand_alone(BYTES)
+    tok = tokenizer(WORDS)
+    assert token_counts._counter(WORDS)(texts) == [len(tok.encode(t, add_special_tokens=False)) for t in texts]
