@@ -184,3 +184,27 @@ def url_keys(value: Column) -> Column:
     forms = F.array(plain, path(plain), F.coalesce(F.try_url_decode(plain), plain), F.coalesce(F.try_url_decode(path(plain)), plain))
     clean = F.transform(forms, lambda x: F.regexp_replace(F.regexp_replace(F.replace(x, F.lit("\\"), F.lit("/")), "/+", "/"), "^\\./", ""))
     return F.array_distinct(F.filter(F.concat(clean, F.transform(clean, lambda x: F.regexp_replace(x, "^/+", ""))), lambda x: x != ""))
+
+
+def _dimensions(body: bytes | None) -> tuple[int, int] | None:
+    raw = bytes(body or b"")
+    if raw[:8] == b"\x89PNG\r\n\x1a\n" and len(raw) >= 24:
+        return int.from_bytes(raw[16:20], "big"), int.from_bytes(raw[20:24], "big")
+    if raw[:6] in (b"GIF87a", b"GIF89a") and len(raw) >= 10:
+        return int.from_bytes(raw[6:8], "little"), int.from_bytes(raw[8:10], "little")
+    if raw[:2] == b"BM" and len(raw) >= 26:
+        return int.from_bytes(raw[18:22], "little"), abs(int.from_bytes(raw[22:26], "little", signed=True))
+    at = 2
+    while raw[:2] == b"\xff\xd8" and at + 9 < len(raw):  # JPEG: walk the segments to a frame header
+        kind = raw[at + 1]
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(raw[at + 7 : at + 9], "big"), int.from_bytes(raw[at + 5 : at + 7], "big")
+        at += 2 + int.from_bytes(raw[at + 2 : at + 4], "big")
+    return None
+
+
+@arrow_udf("width int, height int")
+def image_dimensions(bodies: pd.Series) -> pd.DataFrame:
+    """Width and height from the header of a PNG, GIF, BMP or JPEG; nulls for others."""
+    found = [_dimensions(b) or (None, None) for b in bodies]
+    return pd.DataFrame({"width": pd.array([w for w, _ in found], "Int32"), "height": pd.array([h for _, h in found], "Int32")})

@@ -56,6 +56,48 @@ def mathml(e: ET.Element) -> str:
     return "".join(kids)
 
 
+def cals_matrix(table: ET.Element) -> tuple[list[list[str]], bool]:
+    """Rows of a CALS table with named and vertical spans filled in, and whether a span was; no rows where cells collide."""
+    names = [e.get("colname", "") for e in table.iter() if name(e) == "colspec"]
+    taken: dict[tuple[int, int], str] = {}
+    spanned, y, width = False, 0, len(names)
+    for row in (e for e in table.iter() if name(e) == "row"):
+        x = 0
+        for entry in (e for e in row if name(e) == "entry"):
+            while (y, x) in taken:
+                x += 1
+            first, last = entry.get("namest") or entry.get("colname"), entry.get("nameend")
+            if first in names:
+                x = names.index(first)
+            wide = names.index(last) - x + 1 if last in names else 1
+            tall = int(entry.get("morerows", "0") or 0) + 1
+            cells = [(y + a, x + b) for a in range(tall) for b in range(max(1, wide))]
+            if any(c in taken for c in cells):
+                return [], spanned
+            spanned |= len(cells) > 1
+            taken |= dict.fromkeys(cells, content(entry))
+            x += max(1, wide)
+            width = max(width, x)
+        y += 1
+    return [[taken.get((r, c), "") for c in range(width)] for r in range(y)], spanned
+
+
+@arrow_udf("markdown string, lossy boolean")
+def cals_table(values: pd.Series) -> pd.DataFrame:
+    """Pipe tables of CALS tables; empty where spans collide, lossy where cells were merged."""
+    from .html import aligned_table
+
+    def one(raw: str | None) -> tuple[str, bool]:
+        try:
+            rows, spanned = cals_matrix(ET.fromstring(raw or ""))
+        except (ET.ParseError, ValueError):
+            return "", False
+        return ("\n".join(aligned_table(rows)) if rows and rows[0] else ""), spanned
+
+    found = [one(v) for v in values]
+    return pd.DataFrame({"markdown": [m for m, _ in found], "lossy": [s for _, s in found]})
+
+
 def article_facts(raw: str | None) -> dict:
     out: dict = {"title": None, "abstracts": [], "sections": [], "references": [], "figures": [], "formulas": []}
     try:

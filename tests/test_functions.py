@@ -214,3 +214,19 @@ def test_containers():
     body = next(n for n in root.walk() if n.attrs.get("class") == "article-body")
     assert W.complete_ancestor(body).tag in ("main", "body") and W.container_score(body) > 400
     assert W.primary_language([{"language": "fr"}, {"language": "en-US"}]) == [{"language": "en-US"}]
+
+
+def test_image_dimensions(spark):
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big")
+    jpeg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x11\x08" + (30).to_bytes(2, "big") + (40).to_bytes(2, "big") + b"....."
+    rows = spark.createDataFrame([(bytearray(png),), (bytearray(jpeg),), (bytearray(b"GIF89a\x05\0\x06\0"),), (bytearray(b"x"),), (None,)], "b binary").select(I.image_dimensions("b").alias("d")).select("d.*")
+    assert [tuple(r) for r in rows.collect()] == [(640, 480), (40, 30), (5, 6), (None, None), (None, None)]
+
+
+def test_cals_tables(spark):
+    head = '<table><tgroup><colspec colname="a"/><colspec colname="b"/><colspec colname="c"/><tbody>'
+    ok = head + '<row><entry morerows="1">x</entry><entry namest="b" nameend="c">y</entry></row><row><entry>1</entry><entry>2</entry></row></tbody></tgroup></table>'
+    bad = head + '<row><entry namest="a" nameend="c">x</entry><entry namest="b" nameend="c">y</entry></row></tbody></tgroup></table>'
+    r = spark.createDataFrame([(ok,), (bad,), ("<no",)], "x string").select(X.cals_table("x").alias("t")).select("t.*").collect()
+    assert r[0].markdown.split("\n")[0] == "| x   | y   | y   |" and r[0].markdown.split("\n")[2] == "| x   | 1   | 2   |" and r[0].lossy
+    assert r[1].markdown == "" and r[2].markdown == ""
