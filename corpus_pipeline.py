@@ -7,7 +7,7 @@ return the columns of `documents`:
 2. jaccard_join: of each component of near copies (five-word shingles,
    similarity 0.8 or more) the document with the smallest doc_id stays.
 3. suffix_dedup: passages of `PASSAGE_BYTES` bytes that also start anywhere else
-   are cut out of the texts (about 45 words; a run of over 50 repeated words is longer).
+   are cut out of the texts (about 35 words; a run of over 50 repeated words is longer).
 4. mixing: rows are written in the order of the Pfair schedule of their sources.
 5. packing: pieces of sequences of at most 1024 tokens.
 """
@@ -20,7 +20,7 @@ from scriptorium.llm import jaccard_join, mixing, packing, rule_lists, suffix_de
 from scriptorium.llm.common import stash
 from scriptorium.llm.queries import tokenizer_path
 
-PASSAGE_BYTES = 256
+PASSAGE_BYTES = 200
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
