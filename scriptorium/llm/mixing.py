@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import document_text
 
-ROWS_PER_RANGE = 4096
+ROWS_PER_RANGE = 1024
 #: Entries of the schedule up to which it is broadcast.
 BROADCAST_ENTRIES = 1_000_000
 
