@@ -12,8 +12,8 @@ candidates, and the bits that differ are counted. Equal fingerprints are collaps
 first, so copies never meet.
 
 Defined results: null text is empty; an empty text has the fingerprint of all
-zero bits; repeated doc_id are neighbours of each other in the order of their texts; null
-doc_id come first in the order; an empty table gives no rows.
+zero bits; repeated doc_id are neighbours of each other in the order of their texts'
+MD5 digests; null doc_id come first in the order; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,10 +24,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, shingle_hashes, small_batches, text_slices, word_hashes
+from .common import mix, shingle_hashes, small_batches, stash, text_slices, word_hashes
 
 BITS = 128
 #: Texts with fewer words also vote with their byte five-grams.
@@ -106,7 +107,7 @@ def within_radius(fingerprints: DataFrame, radius: int = 3, extra: int = 2) -> D
     return pairs.where(F.col("distance") <= radius).distinct()
 
 
-_ROWS = "part int, borrowed boolean, doc_id long, text string, own binary"
+_ROWS = "part int, borrowed boolean, doc_id long, packed binary, digest binary, own binary"
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -153,8 +154,12 @@ def likeness_to_edited(docs: DataFrame) -> DataFrame:
     lows = dict(starts)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             ids, texts = batch.column(0).cast(pa.int64()), batch.column(1).fill_null("")
+            raw = [t.encode() for t in texts.to_pylist()]
+            packed = pa.array([compress(t) for t in raw], pa.binary())
+            digests = pa.array([hashlib.md5(t).digest() for t in raw], pa.binary())
             own = pa.array([x.tobytes() for x in simhash(texts)], pa.binary())
             part, null = _range(ids, splits)
             values = ids.to_pylist()
@@ -162,13 +167,14 @@ def likeness_to_edited(docs: DataFrame) -> DataFrame:
             rows = np.concatenate([np.arange(len(batch)), lent])
             to = np.concatenate([part, np.array([before[p] for p in part[lent].tolist()], np.int32)])
             take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(np.arange(len(rows)) >= len(batch)), ids.take(take), texts.take(take), own.take(take)], names=["part", "borrowed", "doc_id", "text", "own"])
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(np.arange(len(rows)) >= len(batch)), ids.take(take), packed.take(take), digests.take(take), own.take(take)], names=["part", "borrowed", "doc_id", "packed", "digest", "own"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """(row, next row) of rows that aren't borrowed; a range's only borrowed rows are its last."""
-        held = None
+        held, plain = None, zstandard.ZstdDecompressor()
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, borrowed, doc_id, packed, _, own in zip(*(c.to_pylist() for c in batch.columns)):
+                row = (part, borrowed, doc_id, plain.decompress(packed).decode(), own)
                 if held is not None:
                     assert held[0] == row[0], "a range without its next row"
                     yield held, row
@@ -207,5 +213,22 @@ def likeness_to_edited(docs: DataFrame) -> DataFrame:
             yield flush(rows)
 
     dealt = docs.select("doc_id", "text").mapInArrow(deal, _ROWS)
-    ordered = dealt.repartition(max(1, len(starts)), "part").sortWithinPartitions("part", "borrowed", F.asc_nulls_first("doc_id"), "text")
+    ordered = dealt.repartition(max(1, len(starts)), "part").sortWithinPartitions("part", "borrowed", F.asc_nulls_first("doc_id"), "digest")
     return ordered.mapInArrow(edited, _OUT)
+
+
+def count_near(rows: DataFrame, radius: int = 3, extra: int = 2) -> DataFrame:
+    """Add `near_fingerprints`: how many other fingerprints of the table are within the radius of a row's own.
+
+    Copies share a fingerprint and don't count. `rows` is read twice: give a stored table.
+    """
+    pairs = within_radius(rows, radius, extra)
+    ends = pairs.select(F.col("left").alias("_fp")).unionByName(pairs.select(F.col("right").alias("_fp")))
+    counts = ends.groupBy("_fp").agg(F.count("*").alias("near_fingerprints"))
+    out = rows.join(counts, rows["fingerprint"] == counts["_fp"], "left").drop("_fp")
+    return out.withColumn("near_fingerprints", F.coalesce("near_fingerprints", F.lit(0)).cast("long"))
+
+
+def report(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """`likeness_to_edited` with the number of near fingerprints of each text."""
+    return count_near(stash(likeness_to_edited(docs), "fingerprints"), radius)

@@ -50,7 +50,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.likeness_to_edited(_documents(spark, sf_dir))
+    return fingerprints.report(_documents(spark, sf_dir), radius=3)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

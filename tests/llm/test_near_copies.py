@@ -135,7 +135,7 @@ def test_bucket_order_is_the_suffixes_order():
 
 
 def test_fingerprints_of_equal_and_edited_texts(edge, edge_rows, empty):
-    rows = sorted(((d is not None, d or 0, t or "") for d, t, *_ in edge_rows))
+    rows = sorted(((d is not None, d or 0, t or "") for d, t, *_ in edge_rows), key=lambda r: (*r[:2], hashlib.md5(r[2].encode()).digest()))
     got = fingerprints.likeness_to_edited(edge).collect()
     want = Counter()
     for k, (known, d, t) in enumerate(rows):
@@ -171,6 +171,15 @@ def test_radius_search_against_brute_force(spark):
     assert got == want and got
 
 
+def test_near_fingerprints_are_counted(spark, edge, empty):
+    rows = fingerprints.report(spark.read.parquet(f"{SF}/documents.parquet"), radius=6).collect()
+    fps = {r.fingerprint for r in rows}
+    for r in rows:
+        own = int(r.fingerprint, 16)
+        assert r.near_fingerprints == sum(0 < (own ^ int(f, 16)).bit_count() <= 6 for f in fps)
+    assert fingerprints.report(edge).count() == edge.count() and fingerprints.report(empty).collect() == []
+
+
 def test_separation_on_real_texts(spark):
     rows = fingerprints.likeness_to_edited(spark.read.parquet(f"{SF}/documents.parquet")).collect()
     assert np.mean([r.near_edited > r.near_next for r in rows]) > 0.95
