@@ -417,9 +417,8 @@ SELECT event_id, user_id, bytes FROM n WHERE k <= 8 AND total <= 40000""")
 def cache_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each user's cache keeps: 20 days, eight entries, 40000 bytes."""
     e = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.floor(F.col("value") * 100).cast("long").alias("bytes"))
-    now = e.agg(F.max("ts").alias("now"))
-    held = e.crossJoin(F.broadcast(now))  # one row
-    return records.evict(held, F.col("now"), F.expr("INTERVAL 20 DAYS"), 8, 40000, at="ts", size="bytes", key="event_id", pool="user_id").select("event_id", "user_id", "bytes")
+    now = F.lit(e.agg(F.max("ts")).first()[0])
+    return records.evict(e, now, F.expr("INTERVAL 20 DAYS"), 8, 40000, at="ts", size="bytes", key="event_id", pool="user_id").select("event_id", "user_id", "bytes")
 
 
 @query("""
@@ -429,9 +428,9 @@ SELECT user_id, coalesce(CASE WHEN stop IS NULL OR first < stop THEN first END,
 def waterfall_first_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's first success before a failure that stops the rest; outcomes are made from event types."""
     e = read_table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("pos"), "event_type")
-    ends = e.agg(F.min("event_type").alias("low"), F.max("event_type").alias("high"))
-    outcome = F.when(F.col("event_type") == F.col("low"), "success").when(F.col("event_type") == F.col("high"), "stop").otherwise("failed")
-    return routing.waterfall(e.crossJoin(F.broadcast(ends)).withColumn("outcome", outcome), "user_id").na.fill(-1, ["winner"])  # ends: one row
+    low, high = e.agg(F.min("event_type"), F.max("event_type")).first()
+    outcome = F.when(F.col("event_type") == low, "success").when(F.col("event_type") == high, "stop").otherwise("failed")
+    return routing.waterfall(e.withColumn("outcome", outcome), "user_id").na.fill(-1, ["winner"])
 
 
 @query("SELECT user_id, event_type, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2")
