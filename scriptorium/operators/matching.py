@@ -44,6 +44,17 @@ def matcher_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left.fillna(""), right.fillna(""))])
 
 
+@arrow_udf("double")
+def matcher_ratio_from(left: pd.Series, right: pd.Series, least: pd.Series) -> pd.Series:
+    """The same where it can reach `least`, else 0: two cheap upper bounds come first."""
+
+    def one(a: str, b: str, bound: float) -> float:
+        m = SequenceMatcher(None, a, b)
+        return m.ratio() if m.real_quick_ratio() >= bound and m.quick_ratio() >= bound else 0.0
+
+    return pd.Series([one(a, b, x) for a, b, x in zip(left.fillna(""), right.fillna(""), least)], dtype="float64")
+
+
 def title_tokens(value: Column) -> Column:
     return F.array_distinct(F.filter(F.split(T.normalize_title(value), " "), lambda t: t != ""))
 
@@ -108,7 +119,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     pairs = a.join(b, "_piece").where((F.col("left") < F.col("right")) & (F.abs(F.col("n") - F.col("m")) <= band)).select("left", "right").distinct()
     texts = lambda side: own.select(F.col(key).alias(side), F.col("_text").alias(f"{side}_text"))
     both = pairs.join(texts("left"), "left").join(texts("right"), "right")
-    return both.withColumn("ratio", matcher_ratio("left_text", "right_text")).where(F.col("ratio") >= ratio).select("left", "right", "ratio")
+    return both.withColumn("ratio", matcher_ratio_from("left_text", "right_text", F.lit(ratio))).where(F.col("ratio") >= ratio).select("left", "right", "ratio")
 
 
 def image_matches(left: Column, right: Column) -> Column:

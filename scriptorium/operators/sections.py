@@ -261,13 +261,13 @@ def without_leading_abstract(found: DataFrame, abstracts: DataFrame, key: str =
 
     Only paragraphs whose length is near an abstract paragraph's are compared, and only within a document.
     """
-    from .matching import matcher_ratio
+    from .matching import matcher_ratio_from
 
     split = lambda c: F.split(c, f"\\n{T.SPACE}*\\n")
     known = abstracts.select(key, F.explode(split(F.col("abstract"))).alias("a")).withColumn("a", T.normalize_text(F.col("a"))).where("a <> ''")
     paragraphs = found.where(F.col("kind") == "body").select(key, "section", F.posexplode(split(F.col("text"))).alias("at", "raw")).withColumn("p", T.normalize_text(T.strip_markdown_images(F.col("raw")))).where("p <> ''")
     close = paragraphs.join(known, key).where(F.abs(F.char_length("p") - F.char_length("a")) <= band)
-    same = (T.canonical(F.col("p")) == T.canonical(F.col("a"))) | (matcher_ratio("p", "a") >= ratio)
+    same = (T.canonical(F.col("p")) == T.canonical(F.col("a"))) | (matcher_ratio_from("p", "a", F.lit(ratio)) >= ratio)
     repeats = close.where(same).select(key, "section", "at").distinct().withColumn("repeat", F.lit(True))
     marked = paragraphs.join(repeats, [key, "section", "at"], "left")
     first_own = F.min(F.when(F.col("repeat").isNull(), F.col("at"))).over(Window.partitionBy(key, "section"))
