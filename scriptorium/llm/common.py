@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 
 #: Bytes of text that one vectorised step works on; bounds a Python worker's memory.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
@@ -58,6 +58,21 @@ def forget(*tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Workspace:
+    """Stashed tables of one operator, deleted together once its result is stored."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def stash(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(stash(df, name))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        forget(*self.tables)
+        self.tables = []
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Bound the Arrow batches that go to Python workers (rows; long texts also by bytes)."""
     ship_package(spark)

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import document_text, forget, shingle_hashes, small_batches, stash, text_slices, word_hashes
+from .common import Workspace, document_text, shingle_hashes, small_batches, stash, text_slices, word_hashes
 from .components import components
 
 #: log2 of the sketch's counters; 4 bytes each, whatever the input's size.
@@ -310,11 +310,12 @@ def join(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     doc_id, and the verified links of its class of equal sets that the join looked at."""
     spark = docs.sparkSession
     small_batches(spark)
-    table = stash(_prefixes(docs, how, shingle_sketch(docs, how)), "prefixes")
+    space = Workspace()
+    table = space.stash(_prefixes(docs, how, shingle_sketch(docs, how)), "prefixes")
     classes = table.where(F.col("n") > 0).groupBy("set_key", "group_key", "n").agg(F.min("node").alias("cls"))
-    classes = stash(classes, "classes")
+    classes = space.stash(classes, "classes")
     groups = classes.groupBy("group_key").agg(F.min("cls").alias("gid"), F.count("*").alias("size"))
-    members = stash(classes.join(groups, "group_key").select("cls", "gid", "n", "size"), "members")
+    members = space.stash(classes.join(groups, "group_key").select("cls", "gid", "n", "size"), "members")
 
     # lists of groups by prefix shingle
     heads = members.where(F.col("cls") == F.col("gid")).select(F.col("gid").alias("node"), "n")
@@ -323,7 +324,7 @@ def join(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     tokens = tokens.select("tok", "gid", "n", F.col("place").cast("long").alias("place"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     dealt = tokens.repartition("tok").sortWithinPartitions("tok", "n", "gid")
-    found = stash(dealt.mapInArrow(_list_pairs(how), "a long, b long, list long, place long").distinct(), "lists")
+    found = space.stash(dealt.mapInArrow(_list_pairs(how), "a long, b long, list long, place long").distinct(), "lists")
     small_batches(spark, 512)
     pairs = found.where(F.col("list").isNull()).select("a", "b")
 
@@ -340,7 +341,7 @@ def join(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     inside = inner.select("gid", F.col("cls").alias("a")).join(inner.select("gid", F.col("cls").alias("b")), "gid").where(F.col("a") < F.col("b")).select("a", "b")
     star = members.where((F.col("size") > SMALL_GROUP) & (F.col("cls") != F.col("gid"))).select(F.col("gid").alias("a"), F.col("cls").alias("b"))
     first = few.unionByName(stars).unionByName(inside).unionByName(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
-    first = stash(_plausible(first, table, how), "pairs")
+    first = space.stash(_plausible(first, table, how), "pairs")
 
     # what is still open: lists, group pairs and groups that were not looked at pair by pair
     open_lists = found.where(F.col("list").isNotNull()).select("list", F.col("a").alias("gid"), "place")
@@ -353,37 +354,39 @@ def join(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     least = open_rows.groupBy("list").agg(F.min("n").alias("least"))
     fits = lambda room, n, m: room * (100 + how.percent) >= how.percent * (n + m)
     open_rows = open_rows.join(least, "list").where(fits(F.col("room"), F.col("n"), F.col("least"))).drop("least")
-    open_rows = stash(open_rows.distinct(), "open")
+    open_rows = space.stash(open_rows.distinct(), "open")
 
     wanted = first.select(F.col("a").alias("_id")).unionByName(first.select(F.col("b").alias("_id"))).unionByName(open_rows.select(F.col("cls").alias("_id"))).distinct()
-    wanted = stash(wanted, "wanted")
+    wanted = space.stash(wanted, "wanted")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     texts = docs.select(_node().alias("_id"), document_text().alias("_text")).join(wanted, "_id", "left_semi")
-    texts = stash(texts, "texts")
-    links = stash(_verified(first, texts, how), "links")
+    texts = space.stash(texts, "texts")
+    links = space.stash(_verified(first, texts, how), "links")
     one = _one_document(table, classes)
-    labels = stash(components(links.unionByName(one)), "labels")
+    labels = space.stash(components(links.unionByName(one)), "labels")
 
     rest = open_rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-    rest = stash(rest.select("list", "cls", "n", "room", F.coalesce("component", "cls").alias("component")), "open")
+    rest = space.stash(rest.select("list", "cls", "n", "room", F.coalesce("component", "cls").alias("component")), "open")
     mixed = rest.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") != F.col("high")).select("list")
-    rest = stash(rest.join(mixed, "list", "left_semi"), "open")
+    rest = space.stash(rest.join(mixed, "list", "left_semi"), "open")
     if not rest.isEmpty():
         x = rest.select("list", F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("room").alias("a_room"), F.col("component").alias("a_of"))
         y = rest.select("list", F.col("cls").alias("b"), F.col("n").alias("b_n"), F.col("room").alias("b_room"), F.col("component").alias("b_of"))
         near = fits(F.least("a_room", "b_room"), F.col("a_n"), F.col("b_n"))
         across = x.join(y, "list").where((F.col("a") < F.col("b")) & (F.col("a_of") != F.col("b_of")) & near).select("a", "b").distinct()
         across = _plausible(across.join(first, ["a", "b"], "left_anti"), table, how)
-        links = stash(links.unionByName(_verified(across, texts, how)), "links")
-        labels = stash(components(links.unionByName(one)), "labels")
+        links = space.stash(links.unionByName(_verified(across, texts, how)), "links")
+        labels = space.stash(components(links.unionByName(one)), "labels")
 
     degree = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
     named = classes.select("set_key", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").join(degree, "cls", "left")
     named = named.select("set_key", F.coalesce("component", "cls").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = table.select("doc_id", "node", "n", "set_key").join(named, "set_key", "left")
     own = F.coalesce(F.col("component"), F.col("node"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(own < _NULL_ID, own).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    result = stash(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(own < _NULL_ID, own).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "result")
+    space.clear()
+    return result
 
 
 def keep_one(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:

@@ -42,12 +42,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import document_text, mix, small_batches, stash, text_slices
+from .common import Workspace, document_text, mix, small_batches, stash, text_slices
 
 #: Rows of one anchor from which its windows are counted by fingerprints.
 HOT = 100_000
 #: Contexts that are sorted at once.
-BLOCK = 4096
+BLOCK = 2048
 _M = np.uint64(0x94D049BB133111EB)
 
 
@@ -273,7 +273,7 @@ def _contexts(length: int, k: int):
                     context = raw[a : p + length]
                     ckey = xxhash.xxh3_128_digest(context, seed=p - a)
                     new = ckey not in seen
-                    if new and len(seen) < 1 << 20:
+                    if new and len(seen) < 1 << 18:
                         seen.add(ckey)
                     for column, value in zip(out, (x["anchor"], ckey, tkey, p, p - a, context if new else None)):
                         column.append(value)
@@ -365,13 +365,13 @@ def _key(text: F.Column) -> F.Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def _repeated(docs: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFrame]:
+def _repeated(docs: DataFrame, length: int, hot: int, space: Workspace) -> tuple[DataFrame, DataFrame]:
     """(tkey, start, end) of repeated bytes inside different places, and the packed texts that may have some."""
     spark = docs.sparkSession
     small_batches(spark)
     k = 64 if length >= 256 else 32 if length >= 96 else 8
     texts = docs.select(_key(document_text()).alias("tkey"), document_text().alias("text")).where(F.octet_length("text") >= length)
-    every = stash(texts.mapInArrow(_find_anchors(length, k), "anchor long, tkey binary, pos long"), "anchors")
+    every = space.stash(texts.mapInArrow(_find_anchors(length, k), "anchor long, tkey binary, pos long"), "anchors")
     place = F.xxhash64("tkey", "pos")
     again = every.groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("rows")).where(F.col("low") != F.col("high"))
     again = again.select("anchor", (F.col("rows") > hot).alias("hot"))
@@ -379,14 +379,14 @@ def _repeated(docs: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFr
     lists = shared.groupBy("tkey").agg(F.sort_array(F.collect_list(F.struct("pos", "anchor", "hot"))).alias("own"))
     packed = texts.mapInArrow(_once_compressed, "tkey binary, packed binary")
     small_batches(spark, 256)
-    some = stash(packed.join(lists, "tkey"), "texts")
+    some = space.stash(packed.join(lists, "tkey"), "texts")
     cold = some.select("tkey", "packed", F.filter("own", lambda x: ~x["hot"]).alias("own"))
     contexts = cold.where(F.size("own") > 0).mapInArrow(_contexts(length, k), _CONTEXT)
     dealt = contexts.repartition("anchor").sortWithinPartitions("anchor", "ckey", F.asc_nulls_last("context"), "tkey", "pos")
-    ranges = stash(dealt.mapInArrow(_sorted_buckets(length, k), _RANGE), "ranges")
+    ranges = space.stash(dealt.mapInArrow(_sorted_buckets(length, k), _RANGE), "ranges")
     frequent = some.select("tkey", "packed", F.filter("own", lambda x: x["hot"]).alias("own")).where(F.size("own") > 0)
     if not frequent.isEmpty():
-        windows = stash(frequent.mapInArrow(_windows(length, k), "window binary, tkey binary, start long").distinct(), "windows")
+        windows = space.stash(frequent.mapInArrow(_windows(length, k), "window binary, tkey binary, start long").distinct(), "windows")
         place = F.xxhash64("tkey", "start")
         twice = windows.groupBy("window").agg(F.min(place).alias("low"), F.max(place).alias("high")).where(F.col("low") != F.col("high")).select("window")
         ranges = ranges.unionByName(windows.join(twice, "window", "left_semi").select("tkey", "start", (F.col("start") + length).alias("end")))
@@ -428,11 +428,14 @@ def _cut(with_text: bool):
 
 def _results(docs: DataFrame, length: int, with_text: bool, hot: int) -> DataFrame:
     """The rows of `docs` with _key, _n (bytes), _copies, and _removed, _spans, _sha, _kept where bytes inside go."""
-    ranges, texts = _repeated(docs, length, hot)
+    space = Workspace()
+    ranges, texts = _repeated(docs, length, hot, space)
     per_text = ranges.distinct().groupBy("tkey").agg(F.collect_list(F.struct("start", "end")).alias("own"))
     cut = texts.join(per_text, "tkey").mapInArrow(_cut(with_text), "_tkey binary, _removed long, _spans long, _sha string, _kept string")
     # a text whose copies come from several tasks may be there more than once
     cut = cut.groupBy("_tkey").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("_removed", "_spans", "_sha", "_kept")))
+    cut = stash(cut, "cut")
+    space.clear()
     rows = docs.withColumn("_key", _key(document_text())).withColumn("_n", F.octet_length(document_text()).cast("long"))
     copies = rows.where(F.col("_n") >= length).groupBy("_key").agg(F.count("*").alias("_copies")).where(F.col("_copies") > 1)
     changed = cut.join(copies.withColumnRenamed("_key", "_tkey"), "_tkey", "full_outer")
