@@ -51,7 +51,7 @@ PIVOTS = 3
 #: Rows of one list that are held at once.
 _HELD = 1 << 20
 _NULL_ID = 1 << 62
-#: Bits of a set's parity mark, and rows up to which the ids of candidate texts are broadcast.
+#: Bits of a set's parity mark, and rows up to which ids of candidate or dropped texts are broadcast.
 MARK_BITS, BROADCAST_ROWS = 1024, 250_000
 
 
@@ -394,6 +394,8 @@ def keep_one(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     rows with equal doc_id and text one; else null doc_id stay."""
     linked = join(docs.select("doc_id", "text"), how)
     gone = linked.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if linked.groupBy("doc_id").agg(F.count("*").alias("rows")).where(F.col("rows") > 1).isEmpty():
         return kept
