@@ -9,7 +9,8 @@ return the columns of `documents`:
 3. suffix_dedup: passages of `PASSAGE_BYTES` bytes that also start anywhere else
    are cut out of the texts (about 35 words; a run of over 50 repeated words is longer).
 4. mixing: rows are written in the order of the Pfair schedule of their sources.
-5. packing: pieces of sequences of at most 1024 tokens.
+5. packing: pieces of sequences of at most 1024 tokens. A row's slot depends on the rows alone, so it is
+   worked out again from stage 4's rows; sequences follow it by ranges of slots.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), capacity=1024)
+    return packing.pack(mixing.mix(docs), tokenizer_path("byte_bpe_50k.json"), capacity=1024, order="slot")
 
 
 STAGES = [

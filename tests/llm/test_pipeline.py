@@ -2,7 +2,7 @@ import hashlib
 from collections import Counter
 
 import corpus_pipeline
-from scriptorium.llm import jaccard_join, rule_lists, suffix_dedup
+from scriptorium.llm import jaccard_join, mixing, packing, rule_lists, suffix_dedup
 from test_near_copies import brute_components, brute_spans
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +40,26 @@ def test_run_gives_pieces(spark):
 
 def test_stages_are_four_or_five():
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_prefixes_of_sequences_follow_the_mixture(spark, monkeypatch):
+    """One dominant source, weights by square root; blocks and groups so small that there are many ranges."""
+    rows = [(k, " ".join(f"w{k * 7 + j}" for j in range(20 + k % 60)), "a" if k % 10 else "b") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    plain_mix, plain_pack = mixing.mix, packing.pack
+    monkeypatch.setattr(mixing, "mix", lambda d: plain_mix(d, block_bytes=2000))
+    monkeypatch.setattr(packing, "pack", lambda *x, **how: plain_pack(*x, **how, group_rows=150))
+    stages = dict(corpus_pipeline.STAGES)
+    pieces = stages["packing"](spark, stages["mixing"](spark, docs, SF), SF).collect()
+    assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
+    size, source = {d: len(t) for d, t, _ in rows}, {d: s for d, _, s in rows}
+    total = {s: sum(size[d] for d in size if source[d] == s) for s in "ab"}
+    share = total["b"] ** 0.5 / (total["a"] ** 0.5 + total["b"] ** 0.5)
+    done, at = Counter(), 0
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        done[source[p.doc_id]] += p.length
+        tokens = done["a"] + done["b"]
+        if done["b"] < 0.9 * sum(p.length for p in pieces if source[p.doc_id] == "b") and tokens > 15000:
+            assert abs(done["b"] / tokens - share) < 0.08
+            at += 1
+    assert at > 100
