@@ -3,14 +3,14 @@
 Each source's rows, in an order given by a hash, are cut into blocks of
 `block_bytes` bytes of text. With weight w a source's block i (from 0) is released at
 slot floor(i / w) and due before slot ceil((i + 1) / w); in each slot the released
-block with the earliest deadline runs. With weights that are whole numbers out of
-Q the schedule repeats after Q slots and meets every deadline, so after any number
-of slots each source deviates from its share by less than one block. Only one
-period is worked out, on the driver, in Q steps whatever the input's size; a block's slot
-is then arithmetic. When a source is used up, the others' weights are scaled up
+block with the earliest deadline runs. Weights are taken as exact fractions, so every
+deadline is met and after any number of slots each source deviates from its share by less than one
+block. With weights that are whole numbers out of Q the schedule repeats after Q slots and
+only one period is worked out, else every slot is: on the driver, in one step a block (4 million for
+a terabyte in blocks of 256 KiB). When a source is used up, the others' weights are scaled up
 and a new phase starts; there are at most as many phases as sources.
 
-The driver gets one row per source. Ranks inside a source come from partial sums
+The driver gets one row per source and holds one number per block. Ranks inside a source come from partial sums
 over hash ranges of its rows, so a source with a third of all rows is dealt over
 many tasks.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
@@ -34,22 +35,14 @@ from .common import document_text
 ROWS_PER_RANGE = 1024
 #: Entries of the schedule up to which it is broadcast.
 BROADCAST_ENTRIES = 1_000_000
+#: Blocks in one row of the schedule's table.
+CHUNK = 128
 
 
-def whole_weights(weights: list[float], period: int) -> list[int]:
-    """Shares as whole numbers that sum to `period`, at least 1 each, by largest remainders."""
-    total = sum(weights)
-    exact = [w / total * period for w in weights]
-    out = [max(1, math.floor(x)) for x in exact]
-    order = sorted(range(len(out)), key=lambda k: (math.floor(exact[k]) - exact[k], k))
-    k = 0
-    while sum(out) < period:
-        out[order[k % len(out)]] += 1
-        k += 1
-    while sum(out) > period:
-        big = max(range(len(out)), key=lambda j: (out[j], -j))
-        out[big] -= 1
-    return out
+def whole_shares(weights: list[Fraction], period: int) -> list[int] | None:
+    """The weights as whole numbers that sum to `period`, or None where they are none."""
+    exact = [w * period / sum(weights) for w in weights]
+    return [int(x) for x in exact] if all(x.denominator == 1 and x >= 1 for x in exact) else None
 
 
 def pfair_period(shares: list[int]) -> list[list[int]]:
@@ -69,27 +62,69 @@ def pfair_period(shares: list[int]) -> list[list[int]]:
     return slots
 
 
+def pfair_until(weights: list[Fraction], blocks: list[int]) -> tuple[list[list[int]], int]:
+    """Slots of each source's blocks by earliest deadline among the released, up to the slot in which a source's last block runs."""
+    whole = sum(weights)
+    step = [whole / w for w in weights]
+    slots: list[list[int]] = [[] for _ in weights]
+    coming = [(0, s, 0) for s in range(len(weights))]  # (release, source, block)
+    ready: list[tuple[int, int, int]] = []
+    t = 0
+    while True:
+        while coming and coming[0][0] <= t:
+            _, s, i = heapq.heappop(coming)
+            up, down = (i + 1) * step[s].numerator, step[s].denominator
+            heapq.heappush(ready, (-(-up // down), s, i))
+            heapq.heappush(coming, (up // down, s, i + 1))
+        _, s, i = heapq.heappop(ready)
+        slots[s].append(t)
+        t += 1
+        if i + 1 == blocks[s]:
+            return slots, t
+
+
 def schedule(weights: list[float], blocks: list[int], period: int = 1000) -> list[tuple[int, int, int, int, int, list[int]]]:
-    """(source, phase, its first block, first slot, period, slots in the period) of every source and phase."""
+    """(source, phase, its first block, first slot, period, slots in the period) of every source and phase.
+
+    Weights that are whole numbers out of `period` give one period that repeats; with others a phase is one
+    period as long as itself, so that no share is rounded.
+    """
     out, start, phase = [], 0, 0
+    exact = [Fraction(w) for w in weights]
     left, first = list(blocks), [0] * len(blocks)
     live = [s for s, n in enumerate(blocks) if n > 0]
     while live:
-        q = max(period, 4 * len(live)) if len(live) > 1 else 1
-        shares = whole_weights([weights[s] for s in live], q)
-        slots = pfair_period(shares)
-        last = [(left[s] - 1) // c * q + own[(left[s] - 1) % c] for s, c, own in zip(live, shares, slots)]
-        end = min(last) + 1
-        for s, c, own in zip(live, shares, slots):
-            out.append((s, phase, first[s], start, q, own))
-            done = end // q * c + sum(x < end % q for x in own)
-            first[s] += done
-            left[s] -= done
+        own_weights = [exact[s] for s in live]
+        shares = [1] if len(live) == 1 else whole_shares(own_weights, period)
+        if shares is not None:
+            q, slots = sum(shares), pfair_period(shares)
+            end = min((left[s] - 1) // c * q + own[(left[s] - 1) % c] for s, c, own in zip(live, shares, slots)) + 1
+        else:
+            slots, end = pfair_until(own_weights, [left[s] for s in live])
+            q = end
+        for s, own in zip(live, slots):
+            if own:
+                out.append((s, phase, first[s], start, q, own))
+                done = end // q * len(own) + sum(x < end % q for x in own)
+                first[s] += done
+                left[s] -= done
         start, phase = start + end, phase + 1
         live = [s for s in live if left[s] > 0]
     return out
 
 
+def placements(table: list[tuple[int, int, int, int, int, list[int]]], blocks: list[int]) -> Iterator[tuple[int, int, int, int, list[int]]]:
+    """(source, block // CHUNK, phase, first block, slots of the blocks from it on) of a schedule, in rows of up to CHUNK blocks."""
+    ends = dict(enumerate(blocks))
+    for s, phase, first, start, q, own in reversed(table):
+        at = first
+        while at < ends[s]:
+            to = min(ends[s], (at // CHUNK + 1) * CHUNK)
+            yield s, at // CHUNK, phase, at, [start + (b - first) // len(own) * q + own[(b - first) % len(own)] for b in range(at, to)]
+            at = to
+        ends[s] = first
+
+
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int = 1 << 18, period: int = 1000) -> DataFrame:
     """Add `n_bytes`, `block`, `phase` and `slot`; rows in order of (slot, rank) are the mixture.
 
@@ -120,19 +155,18 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_b
     else:
         least = min(weights.values())
         own = [float(weights.get(x, least)) for x in names]
-    table = schedule(own, [n // block_bytes + 1 for n in sizes], period)
-    plan = spark.createDataFrame([(names[k], phase, first, start, q, slots) for k, phase, first, start, q, slots in table], "_source string, phase int, _first long, _start long, _q long, _slots array<int>")
-    after = Window.partitionBy("_source").orderBy("phase")
-    plan = plan.withColumn("_end", F.coalesce(F.lead("_first").over(after), F.lit((1 << 62))))
-    if sum(len(x[5]) for x in table) <= BROADCAST_ENTRIES:
+    blocks = [n // block_bytes + 1 for n in sizes]
+    rows_of = placements(schedule(own, blocks, period), blocks)
+    plan = spark.createDataFrame([(names[k], chunk, phase, first, slots) for k, chunk, phase, first, slots in rows_of], "_source string, _chunk long, phase int, _first long, _slots array<long>")
+    if sum(blocks) <= BROADCAST_ENTRIES:
         plan = F.broadcast(plan)
-    out = placed.join(plan, placed["source"].eqNullSafe(F.col("_source")) & (F.col("block") >= F.col("_first")) & (F.col("block") < F.col("_end")))
-    at, share = F.col("block") - F.col("_first"), F.size("_slots")
-    slot = F.col("_start") + F.floor(at / share).cast("long") * F.col("_q") + F.element_at("_slots", (at % share + 1).cast("int"))
-    return out.withColumn("slot", slot.cast("long")).drop("_source", "_first", "_start", "_q", "_slots", "_end")
+    at = F.col("block") - F.col("_first")
+    here = placed["source"].eqNullSafe(F.col("_source")) & (F.floor(F.col("block") / CHUNK) == F.col("_chunk")) & (at >= 0) & (at < F.size("_slots"))
+    slot = F.element_at("_slots", (at + 1).cast("int"))
+    return placed.join(plan, here).withColumn("slot", slot).drop("_source", "_chunk", "_first", "_slots")
 
 
-def deviation(weights: list[int], order: list[int]) -> Fraction:
+def deviation(weights: list[int] | list[Fraction], order: list[int]) -> Fraction:
     """The largest distance, in blocks, of any source from its share after any number of slots."""
     total, done, worst = sum(weights), [0] * len(weights), Fraction(0)
     for t, s in enumerate(order, 1):

@@ -182,3 +182,35 @@ def test_sql_of_warc_query():
     rows = con.execute(sql).fetchall()
     want = {i: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode() for i, h in ((1, "a"), (2, "a"), (3, None), (4, ""))}
     assert {r[0]: r[2] for r in rows} == want
+
+
+def test_schedule_keeps_weights_that_are_no_thousandths():
+    """Over many periods, down to a source far below one slot in a thousand."""
+    for weights in ([1 / 3, 2 / 3], [2**0.5, 3**0.5, 0.0004, 1.0]):
+        blocks = [20_000] * len(weights)
+        order = {}
+        for s, phase, first, start, q, own in (table := mixing.schedule(weights, blocks)):
+            last = min([x[2] for x in table if x[0] == s and x[1] > phase], default=blocks[s])
+            order.update({start + (b - first) // len(own) * q + own[(b - first) % len(own)]: s for b in range(first, last)})
+        slots = [order[t] for t in range(len(order))]
+        until = min(max(t for t, s in order.items() if s == k) for k in range(len(weights)))
+        total, exact, done = sum(map(Fraction, weights)), [Fraction(w) for w in weights], [0] * len(weights)
+        for t, s in enumerate(slots[:until], 1):
+            done[s] += 1
+            if t % 97 == 0:
+                assert all(abs(w * t / total - d) < 1 for w, d in zip(exact, done))
+
+
+def test_mixture_takes_slots_from_the_schedule(spark, monkeypatch):
+    """Irrational weights and blocks over several rows of the schedule's table, joined with and without a broadcast."""
+    docs = spark.createDataFrame([(k, "x" * 50, "abc"[k % 7 % 3]) for k in range(900)], "doc_id long, text string, source string")
+    for bound in (mixing.BROADCAST_ENTRIES, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_ENTRIES", bound)
+        rows = mixing.mix(docs, block_bytes=100).collect()
+        sizes = [50 * sum(r.source == s for r in rows) for s in "abc"]
+        blocks = [n // 100 + 1 for n in sizes]
+        want = {}
+        for k, chunk, phase, first, slots in mixing.placements(mixing.schedule([n**0.5 for n in sizes], blocks), blocks):
+            want.update({("abc"[k], first + j): (phase, slot) for j, slot in enumerate(slots)})
+        assert len(rows) == 900 and len(want) == len({x[1] for x in want.values()}) == sum(blocks)
+        assert all((r.phase, r.slot) == want[r.source, r.block] for r in rows)
