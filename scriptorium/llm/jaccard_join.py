@@ -19,6 +19,7 @@ A document's set holds 64-bit hashes of its distinct shingles. The steps:
    settled exactly: all their pairs across components that pass the positional filter are verified.
    Pairs inside a component need no look, as they cannot change it. So no pair
    within a group of copies is enumerated, and no link between components is lost.
+7. Each component's links are counted in blocks of its classes (`_link_counts`), all of them, without emitting pairs.
 
 Defined results: null or empty text has an empty set and is linked with nothing;
 rows that share a doc_id are one document (linked if any of its texts is); a null
@@ -35,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, document_text, shingle_hashes, small_batches, stash, text_slices, word_hashes
@@ -51,6 +52,9 @@ PIVOTS = 3
 #: Rows of one list that are held at once.
 _HELD = 1 << 20
 _NULL_ID = 1 << 62
+#: Shingles of a piece of a component (a class counts as `_PIECE_ROW` more), and the sizes of the matrices that count its links.
+_PIECE, _PIECE_ROW = 1 << 19, 256
+_TILE, _TILE_TERMS = 512, 4096
 #: Bits of a set's parity mark, and rows up to which ids of candidate or dropped texts are broadcast.
 MARK_BITS, BROADCAST_ROWS = 1024, 250_000
 
@@ -305,9 +309,99 @@ def _one_document(table: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(first, "node").select("a", F.col("cls").alias("b")).where(F.col("a") != F.col("b")).distinct()
 
 
-def join(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
+def _degrees(how: Likeness):
+    """(set_key, links) of the classes of each block, a pair of pieces of one component: sorted by block and side."""
+
+    def matrix(sets: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(sets), len(vocabulary)), np.float32)
+        for k, h in enumerate(sets):
+            at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+            out[k, at[vocabulary[at] == h]] = 1
+        return out
+
+    def count(sides: tuple[list, list]) -> Iterator[pa.RecordBatch]:
+        x, y = sides[0], sides[1] or sides[0]
+        own = not sides[1]  # a piece with itself
+        sets = [[np.frombuffer(r[1], np.uint64) for r in side] for side in (x, y)]
+        n = [np.array([len(h) for h in side], np.int64) for side in sets]
+        docs = [np.array([r[2] for r in side], np.int64) for side in (x, y)]
+        degree = [np.zeros(len(side), np.int64) for side in (x, y)]
+        every = np.unique(np.concatenate(sets[1]))
+        for at in range(0, len(x), _TILE):
+            a = slice(at, at + _TILE)
+            vocabulary = np.intersect1d(np.unique(np.concatenate(sets[0][a])), every, assume_unique=True)
+            common = np.zeros((len(sets[0][a]), len(y)), np.float32)
+            for v in range(0, len(vocabulary), _TILE_TERMS):
+                part = vocabulary[v : v + _TILE_TERMS]
+                left = matrix(sets[0][a], part)
+                for b in range(0, len(y), _TILE):
+                    common[:, b : b + _TILE] += left @ matrix(sets[1][b : b + _TILE], part).T
+            linked = how.linked(common.astype(np.int64), n[0][a, None], n[1][None, :])
+            if own:
+                linked[np.arange(len(linked)), np.arange(at, at + len(linked))] = False
+            degree[0][a] += linked @ docs[1]
+            degree[1] += 0 if own else docs[0][a] @ linked
+        keys, links = [r[0] for r in x], [degree[0]]
+        if not own:
+            keys, links = keys + [r[0] for r in y], [*links, degree[1]]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.concatenate(links))], names=["set_key", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sides = None, ([], [])
+        for batch in batches:
+            for key, side, set_key, members, documents in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != block and sides[0]:
+                    yield from count(sides)
+                    sides = ([], [])
+                block = key
+                sides[side].append((set_key, members, documents))
+        if sides[0]:
+            yield from count(sides)
+
+    return run
+
+
+def _link_counts(docs: DataFrame, how: Likeness, table: DataFrame, classes: DataFrame, labels: DataFrame, space: Workspace) -> DataFrame:
+    """set_key, n_links: how many other texts (distinct doc_id and set) each class of equal sets is linked with.
+
+    Links lie within components, so each component's classes, in order of size, are cut into pieces of
+    bounded size, and each pair of pieces whose sizes may be alike is counted by itself: no pair of
+    classes is emitted, and the lists that found the component don't matter.
+    """
+    rows = table.where(F.col("n") > 0).select("set_key", "node").distinct().groupBy("set_key").agg(F.count("*").alias("docs"))
+    own = classes.select("set_key", "cls", "n").join(labels.withColumnRenamed("node", "cls"), "cls", "left").join(rows, "set_key")
+    own = space.stash(own.select("set_key", "cls", "n", "docs", F.coalesce("component", "cls").alias("component")), "sized")
+    several = own.groupBy("component").agg(F.count("*").alias("classes")).where("classes > 1").select("component")
+    before = Window.partitionBy("component").orderBy("n", "set_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = own.join(several, "component", "left_semi")
+    cut = space.stash(cut.withColumn("piece", F.floor(F.sum(F.col("n") + _PIECE_ROW).over(before) / _PIECE)), "pieces")
+    pieces = cut.groupBy("component", "piece").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    right = pieces.select("component", F.col("piece").alias("other"), F.col("least").alias("o_least"))
+    blocks = pieces.join(right, "component").where((F.col("piece") <= F.col("other")) & (100 * F.col("most") >= how.percent * F.col("o_least")))
+    blocks = space.stash(blocks.select("component", "piece", "other"), "blocks")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [h for _, h in _sets(batch.column(0), how)]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary()), pa.array([h.tobytes() for h in found], pa.binary())], names=["set_key", "members"])
+
+    wanted = cut.select(F.col("cls").alias("_id")).distinct()
+    texts = docs.select(_node().alias("_id"), document_text().alias("_text")).join(wanted, "_id", "left_semi").select("_text")
+    members = texts.mapInArrow(sets, "set_key binary, members binary").groupBy("set_key").agg(F.first("members").alias("members"))
+    members = space.stash(cut.select("set_key", "docs", "component", "piece").join(members, "set_key"), "members")
+    sides = [members.join(blocks, ["component", "piece"]).select("component", "piece", "other", F.lit(0).alias("side"), "set_key", "members", "docs")]
+    later = blocks.where(F.col("piece") < F.col("other")).withColumnRenamed("piece", "first").withColumnRenamed("other", "piece")
+    sides.append(members.join(later, ["component", "piece"]).select("component", F.col("first").alias("piece"), F.col("piece").alias("other"), F.lit(1).alias("side"), "set_key", "members", "docs"))
+    block = F.concat_ws(" ", "component", "piece", "other").alias("block")
+    dealt = sides[0].unionByName(sides[1]).select(block, "side", "set_key", "members", "docs").repartition("block").sortWithinPartitions("block", "side")
+    found = dealt.mapInArrow(_degrees(how), "set_key binary, links long").groupBy("set_key").agg(F.sum("links").alias("links"))
+    copies = own.select("set_key", (F.col("docs") - 1).alias("copies"))
+    return copies.join(found, "set_key", "left").select("set_key", (F.col("copies") + F.coalesce("links", F.lit(0))).alias("n_links"))
+
+
+def join(docs: DataFrame, how: Likeness = Likeness(), count_links: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of every row: its set's size, its component's smallest
-    doc_id, and the verified links of its class of equal sets that the join looked at."""
+    doc_id, and how many other texts (distinct doc_id and set) it is linked with; null without `count_links`."""
     spark = docs.sparkSession
     small_batches(spark)
     space = Workspace()
@@ -379,12 +473,16 @@ def join(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
         links = space.stash(links.unionByName(_verified(across, texts, how)), "links")
         labels = space.stash(components(links.unionByName(one)), "labels")
 
-    degree = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
-    named = classes.select("set_key", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").join(degree, "cls", "left")
-    named = named.select("set_key", F.coalesce("component", "cls").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = classes.select("set_key", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+    named = named.select("set_key", F.coalesce("component", "cls").alias("component"))
+    if count_links:
+        small_batches(spark, 128)
+        named = named.join(_link_counts(docs, how, table, classes, labels, space), "set_key")
+    else:
+        named = named.withColumn("n_links", F.lit(None).cast("long"))
     out = table.select("doc_id", "node", "n", "set_key").join(named, "set_key", "left")
     own = F.coalesce(F.col("component"), F.col("node"))
-    result = stash(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(own < _NULL_ID, own).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "result")
+    result = stash(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(own < _NULL_ID, own).alias("component_id"), (F.coalesce("n_links", F.lit(0)) if count_links else F.col("n_links")).alias("n_links")), "result")
     space.clear()
     return result
 
@@ -392,7 +490,7 @@ def join(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
 def keep_one(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     """The rows of `docs` without near copies: of each component the one with the smallest doc_id, of
     rows with equal doc_id and text one; else null doc_id stay."""
-    linked = join(docs.select("doc_id", "text"), how)
+    linked = join(docs.select("doc_id", "text"), how, count_links=False)
     gone = linked.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)

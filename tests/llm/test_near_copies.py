@@ -189,3 +189,25 @@ def test_simhash_depends_on_text_only():
     a = fingerprints.simhash(pa.array(["some words in a row here", None, ""]).fill_null(""))
     b = fingerprints.simhash(pa.array(["x", "some words in a row here"]))
     assert (a[0] == b[1]).all() and not a[1].any() and not a[2].any()
+
+
+@pytest.mark.parametrize("piece", [1 << 19, 4000])
+def test_links_of_a_long_cluster_are_all_counted(spark, monkeypatch, piece):
+    """Over 64 distinct near copies, copies of them, texts apart, and an id with two texts; one piece, and several."""
+    monkeypatch.setattr(jaccard_join, "_PIECE", piece)
+    rng = np.random.default_rng(6)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for d in range(100):
+        own = list(base)
+        for k in rng.choice(120, int(rng.integers(0, 4)), replace=False):
+            own[k] = f"e{rng.integers(0, 60)}"
+        rows.append((d, " ".join(own)))
+    rows += [(200 + k, rows[3 * k][1]) for k in range(20)] + [(300, "a b c d e f"), (301, "a b c d e f"), (302, "g h"), (303, None), (304, None), (5, "other words than these are in it")]
+    how = jaccard_join.Likeness(4, 85)
+    sets = {(d, shingles(t, 4, False)) for d, t in rows}
+    alike = lambda x, y: x and y and 100 * len(x & y) >= 85 * len(x | y)
+    want = Counter((d, len(own := shingles(t, 4, False)), sum(bool(alike(own, s)) for e, s in sets if (e, s) != (d, own))) for d, t in rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_shingles, r.n_links) for r in jaccard_join.join(docs, how).collect())
+    assert got == want and max(n for _, _, n in got) > 64
