@@ -126,9 +126,10 @@ def train_from(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, samp
     some = docs.select("doc_id", "text").join(F.broadcast(half[0].unionByName(half[1])), "doc_id")
     rows, used = [], 0
     for r in some.orderBy(F.xxhash64("doc_id"), "doc_id", "_good").toLocalIterator():
-        used += len(r["text"] or "")
-        if used > sample_bytes:
-            break
+        size = len((r["text"] or "").encode())
+        if used + size > sample_bytes:
+            continue
+        used += size
         rows.append((r["text"] or "", r["_good"]))
     # the sample is balanced by class; the curve gets the labels' own shares back
     model = train([t for t, _ in rows], [g for _, g in rows], **how)

@@ -214,3 +214,14 @@ def test_mixture_takes_slots_from_the_schedule(spark, monkeypatch):
             want.update({("abc"[k], first + j): (phase, slot) for j, slot in enumerate(slots)})
         assert len(rows) == 900 and len(want) == len({x[1] for x in want.values()}) == sum(blocks)
         assert all((r.phase, r.slot) == want[r.source, r.block] for r in rows)
+
+
+def test_training_passes_over_a_row_that_does_not_fit(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(compression_quality, "train", lambda texts, good, **how: seen.append(texts) or compression_quality.Model(b"", b"", 0.0, 0.0, 512, 3))
+    ids = [r.doc_id for r in spark.range(12).toDF("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    text = {d: "y" * 30 for d in ids} | {ids[0]: "x" * 5000, ids[3]: "é" * 300}  # 300 characters, 600 bytes
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(d, d % 2) for d in ids], "doc_id long, quality int")
+    compression_quality.train_from(docs, labels, sample_bytes=500)
+    assert seen == [["y" * 30] * 10]
