@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, stash
+from .common import Workspace, forget, stash
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -29,10 +29,11 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, space: Workspace | None = None) -> DataFrame:
     """(node, component) of every node with a link; the component is its smallest node.
 
     `links` has columns a and b (long); links of a node with itself are ignored.
+    The last round's table goes into `space`, to be deleted with the caller's own.
     """
     now = stash(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     seen = None
@@ -44,5 +45,7 @@ def components(links: DataFrame) -> DataFrame:
         if mark == seen:
             break
         seen = mark
+    if space is not None:
+        space.tables.append(now)
     roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -29,17 +29,19 @@ component's id unless all are null; repeated rows stay; extra columns are ignore
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, document_text, shingle_hashes, small_batches, stash, text_slices, word_hashes
+from .common import Workspace, document_text, packed, shingle_hashes, small_batches, stash, text_slices, unpacked, word_hashes
 from .components import components
 
 #: log2 of the sketch's counters; 4 bytes each, whatever the input's size.
@@ -55,8 +57,8 @@ _NULL_ID = 1 << 62
 #: Shingles of a piece of a component (a class counts as `_PIECE_ROW` more), and the sizes of the matrices that count its links.
 _PIECE, _PIECE_ROW = 1 << 19, 256
 _TILE, _TILE_TERMS = 512, 4096
-#: Bits of a set's parity mark, and rows up to which ids of candidate or dropped texts are broadcast.
-MARK_BITS, BROADCAST_ROWS = 1024, 250_000
+#: Bits of a set's parity mark.
+MARK_BITS = 1024
 
 
 @dataclass(frozen=True)
@@ -268,9 +270,10 @@ def _plausible(pairs: DataFrame, table: DataFrame, how: Likeness) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, how: Likeness) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are alike enough; `texts` has _id and _text."""
+    """Those of the pairs (a, b) whose sets are alike enough; `texts` has _id and the packed _text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             ids = [batch.column(k).to_numpy() for k in (0, 1)]
             sets: dict[tuple[int, int], np.ndarray] = {}
@@ -279,7 +282,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, how: Likeness) -> DataFrame:
                 # equal texts of a batch are cut into shingles once
                 coded = batch.column(2 + side).dictionary_encode()
                 which.append(coded.indices.to_numpy())
-                for row, h in _sets(coded.dictionary, how):
+                for row, h in _sets(pa.array([plain(x).decode() for x in coded.dictionary.to_pylist()], pa.string()), how):
                     sets[side, row] = h
             keep = []
             for i, j in zip(which[0].tolist(), which[1].tolist()):
@@ -297,11 +300,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, how: Likeness) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def _one_document(table: DataFrame, classes: DataFrame) -> DataFrame:
+def _one_document(table: DataFrame, classes: DataFrame, space: Workspace) -> DataFrame:
     """Links between the classes of rows that share a doc_id but not a set."""
     own = F.xxhash64("set_key")
     several = table.where(F.col("n") > 0).groupBy("node").agg(F.min(own).alias("low"), F.max(own).alias("high")).where(F.col("low") != F.col("high")).select("node")
-    several = stash(several, "several")
+    several = space.stash(several, "several")
     if several.isEmpty():
         return table.sparkSession.createDataFrame([], "a long, b long")
     rows = table.where(F.col("n") > 0).join(several, "node", "left_semi").select("node", "set_key").join(classes.select("set_key", "cls"), "set_key")
@@ -361,12 +364,13 @@ def _degrees(how: Likeness):
     return run
 
 
-def _link_counts(docs: DataFrame, how: Likeness, table: DataFrame, classes: DataFrame, labels: DataFrame, space: Workspace) -> DataFrame:
+def _link_counts(texts: DataFrame, how: Likeness, table: DataFrame, classes: DataFrame, labels: DataFrame, space: Workspace) -> DataFrame:
     """set_key, n_links: how many other texts (distinct doc_id and set) each class of equal sets is linked with.
 
     Links lie within components, so each component's classes, in order of size, are cut into pieces of
     bounded size, and each pair of pieces whose sizes may be alike is counted by itself: no pair of
-    classes is emitted, and the lists that found the component don't matter.
+    classes is emitted, and the lists that found the component don't matter. `texts` has the packed texts of
+    all classes that any list paired; the others have no links but copies.
     """
     rows = table.where(F.col("n") > 0).select("set_key", "node").distinct().groupBy("set_key").agg(F.count("*").alias("docs"))
     own = classes.select("set_key", "cls", "n").join(labels.withColumnRenamed("node", "cls"), "cls", "left").join(rows, "set_key")
@@ -386,8 +390,8 @@ def _link_counts(docs: DataFrame, how: Likeness, table: DataFrame, classes: Data
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary()), pa.array([h.tobytes() for h in found], pa.binary())], names=["set_key", "members"])
 
     wanted = cut.select(F.col("cls").alias("_id")).distinct()
-    texts = docs.select(_node().alias("_id"), document_text().alias("_text")).join(wanted, "_id", "left_semi").select("_text")
-    members = texts.mapInArrow(sets, "set_key binary, members binary").groupBy("set_key").agg(F.first("members").alias("members"))
+    own_texts = unpacked(texts.join(wanted, "_id", "left_semi").select("_text"), "_text")
+    members = own_texts.mapInArrow(sets, "set_key binary, members binary").groupBy("set_key").agg(F.first("members").alias("members"))
     members = space.stash(cut.select("set_key", "docs", "component", "piece").join(members, "set_key"), "members")
     sides = [members.join(blocks, ["component", "piece"]).select("component", "piece", "other", F.lit(0).alias("side"), "set_key", "members", "docs")]
     later = blocks.where(F.col("piece") < F.col("other")).withColumnRenamed("piece", "first").withColumnRenamed("other", "piece")
@@ -452,32 +456,34 @@ def join(docs: DataFrame, how: Likeness = Likeness(), count_links: bool = True)
 
     wanted = first.select(F.col("a").alias("_id")).unionByName(first.select(F.col("b").alias("_id"))).unionByName(open_rows.select(F.col("cls").alias("_id"))).distinct()
     wanted = space.stash(wanted, "wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(_node().alias("_id"), document_text().alias("_text")).join(wanted, "_id", "left_semi")
+    texts = packed(docs.select(_node().alias("_id"), document_text().alias("_text")), "_text").join(wanted, "_id", "left_semi")
     texts = space.stash(texts, "texts")
     links = space.stash(_verified(first, texts, how), "links")
-    one = _one_document(table, classes)
-    labels = space.stash(components(links.unionByName(one)), "labels")
+    one = _one_document(table, classes, space)
+    labels = space.stash(components(links.unionByName(one), space), "labels")
 
     rest = open_rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     rest = space.stash(rest.select("list", "cls", "n", "room", F.coalesce("component", "cls").alias("component")), "open")
     mixed = rest.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") != F.col("high")).select("list")
     rest = space.stash(rest.join(mixed, "list", "left_semi"), "open")
     if not rest.isEmpty():
-        x = rest.select("list", F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("room").alias("a_room"), F.col("component").alias("a_of"))
-        y = rest.select("list", F.col("cls").alias("b"), F.col("n").alias("b_n"), F.col("room").alias("b_room"), F.col("component").alias("b_of"))
-        near = fits(F.least("a_room", "b_room"), F.col("a_n"), F.col("b_n"))
-        across = x.join(y, "list").where((F.col("a") < F.col("b")) & (F.col("a_of") != F.col("b_of")) & near).select("a", "b").distinct()
+        # alike sets lie in one band of size or in the next one
+        band = F.floor(F.log("n") / (1.000001 * max(0.01, math.log(100 / how.percent))))
+        x = rest.select("list", band.alias("band"), F.col("cls").alias("x"), F.col("n").alias("x_n"), F.col("room").alias("x_room"), F.col("component").alias("x_of"))
+        y = x.select("list", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("band").alias("y_band"), F.col("x").alias("y"), F.col("x_n").alias("y_n"), F.col("x_room").alias("y_room"), F.col("x_of").alias("y_of"))
+        near = fits(F.least("x_room", "y_room"), F.col("x_n"), F.col("y_n"))
+        once = (F.col("x") < F.col("y")) | (F.col("y_band") > F.col("band"))
+        across = x.join(y, ["list", "band"]).where(once & (F.col("x_of") != F.col("y_of")) & near)
+        across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         across = _plausible(across.join(first, ["a", "b"], "left_anti"), table, how)
         links = space.stash(links.unionByName(_verified(across, texts, how)), "links")
-        labels = space.stash(components(links.unionByName(one)), "labels")
+        labels = space.stash(components(links.unionByName(one), space), "labels")
 
     named = classes.select("set_key", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     named = named.select("set_key", F.coalesce("component", "cls").alias("component"))
     if count_links:
         small_batches(spark, 128)
-        named = named.join(_link_counts(docs, how, table, classes, labels, space), "set_key")
+        named = named.join(_link_counts(texts, how, table, classes, labels, space), "set_key")
     else:
         named = named.withColumn("n_links", F.lit(None).cast("long"))
     out = table.select("doc_id", "node", "n", "set_key").join(named, "set_key", "left")
@@ -492,9 +498,8 @@ def keep_one(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     rows with equal doc_id and text one; else null doc_id stay."""
     linked = join(docs.select("doc_id", "text"), how, count_links=False)
     gone = linked.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    small_batches(docs.sparkSession, 256)
+    kept = unpacked(packed(docs, "text").join(gone, "doc_id", "left_anti").select(*docs.columns), "text")
     if linked.groupBy("doc_id").agg(F.count("*").alias("rows")).where(F.col("rows") > 1).isEmpty():
         return kept
     return kept.dropDuplicates(["doc_id", "text"])
