@@ -21,6 +21,7 @@ from ..session import ship_package
 #: Bytes of text that one vectorised step works on; bounds a Python worker's memory.
 SLICE_BYTES = 1 << 20
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -46,9 +47,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage and outlives executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # the table stands for its shuffle files
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(*tables: DataFrame) -> None:
@@ -82,6 +89,14 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def free_prefix(columns: list[str], start: str) -> str:
+    """A prefix with which none of the columns begins."""
+    prefix = f"_{start}_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def document_text(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column), F.lit(""))
 
