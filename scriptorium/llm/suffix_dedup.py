@@ -9,19 +9,23 @@ else. The steps:
    suffix bucket per anchor string holds all there is to compare. An anchor
    string that occurs once in the whole input can't be in a repeated window.
 2. Contexts. An anchor that occurs again gives its suffix, cut after `length` bytes, and the
-   bytes before it that a window could reach. Equal contexts are one.
-3. Buckets are sorted one after the other in blocks of bounded size: suffixes by
+   bytes before it that a window could reach. All of a context that occurs in two places is repeated; for
+   the rest, equal contexts are one.
+3. Buckets of up to `HOT` contexts are sorted one after the other in blocks of bounded size: suffixes by
    their first v bytes, and long ties by the precomputed ranks of the block's
    difference-cover sample (for any two positions some shift below v brings both
    into the sample). The texts before the anchors are sorted the same way,
    reversed. Common prefixes of sorted neighbours then give, for each context, how
    far the longest repeated windows reach to both sides.
-4. Ranges are merged per text and cut out.
+4. Larger buckets are split by the bytes around the anchor, so that no task gets one (`_split_buckets`):
+   the windows that contain the anchor fall into `GROUPS` ranges of their start, and contexts go to a
+   sub-bucket for each range by the bytes that all its windows share (its core); sub-buckets with one context are
+   done, and the others are split again by the rest of the window, until the members of a
+   sub-bucket have the whole window in common. Counts combine before each shuffle.
+5. Ranges are merged per text and cut out.
 
 Texts are keyed by their MD5 digest; copies of a whole text take part once, and all
-their bytes go if there are `length` or more. An anchor with more than `HOT` rows isn't
-sorted in one task: its windows' 128-bit fingerprints are counted instead,
-which combines before the shuffle.
+their bytes go if there are `length` or more.
 
 Defined results: null text is empty; texts shorter than `length` lose nothing (they hold no
 such string); repeated rows are copies, whatever their doc_id; null doc_id
@@ -44,10 +48,12 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, document_text, mix, small_batches, stash, text_slices
 
-#: Rows of one anchor from which its windows are counted by fingerprints.
-HOT = 100_000
-#: Contexts that are sorted at once.
+#: Contexts of one anchor up to which its bucket is sorted whole: a worker takes some 40 KB for each.
+HOT = 8192
+#: Contexts from which a block of buckets is sorted.
 BLOCK = 2048
+#: Ranges of window starts by which larger buckets are split.
+GROUPS = 8
 _M = np.uint64(0x94D049BB133111EB)
 
 
@@ -203,7 +209,7 @@ def _reach(left: list[int], left_common: np.ndarray, right: list[int], right_com
 
 
 def _block(buckets: list[list[tuple]], length: int, reach: int) -> Iterator[tuple[bytes, int, int]]:
-    """(text key, start, end) of repeated bytes around single contexts; a bucket is a list of (left, right, text key, position or None)."""
+    """(text key, start, end) of repeated bytes around single contexts; a bucket is a list of (left, right, text key, position)."""
     contexts = [c for b in buckets for c in b]
     spans, at = [], 0
     for b in buckets:
@@ -219,11 +225,11 @@ def _block(buckets: list[list[tuple]], length: int, reach: int) -> Iterator[tupl
         part = slice(span.start, span.stop)
         back, ahead = _reach(sides[0][0][k], np.concatenate([[0], sides[0][1][part][1:]]), sides[1][0][k], np.concatenate([[0], sides[1][1][part][1:]]), span.start, length)
         for c, a, b in zip(buckets[k], back.tolist(), ahead.tolist()):
-            if c[3] is not None and a + b >= length:
+            if a + b >= length:
                 yield c[2], c[3] - a, c[3] + b
 
 
-_CONTEXT = "anchor long, ckey binary, tkey binary, pos long, before int, context binary"
+_CONTEXT = "anchor long, ckey binary, tkey binary, pos long, before int, size int, context binary"
 _RANGE = "tkey binary, start long, end long"
 
 
@@ -261,7 +267,7 @@ def _contexts(length: int, k: int):
         last, seen = None, set()
         plain = zstandard.ZstdDecompressor()
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for tkey, packed, own in zip(*(c.to_pylist() for c in batch.columns)):
                 if tkey == last:  # a copy from another task
                     continue
@@ -275,9 +281,9 @@ def _contexts(length: int, k: int):
                     new = ckey not in seen
                     if new and len(seen) < 1 << 18:
                         seen.add(ckey)
-                    for column, value in zip(out, (x["anchor"], ckey, tkey, p, p - a, context if new else None)):
+                    for column, value in zip(out, (x["anchor"], ckey, tkey, p, p - a, len(context), context if new else None)):
                         column.append(value)
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=[x.split()[0] for x in _CONTEXT.split(", ")])
 
     return run
@@ -292,9 +298,6 @@ def _sorted_buckets(length: int, k: int):
         held = 0
         bucket: list[tuple] = []  # one entry for each different context of the current anchor
         anchor = ckey = None
-        member: tuple | None = None  # the first row of the current context
-        body: bytes | None = None
-        many = False
 
         def ranges() -> pa.RecordBatch:
             nonlocal found
@@ -302,10 +305,6 @@ def _sorted_buckets(length: int, k: int):
             found = []
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["tkey", "start", "end"])
 
-        def end_context() -> None:
-            if member is not None:
-                bucket.append((body[: member[2]], body[member[2] :], member[0], None if many else member[1]))
-
         def end_bucket() -> None:
             nonlocal held, bucket
             if len(bucket) > 1:
@@ -313,30 +312,19 @@ def _sorted_buckets(length: int, k: int):
                 held += len(bucket)
             bucket = []
 
-        def whole(tkey: bytes, pos: int, before: int, size: int) -> None:
-            found.append((tkey, pos - before, pos - before + size))
-
         for batch in batches:
             for a, c, tkey, pos, before, context in zip(*(x.to_pylist() for x in batch.columns)):
-                if c != ckey or a != anchor:
-                    end_context()
-                    if a != anchor:
-                        end_bucket()
-                        if held >= BLOCK:
-                            found.extend(_block(buckets, length, reach))
-                            buckets, held = [], 0
-                        anchor = a
-                    ckey, member, body, many = c, (tkey, pos, before), context, False
-                    last = (tkey, pos)
-                elif (tkey, pos) != last:
-                    last = (tkey, pos)
-                    if not many:
-                        whole(*member, len(body))
-                        many = True
-                    whole(tkey, pos, before, len(body))
+                if a != anchor:
+                    end_bucket()
+                    if held >= BLOCK:
+                        found.extend(_block(buckets, length, reach))
+                        buckets, held = [], 0
+                elif c == ckey:  # the same context from another task
+                    continue
+                anchor, ckey = a, c
+                bucket.append((context[:before], context[before:], tkey, pos))
             if len(found) > 4096:
                 yield ranges()
-        end_context()
         end_bucket()
         if buckets:
             found.extend(_block(buckets, length, reach))
@@ -345,22 +333,98 @@ def _sorted_buckets(length: int, k: int):
     return run
 
 
-def _windows(length: int, k: int):
-    """Fingerprints of all windows around the anchors of hot buckets."""
+class _Rows:
+    """Rows of few columns, given out in batches of bounded size."""
+
+    def __init__(self, kinds: list[pa.DataType], names: list[str]):
+        self.kinds, self.names = kinds, names
+        self.columns: list[list] = [[] for _ in kinds]
+
+    def add(self, *row) -> None:
+        for column, value in zip(self.columns, row):
+            column.append(value)
+
+    def batches(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        if len(self.columns[0]) >= least:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(self.columns, self.kinds)], names=self.names)
+            self.columns = [[] for _ in self.kinds]
+
+
+def _steps(length: int, k: int) -> list[range]:
+    """How many bytes of a window stand before its anchor, in `GROUPS` ranges."""
+    many = length - k + 1
+    step = -(-many // GROUPS)
+    return [range(at, min(at + step, many)) for at in range(0, many, step)]
+
+
+def _core_keys(length: int, k: int):
+    """For each context and range: the key of what its windows share (slot 2g), and of its first window (slot 2g + 1)."""
+    groups = _steps(length, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain = zstandard.ZstdDecompressor()
+        rows = _Rows([pa.binary(), pa.binary(), pa.int32()], ["key", "ckey", "slot"])
         for batch in batches:
-            for tkey, packed, own in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = plain.decompress(packed)
-                for x in own:
-                    starts = range(max(0, x["pos"] - (length - k)), min(x["pos"], len(raw) - length) + 1)
-                    prints = [xxhash.xxh3_128_digest(raw[s : s + length]) for s in starts]
-                    yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array([tkey] * len(prints), pa.binary()), pa.array(list(starts), pa.int64())], names=["window", "tkey", "start"])
+            for ckey, before, context in zip(*(c.to_pylist() for c in batch.columns)):
+                for g, x in enumerate(groups):
+                    start, end = before - x[0], before - x[-1] + length
+                    if start >= 0 and end <= len(context):
+                        rows.add(xxhash.xxh3_128_digest(context[start:end], seed=2 * g), ckey, 2 * g)
+                    if start >= 0 and start + length <= len(context):
+                        rows.add(xxhash.xxh3_128_digest(context[start : start + length], seed=2 * g + 1), ckey, 2 * g + 1)
+                yield from rows.batches(1 << 15)
+        yield from rows.batches()
 
     return run
 
 
+def _window_keys(length: int, k: int):
+    """All windows of the ranges (slots) that are still open, by their first byte's distance to the anchor."""
+    groups = _steps(length, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _Rows([pa.binary(), pa.binary(), pa.binary(), pa.int64()], ["key", "ckey", "tkey", "start"])
+        for batch in batches:
+            for ckey, tkey, pos, before, context, slots in zip(*(c.to_pylist() for c in batch.columns)):
+                for slot in slots:
+                    for x in groups[slot // 2]:
+                        start = before - x
+                        if start >= 0 and start + length <= len(context):
+                            rows.add(xxhash.xxh3_128_digest(context[start : start + length], seed=x), ckey, tkey, pos - x)
+                yield from rows.batches(1 << 15)
+        yield from rows.batches()
+
+    return run
+
+
+def _in_two_places(rows: DataFrame, key: str, place: F.Column) -> DataFrame:
+    """Keys of rows at more than one place."""
+    ends = rows.groupBy(key).agg(F.min(place).alias("_low"), F.max(place).alias("_high"))
+    return ends.where(F.col("_low") != F.col("_high")).select(key)
+
+
+def _split_buckets(first: DataFrame, length: int, k: int, space: Workspace) -> DataFrame:
+    """Ranges (tkey, start, end) of repeated bytes around the anchors of large buckets; `first`: their contexts with bytes."""
+    own = F.xxhash64("ckey")
+    cores = first.select("ckey", "before", "context").mapInArrow(_core_keys(length, k), "key binary, ckey binary, slot int")
+    cores = space.stash(cores.distinct(), "cores")
+    cores = space.stash(cores.join(_in_two_places(cores, "key", own), "key", "left_semi"), "cores")
+    # of each context: the repeated first windows furthest to either side; what lies between them is settled
+    mark = F.when(F.col("slot") % 2 == 1, F.floor(F.col("slot") / 2))
+    known = cores.groupBy("ckey").agg(F.min(mark).alias("low"), F.max(mark).alias("high"))
+    step = lambda g: F.element_at(F.array(*(F.lit(x[0]) for x in _steps(length, k))), g.cast("int") + 1)
+    settled = first.select("ckey", "tkey", "pos").join(known.where("low is not null"), "ckey")
+    settled = settled.select("tkey", (F.col("pos") - step(F.col("high"))).alias("start"), (F.col("pos") - step(F.col("low")) + length).alias("end"))
+    group = F.floor(F.col("slot") / 2)
+    is_open = F.col("low").isNull() | (group >= F.col("high")) | (group < F.col("low"))
+    inner = cores.where(F.col("slot") % 2 == 0)
+    needed = inner.join(known, "ckey").where(is_open).select("key").distinct()
+    todo = inner.join(needed, "key", "left_semi").groupBy("ckey").agg(F.collect_set("slot").alias("slots"))
+    windows = first.join(todo, "ckey").select("ckey", "tkey", "pos", "before", "context", "slots").mapInArrow(_window_keys(length, k), "key binary, ckey binary, tkey binary, start long")
+    windows = space.stash(windows, "windows")
+    found = windows.join(_in_two_places(windows, "key", own), "key", "left_semi").select("tkey", "start", (F.col("start") + length).alias("end"))
+    return settled.unionByName(found)
+
+
 def _key(text: F.Column) -> F.Column:
     return F.unhex(F.md5(text.cast("binary")))
 
@@ -373,23 +437,22 @@ def _repeated(docs: DataFrame, length: int, hot: int, space: Workspace) -> tuple
     texts = docs.select(_key(document_text()).alias("tkey"), document_text().alias("text")).where(F.octet_length("text") >= length)
     every = space.stash(texts.mapInArrow(_find_anchors(length, k), "anchor long, tkey binary, pos long"), "anchors")
     place = F.xxhash64("tkey", "pos")
-    again = every.groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("rows")).where(F.col("low") != F.col("high"))
-    again = again.select("anchor", (F.col("rows") > hot).alias("hot"))
-    shared = every.join(again, "anchor").distinct()
-    lists = shared.groupBy("tkey").agg(F.sort_array(F.collect_list(F.struct("pos", "anchor", "hot"))).alias("own"))
+    again = space.stash(_in_two_places(every, "anchor", place), "again")
+    # one row an anchor on the right: a frequent one's rows on the left can be split over tasks
+    lists = every.join(again, "anchor").groupBy("tkey").agg(F.sort_array(F.collect_set(F.struct("pos", "anchor"))).alias("own"))
     packed = texts.mapInArrow(_once_compressed, "tkey binary, packed binary")
     small_batches(spark, 256)
     some = space.stash(packed.join(lists, "tkey"), "texts")
-    cold = some.select("tkey", "packed", F.filter("own", lambda x: ~x["hot"]).alias("own"))
-    contexts = cold.where(F.size("own") > 0).mapInArrow(_contexts(length, k), _CONTEXT)
-    dealt = contexts.repartition("anchor").sortWithinPartitions("anchor", "ckey", F.asc_nulls_last("context"), "tkey", "pos")
-    ranges = space.stash(dealt.mapInArrow(_sorted_buckets(length, k), _RANGE), "ranges")
-    frequent = some.select("tkey", "packed", F.filter("own", lambda x: x["hot"]).alias("own")).where(F.size("own") > 0)
-    if not frequent.isEmpty():
-        windows = space.stash(frequent.mapInArrow(_windows(length, k), "window binary, tkey binary, start long").distinct(), "windows")
-        place = F.xxhash64("tkey", "start")
-        twice = windows.groupBy("window").agg(F.min(place).alias("low"), F.max(place).alias("high")).where(F.col("low") != F.col("high")).select("window")
-        ranges = ranges.unionByName(windows.join(twice, "window", "left_semi").select("tkey", "start", (F.col("start") + length).alias("end")))
+    contexts = space.stash(some.mapInArrow(_contexts(length, k), _CONTEXT), "contexts")
+    twice = _in_two_places(contexts, "ckey", place)
+    start = F.col("pos") - F.col("before")
+    ranges = contexts.where(F.col("size") >= length).join(twice, "ckey", "left_semi").select("tkey", start.alias("start"), (start + F.col("size")).alias("end"))
+    first = contexts.where(F.col("context").isNotNull()).select("anchor", "ckey", "tkey", "pos", "before", "context")
+    large = first.select("anchor", "ckey").distinct().groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor")
+    large = space.stash(large, "large")
+    dealt = first.join(large, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "ckey", "tkey", "pos")
+    ranges = ranges.unionByName(space.stash(dealt.mapInArrow(_sorted_buckets(length, k), _RANGE), "ranges"))
+    ranges = ranges.unionByName(_split_buckets(first.join(large, "anchor", "left_semi"), length, k, space))
     return ranges, some.select("tkey", "packed")
 
 
