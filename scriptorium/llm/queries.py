@@ -32,7 +32,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.shard(_documents(spark, sf_dir).select("doc_id", "text"), limit=16 << 20)
+    out = sharding.shard(_documents(spark, sf_dir).select("doc_id", "text"), limit=256 << 10)
     return out.select("doc_id", "n_bytes", "shard", "depth", "page")
 
 
@@ -50,7 +50,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.report(_documents(spark, sf_dir), radius=3)
+    return fingerprints.report(_documents(spark, sf_dir), radius=fingerprints.RADIUS)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import document_text, stash
+from .common import Workspace, document_text
 
 BITS = 64
 BROADCAST_ENTRIES = 1_000_000
@@ -39,15 +39,20 @@ def _prefix(of: Column, have: int, depth: int | Column) -> Column:
 
 
 def _directory(sums: DataFrame, top: int, deepest: int, limit: int) -> DataFrame:
-    """(prefix, bytes, depth): the depth, from `top` on, at which each prefix of the deepest level first fits; null if nowhere."""
+    """(prefix, depth): the depth, from `top` on, at which each prefix of the deepest level first fits; null if nowhere.
+
+    Bytes are summed per level and node; a node that fits under one that does not is a shard.
+    """
     by_level = sums.select(
         "prefix",
         "bytes",
         F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), _prefix(F.col("prefix"), deepest, d).alias("at")) for d in range(top, deepest + 1)))).alias("x"),
     ).select("prefix", "bytes", "x.depth", "x.at")
-    levels = by_level.groupBy("depth", "at").agg(F.sum("bytes").alias("_level"), F.collect_list("prefix").alias("_below")).where(F.col("_level") <= limit)
-    fits = levels.select("depth", F.explode("_below").alias("prefix")).groupBy("prefix").agg(F.min("depth").alias("depth"))
-    return sums.join(fits, "prefix", "left")
+    fits = by_level.groupBy("depth", "at").agg(F.sum("bytes").alias("_level")).where(F.col("_level") <= limit).select("depth", "at")
+    below = fits.where(F.col("depth") < deepest).select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.shiftleft("at", 1), F.shiftleft("at", 1).bitwiseOR(F.lit(1)))).alias("at"))
+    shards = fits.join(below, ["depth", "at"], "left_anti")
+    own = by_level.join(shards, ["depth", "at"], "left_semi").select("prefix", "depth")
+    return sums.select("prefix").join(own, "prefix", "left")
 
 
 def _maybe_broadcast(table: DataFrame) -> DataFrame:
@@ -58,21 +63,25 @@ def _bits(hash_: Column, depth: Column) -> Column:
     return F.substring(F.lpad(F.bin(hash_), BITS, "0"), F.lit(1), depth)
 
 
-def shard(docs: DataFrame, limit: int, key: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
-    """Add `n_bytes`, `shard` (its prefix as bits, and its page after a dot if it has pages), `depth` and `page`."""
+def shard(docs: DataFrame, limit: int, key: tuple[str, ...] = ("doc_id", "text"), space: Workspace | None = None) -> DataFrame:
+    """Add `n_bytes`, `shard` (its prefix as bits, and its page after a dot if it has pages), `depth` and `page`.
+
+    The result reads the directory's tables, which are in `space`: clear it once the result is stored.
+    """
+    space = space or Workspace()
     rows = docs.drop("shard", "depth", "page", "n_bytes")
     rows = rows.withColumn("n_bytes", F.octet_length(document_text()).cast("long")).withColumn("_hash", F.xxhash64(*key))
     total = docs.select(F.sum(F.octet_length(document_text()).cast("long"))).first()[0] or 0
     first = min(36, max(4, math.ceil(math.log2(total / limit + 1)) + 4))
     sums = rows.groupBy(_prefix(F.col("_hash"), BITS, first).alias("prefix")).agg(F.sum("n_bytes").alias("bytes"))
-    upper = stash(_directory(sums, 0, first, limit), "directory")
+    upper = space.stash(_directory(sums, 0, first, limit), "directory")
     entries = upper.select(F.col("prefix").alias("_p"), F.col("depth").alias("_depth"))
     rows = rows.join(_maybe_broadcast(entries), _prefix(F.col("_hash"), BITS, first) == F.col("_p")).drop("_p")
     out = rows.where(F.col("_depth").isNotNull()).withColumn("page", F.lit(None).cast("long"))
     if not upper.where(F.col("depth").isNull()).isEmpty():
         over = rows.where(F.col("_depth").isNull()).drop("_depth")
         sums = over.groupBy(F.col("_hash").alias("prefix")).agg(F.sum("n_bytes").alias("bytes"))
-        lower = stash(_directory(sums, first + 1, BITS, limit), "directory")
+        lower = space.stash(_directory(sums, first + 1, BITS, limit), "directory")
         entries = lower.select(F.col("prefix").alias("_p"), F.col("depth").alias("_depth"))
         over = over.join(_maybe_broadcast(entries), F.col("_hash") == F.col("_p")).drop("_p")
         fits = over.where(F.col("_depth").isNotNull()).withColumn("page", F.lit(None).cast("long"))
@@ -91,5 +100,5 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder per shard, its rows written by one task."""
+    """One folder per shard, its rows written by one task: a shard holds at most the limit, and a larger row has its own."""
     sharded.repartition("shard").write.partitionBy("shard").parquet(path)
