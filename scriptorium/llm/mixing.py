@@ -6,8 +6,8 @@ slot floor(i / w) and due before slot ceil((i + 1) / w); in each slot the releas
 block with the earliest deadline runs. Weights are taken as exact fractions, so every
 deadline is met and after any number of slots each source deviates from its share by less than one
 block. With weights that are whole numbers out of Q the schedule repeats after Q slots and
-only one period is worked out, else every slot is: on the driver, in one step a block (4 million for
-a terabyte in blocks of 256 KiB). When a source is used up, the others' weights are scaled up
+only one period is worked out, else every slot is: on the driver, in one step a block (by default there are at
+most `MOST_BLOCKS` blocks and one more a source, whatever the input's size). When a source is used up, the others' weights are scaled up
 and a new phase starts; there are at most as many phases as sources.
 
 The driver gets one row per source and holds one number per block. Ranks inside a source come from partial sums
@@ -16,8 +16,8 @@ many tasks.
 
 Defined results: every row is placed, none is dropped or repeated; null source is
 a source of its own; null text has 0 bytes; repeated rows follow each other; an empty
-table gives no rows; other columns of the input are kept (clashing names of the
-schedule, `block` `phase` `slot`, are replaced).
+table gives no rows; a source of no bytes has one block; other columns of the input are kept (those
+named like the schedule's, `ADDED` behind the prefix, are replaced: choose a free prefix).
 """
 
 from __future__ import annotations
@@ -33,8 +33,12 @@ from pyspark.sql import functions as F
 from .common import document_text
 
 ROWS_PER_RANGE = 1024
+#: Columns of the schedule.
+ADDED = ("n_bytes", "rank", "block", "phase", "slot")
+#: Default blocks: bytes at least, and how many of all sources at most, which bounds the driver's schedule.
+LEAST_BLOCK, MOST_BLOCKS = 1 << 14, 1 << 20
 #: Entries of the schedule up to which it is broadcast.
-BROADCAST_ENTRIES = 1_000_000
+BROADCAST_ENTRIES = 1 << 20
 #: Blocks in one row of the schedule's table.
 CHUNK = 128
 
@@ -125,45 +129,50 @@ def placements(table: list[tuple[int, int, int, int, int, list[int]]], blocks: l
         ends[s] = first
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int = 1 << 18, period: int = 1000) -> DataFrame:
-    """Add `n_bytes`, `block`, `phase` and `slot`; rows in order of (slot, rank) are the mixture.
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int | None = None, period: int = 1000, prefix: str = "") -> DataFrame:
+    """Add `n_bytes`, `rank`, `block`, `phase` and `slot`, each with `prefix` before its name; rows in order of (slot, rank) are the mixture.
 
     Without `weights`, a source's weight is the square root of its bytes. A
-    source without a given weight gets the smallest given one.
+    source without a given weight gets the smallest given one. Without `block_bytes`, blocks have
+    `LEAST_BLOCK` bytes, or as many more as make at most `MOST_BLOCKS` of all bytes.
     """
     spark = docs.sparkSession
-    rows = docs.drop("block", "phase", "slot", "rank", "n_bytes")
-    rows = rows.withColumn("n_bytes", F.octet_length(document_text()).cast("long")).withColumn("_hash", F.xxhash64("doc_id", "text"))
+    n_bytes, rank, block, phase, slot = (prefix + c for c in ADDED)
+    rows = docs.drop(n_bytes, rank, block, phase, slot)
+    rows = rows.withColumn(n_bytes, F.octet_length(document_text()).cast("long")).withColumn("_mix_hash", F.xxhash64("doc_id", "text"))
     ranges = 1 << max(4, math.ceil(math.log2(max(1, docs.count()) / ROWS_PER_RANGE + 1)))
-    rows = rows.withColumn("_range", F.shiftrightunsigned("_hash", 64 - int(math.log2(ranges))))
+    rows = rows.withColumn("_mix_range", F.shiftrightunsigned("_mix_hash", 64 - int(math.log2(ranges))))
     # partial sums: source x range -> bytes and rows before it
-    sums = rows.groupBy("source", "_range").agg(F.sum("n_bytes").alias("_bytes"), F.count("*").alias("_rows"))
-    before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source", "_range", F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_bytes_before"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"))
-    inside = Window.partitionBy("source", "_range").orderBy("_hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    keys = [c for c in ("_hash", "doc_id", "source", "_range", "n_bytes")]
-    placed = rows.withColumn("_own", F.coalesce(F.sum("n_bytes").over(inside), F.lit(0))).withColumn("_own_rows", F.coalesce(F.count("*").over(inside), F.lit(0)))
-    s = sums.select(F.col("source").alias("_source"), F.col("_range").alias("_r"), "_bytes_before", "_rows_before")
-    placed = placed.join(s, placed["source"].eqNullSafe(s["_source"]) & (placed["_range"] == s["_r"])).drop("_source", "_r")
-    placed = placed.withColumn("rank", F.col("_rows_before") + F.col("_own_rows")).withColumn("block", F.floor((F.col("_bytes_before") + F.col("_own")) / block_bytes).cast("long"))
-    placed = placed.drop("_own", "_own_rows", "_bytes_before", "_rows_before", "_range", "_hash")
+    sums = rows.groupBy("source", "_mix_range").agg(F.sum(n_bytes).alias("_bytes"), F.count("*").alias("_rows"))
     # one row per source
-    totals = rows.groupBy("source").agg(F.sum("n_bytes").alias("n")).orderBy("source").collect()
+    totals = rows.groupBy("source").agg(F.sum(n_bytes).alias("n")).orderBy("source").collect()
     names, sizes = [t["source"] for t in totals], [t["n"] for t in totals]
+    size = block_bytes or max(LEAST_BLOCK, -(-sum(sizes) // MOST_BLOCKS))
+    before = Window.partitionBy("source").orderBy("_mix_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.sum("_bytes").over(Window.partitionBy("source"))
+    first_of = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    # rows of no bytes behind the last byte stay in the last block
+    last = F.greatest(F.lit(1), F.ceil(whole / size)) - 1
+    sums = sums.select(F.col("source").alias("_mix_source"), F.col("_mix_range").alias("_mix_r"), first_of("_bytes").alias("_mix_bytes"), first_of("_rows").alias("_mix_rows"), last.alias("_mix_last"))
+    inside = Window.partitionBy("source", "_mix_range").orderBy("_mix_hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_mix_own", F.coalesce(F.sum(n_bytes).over(inside), F.lit(0))).withColumn("_mix_own_rows", F.coalesce(F.count("*").over(inside), F.lit(0)))
+    placed = placed.join(sums, placed["source"].eqNullSafe(sums["_mix_source"]) & (placed["_mix_range"] == sums["_mix_r"]))
+    placed = placed.withColumn(rank, F.col("_mix_rows") + F.col("_mix_own_rows")).withColumn(block, F.least(F.floor((F.col("_mix_bytes") + F.col("_mix_own")) / size), F.col("_mix_last")).cast("long"))
+    placed = placed.drop("_mix_source", "_mix_r", "_mix_own", "_mix_own_rows", "_mix_bytes", "_mix_rows", "_mix_range", "_mix_hash", "_mix_last")
     if weights is None:
         own = [math.sqrt(max(1, n)) for n in sizes]
     else:
         least = min(weights.values())
         own = [float(weights.get(x, least)) for x in names]
-    blocks = [n // block_bytes + 1 for n in sizes]
+    blocks = [max(1, -(-n // size)) for n in sizes]
     rows_of = placements(schedule(own, blocks, period), blocks)
-    plan = spark.createDataFrame([(names[k], chunk, phase, first, slots) for k, chunk, phase, first, slots in rows_of], "_source string, _chunk long, phase int, _first long, _slots array<long>")
+    plan = spark.createDataFrame([(names[k], chunk, number, first, slots) for k, chunk, number, first, slots in rows_of], "_mix_source string, _mix_chunk long, _mix_phase int, _mix_first long, _mix_slots array<long>")
     if sum(blocks) <= BROADCAST_ENTRIES:
         plan = F.broadcast(plan)
-    at = F.col("block") - F.col("_first")
-    here = placed["source"].eqNullSafe(F.col("_source")) & (F.floor(F.col("block") / CHUNK) == F.col("_chunk")) & (at >= 0) & (at < F.size("_slots"))
-    slot = F.element_at("_slots", (at + 1).cast("int"))
-    return placed.join(plan, here).withColumn("slot", slot).drop("_source", "_chunk", "_first", "_slots")
+    at = F.col(block) - F.col("_mix_first")
+    here = placed["source"].eqNullSafe(F.col("_mix_source")) & (F.floor(F.col(block) / CHUNK) == F.col("_mix_chunk")) & (at >= 0) & (at < F.size("_mix_slots"))
+    out = placed.join(plan, here).withColumn(phase, F.col("_mix_phase")).withColumn(slot, F.element_at("_mix_slots", (at + 1).cast("int")))
+    return out.drop("_mix_source", "_mix_chunk", "_mix_phase", "_mix_first", "_mix_slots")
 
 
 def deviation(weights: list[int] | list[Fraction], order: list[int]) -> Fraction:
