@@ -6,11 +6,11 @@ boundary inside the overlap: a character position next to white space where a
 token starts in both encodings, and from which both encodings agree to the end
 of the left chunk's settled part. The vocabularies' patterns always cut there, so
 what stands left of such a position cannot change what is right of it. If an overlap has no such position (one endless word), it
-is widened to double its size and encoded again, up to the whole rest of the
-text. Memory is that of one chunk in the usual case.
+is widened to double its size and encoded again, up to the whole chunk, which is then
+doubled itself. Memory is that of one chunk in the usual case, and of the word where one word is longer.
 
 Texts of up to `chunk_chars` characters use the same kind of boundary: where a
-vocabulary drops white space and none of its words can hold any, the tokens of a
+vocabulary's word pattern is the known `WORD_PATTERN`, which drops white space, the tokens of a
 text are those of its words between blanks and line breaks, and each different word is
 encoded once per worker (a memo of at most `MEMO_WORDS` words). Other vocabularies
 encode such texts whole.
@@ -22,18 +22,21 @@ the input, repeated or null doc_id included; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from .common import small_batches
 from .tokenizing import encode_spans, tokenizer
 
+#: A word pattern without white space and without a look beyond a word's ends (fixed value, as published with its vocabulary).
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_GAP = re.compile(r"\s+")
 #: Words whose counts a worker remembers.
 MEMO_WORDS = 1_000_000
 _SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -71,42 +74,49 @@ def _splice(text: str, base: int, left: tuple, right: tuple, right_base: int) ->
     return None
 
 
+def _has_seams(text: str, start: int, end: int) -> bool:
+    """Whether two words end between the positions, as a splice needs at least."""
+    found = _GAP.search(text, start + 1, end)
+    return found is not None and _GAP.search(text, found.end(), end) is not None
+
+
 def count_long(text: str, path: str, chunk_chars: int, overlap_chars: int) -> int:
-    """Tokens of one text, by overlapping chunks."""
+    """Tokens of one text, by overlapping chunks; a chunk without a seam is doubled, so that its whole cost stays in proportion."""
     total, base, overlap = 0, 0, overlap_chars
     skip = 0  # tokens of the current chunk that the chunk before it has given
-    end = min(len(text), chunk_chars)
-    left = encode_spans([text[:end]], path)[0]
+    end, left = min(len(text), chunk_chars), None
     while end < len(text):
         start = max(base + 1, end - overlap)
-        stop = min(len(text), end + chunk_chars)
-        right = encode_spans([text[start:stop]], path)[0]
-        seam = _splice(text, base, left, right, start)
-        if seam is None and start > base + 1:
+        seam = None
+        if _has_seams(text, start, end):
+            stop = min(len(text), end + max(chunk_chars, end - start))
+            left = left or encode_spans([text[base:end]], path)[0]
+            right = encode_spans([text[start:stop]], path)[0]
+            seam = _splice(text, base, left, right, start)
+        if seam is not None:
+            total += seam[0] - skip
+            base, end, left, skip, overlap = start, stop, right, seam[1], overlap_chars
+        elif start > base + 1:
             overlap *= 2  # widen to the left
-            continue
-        if seam is None:  # the overlap is the whole chunk: grow the chunk to the right instead
-            end = stop
-            left = encode_spans([text[base:end]], path)[0]
-            continue
-        total += seam[0] - skip
-        base, end, left, skip, overlap = start, stop, right, seam[1], overlap_chars
+        else:  # the overlap is the whole chunk: grow the chunk to the right instead
+            end, left = min(len(text), base + 2 * (end - base)), None
+    left = left or encode_spans([text[base:end]], path)[0]
     return total + len(left[0]) - skip
 
 
 @lru_cache(maxsize=8)
 def words_stand_alone(path: str) -> bool:
-    """Whether the file's words never hold white space nor look beyond their ends, so that blanks cut a text into independent parts."""
+    """Whether blanks cut a text into parts that are encoded independently: only for a pattern that is known to do so."""
     if not path.endswith(".json"):
         return False
     with open(path, encoding="utf-8") as f:
-        steps = json.load(f).get("pre_tokenizer") or {}
+        found = json.load(f)
+    steps = found.get("pre_tokenizer") or {}
     first = (steps.get("pretokenizers") or [steps])[0]
-    pattern = (first.get("pattern") or {}).get("Regex", "")
-    if first.get("type") != "Split" or first.get("behavior") != "Removed" or not first.get("invert") or not pattern or "(?" in pattern or "\\b" in pattern:
-        return False
-    sides = "aZ1.'é中st"
-    return not any(" " in w or "\n" in w for gap in (" ", "\n", "  ", " \n ") for x in sides for y in sides for w in regex.findall(pattern, x + gap + y))
+    outer = found.get("normalizer") or {}
+    own = [x.get("type") for x in outer.get("normalizers", [outer])]
+    plain = all(x in (None, "NFC", "Lowercase", "Replace") for x in own)
+    return plain and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and (first.get("pattern") or {}).get("Regex") == WORD_PATTERN
 
 
 def _counter(path: str) -> Callable[[list[str]], list[int]]:

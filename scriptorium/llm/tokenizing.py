@@ -6,6 +6,7 @@ The path of the file is a parameter; workers load it once per process.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from functools import lru_cache
@@ -16,6 +17,16 @@ BYTE_BPE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ȳ‐-‧‰-⁞€]")
 
 
+def _characters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+_CHARACTER = _characters()
+
+
 @lru_cache(maxsize=8)
 def tokenizer(path: str):
     """A tokenizers.Tokenizer for .json, a SentencePieceProcessor for .model."""
@@ -29,6 +40,24 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=8)
+def _ranks_beside(path: str) -> str | None:
+    """The ranks beside a .json file whose steps are those of the byte-level vocabulary, and no others."""
+    ranks = path[: -len(".json")] + ".tiktoken"
+    if not path.endswith(".json") or not os.path.exists(ranks):
+        return None
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    steps, model = found.get("pre_tokenizer") or {}, found.get("model") or {}
+    plain = steps.get("type") == "ByteLevel" and steps.get("use_regex", True) and not steps.get("add_prefix_space") and found.get("normalizer") is None
+    whole = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    fixed = not any(t.get(k) for t in found.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if not (plain and whole and fixed):
+        return None
+    vocabulary = {"".join(map(_CHARACTER.__getitem__, t)): i for t, i in _ranked(ranks)._mergeable_ranks.items()}
+    return ranks if all(model["vocab"].get(t) == i for t, i in vocabulary.items()) else None
+
+
 @lru_cache(maxsize=4)
 def _ranked(path: str):
     import tiktoken
@@ -41,8 +70,8 @@ def _ranked(path: str):
 def encode_ids(texts: list[str], path: str) -> list[list[int]]:
     """Ids without added special tokens, as the file's own library gives them.
 
-    A byte-level .json file with the same vocabulary as ranks beside it is
-    encoded from the ranks, several times faster: the merges, the word pattern
+    A byte-level .json file with the same vocabulary as ranks beside it (`_ranks_beside`
+    compares the two) is encoded from the ranks, several times faster: the merges, the word pattern
     and so the ids are the same. Its special strings are cut out first, as the
     library does; texts with characters that the two libraries' Unicode
     tables could class differently use the library itself.
@@ -50,8 +79,8 @@ def encode_ids(texts: list[str], path: str) -> list[list[int]]:
     tok = tokenizer(path)
     if path.endswith(".model"):
         return tok.encode(texts, num_threads=1)
-    ranks = path[: -len(".json")] + ".tiktoken"
-    if not os.path.exists(ranks):
+    ranks = _ranks_beside(path)
+    if ranks is None:
         return [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
     fast = _ranked(ranks)
     special = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
