@@ -7,7 +7,8 @@ normalised compressed-size difference. A logistic curve, fitted on labelled text
 that no dictionary has seen, makes it a probability of being good.
 
 Training uses a bounded sample (`sample_rows` labelled rows at most, the smallest
-by a hash of doc_id, and at most `sample_bytes` of their text): the
+by a hash of doc_id, and at most `sample_bytes` of their text; sizes are compared before any
+text moves, a row that no longer fits is passed over, and copies of a row count once): the
 dictionaries and the curve have a fixed size, so the broadcast is bounded. Every
 text is then scored whole, in one pass without a shuffle.
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import document_text, small_batches
 
 _SCORED = "doc_id long, score double, predicted int"
 
@@ -123,14 +124,18 @@ def train_from(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, samp
     """A model from at most `sample_rows` labelled rows, as many of either class as there are up to half of it."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", (F.col("quality") == 1).alias("_good"))
     half = [marked.where(F.col("_good") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows // 2) for c in (True, False)]
-    some = docs.select("doc_id", "text").join(F.broadcast(half[0].unionByName(half[1])), "doc_id")
-    rows, used = [], 0
-    for r in some.orderBy(F.xxhash64("doc_id"), "doc_id", "_good").toLocalIterator():
-        size = len((r["text"] or "").encode())
-        if used + size > sample_bytes:
-            continue
-        used += size
-        rows.append((r["text"] or "", r["_good"]))
+    own = docs.select("doc_id", "text").withColumn("_row", F.xxhash64("doc_id", "text")).withColumn("_size", F.octet_length(document_text()))
+    order = (F.xxhash64("doc_id"), "doc_id", "_good", "_row")
+    # sizes first: texts move only for rows that fit
+    sizes = own.join(F.broadcast(half[0].unionByName(half[1])), "doc_id").where(F.col("_size") <= sample_bytes)
+    chosen, used = set(), 0
+    for r in sizes.select("doc_id", "_good", "_row", "_size").distinct().orderBy(*order).limit(sample_rows).collect():
+        if used + r["_size"] <= sample_bytes:
+            used += r["_size"]
+            chosen.add((r["doc_id"], r["_row"], r["_good"]))
+    kept = docs.sparkSession.createDataFrame(sorted(chosen), "doc_id long, _row long, _good boolean")
+    some = own.join(F.broadcast(kept), ["doc_id", "_row"]).dropDuplicates(["doc_id", "_row", "_good"])
+    rows = [(r["text"] or "", r["_good"]) for r in some.orderBy(*order).select("text", "_good").collect()]
     # the sample is balanced by class; the curve gets the labels' own shares back
     model = train([t for t, _ in rows], [g for _, g in rows], **how)
     counts = {r["_good"]: r["count"] for r in marked.groupBy("_good").count().collect()}
