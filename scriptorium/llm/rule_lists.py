@@ -10,7 +10,8 @@ themselves are only touched by built-in expressions; there is no shuffle.
 
 Defined results: null or empty text has no words and fails the base test; rows
 are judged one by one, so repeated or null doc_id stay; without usable labels
-the list is empty and keeps what passes the base test; extra columns pass through.
+the list is empty and keeps what passes the base test; extra columns pass through, but `apply_rules` replaces those
+named like its counts and verdicts (`keep` keeps them).
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import document_text
+from .common import document_text, free_prefix
 
 _SPACES = " \t\n\x0b\x0c\r"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The statistics that rules may test.
+FEATURE = "_feature_"
 FEATURES = ("words", "word_length", "symbols_per_word", "dup_line_share", "repeat_share", "capital_share", "marks_per_word", "distinct_share")
 
 
@@ -37,7 +39,7 @@ class Condition:
     threshold: float
 
     def column(self) -> Column:
-        value = F.col(self.feature)
+        value = F.col(FEATURE + self.feature)
         return value >= self.threshold if self.at_least else value <= self.threshold
 
     def holds(self, table: dict[str, np.ndarray]) -> np.ndarray:
@@ -107,14 +109,14 @@ def statistics(docs: DataFrame, window: int = 5) -> DataFrame:
     n, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
     out = out.withColumns(
         {
-            "words": F.col("n_words").cast("double"),
-            "word_length": F.col("word_chars") / n,
-            "symbols_per_word": F.col("n_symbols") / n,
-            "dup_line_share": F.col("n_dup_lines") / F.greatest(F.size("_lines"), F.lit(1)),
-            "repeat_share": F.col("n_repeat_words") / n,
-            "capital_share": F.char_length(F.regexp_replace("_text", "[^\\p{Lu}]+", "")) / chars,
-            "marks_per_word": _occurrences(F.col("_text"), "!?") / n,
-            "distinct_share": F.size(F.array_distinct("_words")) / n,
+            FEATURE + "words": F.col("n_words").cast("double"),
+            FEATURE + "word_length": F.col("word_chars") / n,
+            FEATURE + "symbols_per_word": F.col("n_symbols") / n,
+            FEATURE + "dup_line_share": F.col("n_dup_lines") / F.greatest(F.size("_lines"), F.lit(1)),
+            FEATURE + "repeat_share": F.col("n_repeat_words") / n,
+            FEATURE + "capital_share": F.char_length(F.regexp_replace("_text", "[^\\p{Lu}]+", "")) / chars,
+            FEATURE + "marks_per_word": _occurrences(F.col("_text"), "!?") / n,
+            FEATURE + "distinct_share": F.size(F.array_distinct("_words")) / n,
         }
     )
     return out.drop("_text", "_words", "_windows", "_repeats", "_lines")
@@ -225,7 +227,7 @@ def learn_from(docs: DataFrame, labels: DataFrame, sample_rows: int = 20000, **h
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("_quality"))
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "_quality").limit(sample_rows)
     some = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = [r for r in statistics(some).select("_quality", base_failed().alias("_failed"), *FEATURES).collect() if not r["_failed"]]
+    rows = [r for r in statistics(some).select("_quality", base_failed().alias("_failed"), *(F.col(FEATURE + f).alias(f) for f in FEATURES)).collect() if not r["_failed"]]
     table = {f: np.array([float(r[f]) for r in rows]) for f in FEATURES}
     return learn_rules(table, np.array([r["_quality"] == 0 for r in rows], bool), **how)
 
@@ -234,4 +236,11 @@ def apply_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """Add the base counts, `base_failed` and `kept`; every row stays."""
     out = statistics(docs).withColumn("base_failed", base_failed())
     out = out.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict(rules)))
-    return out.drop(*FEATURES)
+    return out.drop(*(FEATURE + f for f in FEATURES))
+
+
+def keep(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows that the base test and the rules keep, all columns as they are, whatever their names."""
+    free = free_prefix(docs.columns, "own")
+    named = docs.select(*(F.col(f"`{c}`").alias(free + c) for c in docs.columns), "doc_id", "text")
+    return apply_rules(named, rules).where("kept").select(*(F.col(f"`{free}{c}`").alias(c) for c in docs.columns))
