@@ -208,7 +208,7 @@ def test_mixture_takes_slots_from_the_schedule(spark, monkeypatch):
         monkeypatch.setattr(mixing, "BROADCAST_ENTRIES", bound)
         rows = mixing.mix(docs, block_bytes=100).collect()
         sizes = [50 * sum(r.source == s for r in rows) for s in "abc"]
-        blocks = [n // 100 + 1 for n in sizes]
+        blocks = [max(1, -(-n // 100)) for n in sizes]
         want = {}
         for k, chunk, phase, first, slots in mixing.placements(mixing.schedule([n**0.5 for n in sizes], blocks), blocks):
             want.update({("abc"[k], first + j): (phase, slot) for j, slot in enumerate(slots)})
@@ -225,3 +225,62 @@ def test_training_passes_over_a_row_that_does_not_fit(spark, monkeypatch):
     labels = spark.createDataFrame([(d, d % 2) for d in ids], "doc_id long, quality int")
     compression_quality.train_from(docs, labels, sample_bytes=500)
     assert seen == [["y" * 30] * 10]
+
+
+@pytest.mark.parametrize("limit", [600, 3000, 20_000])
+def test_shards_are_those_of_extendible_hashing(spark, edge, limit):
+    """Against splitting one bucket after the other."""
+    docs = edge.unionByName(spark.read.parquet(f"{SF}/documents.parquet"), allowMissingColumns=True).select("doc_id", "text")
+    rows = sharding.shard(docs.withColumn("own", F.xxhash64("doc_id", "text")), limit).collect()
+    want, todo = {}, [("", [(format(r.own % 2**64, "064b"), r.n_bytes) for r in rows])]
+    while todo:
+        name, bucket = todo.pop()
+        if sum(n for _, n in bucket) <= limit or len(name) == 64:
+            want |= {h: name for h, _ in bucket}
+        else:
+            todo += [(name + bit, [x for x in bucket if x[0][len(name)] == bit]) for bit in "01"]
+    assert all(r.shard.split(".")[0] == want[format(r.own % 2**64, "064b")] and r.depth == len(r.shard.split(".")[0]) for r in rows)
+    assert len(set(want.values())) > 5
+
+
+def test_shards_are_written_to_folders_of_their_own(spark, edge, edge_rows):
+    folder = new_folder(spark, "test")
+    out = sharding.shard(edge.select("doc_id", "text"), 3000)
+    sharding.write_shards(out, folder)
+    back = spark.read.option("recursiveFileLookup", "false").schema(out.schema).parquet(folder)
+    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((d, t) for d, t, *_ in edge_rows)
+    assert back.withColumn("file", F.input_file_name()).select("shard", "file").distinct().groupBy("shard").count().where("count > 1").isEmpty()
+
+
+def test_directory_beyond_the_broadcast_bound(spark, edge, monkeypatch):
+    want = Counter((r.doc_id, r.shard) for r in sharding.shard(edge.where("doc_id < 15"), 3000).collect())
+    monkeypatch.setattr(sharding, "BROADCAST_ENTRIES", 0)
+    assert Counter((r.doc_id, r.shard) for r in sharding.shard(edge.where("doc_id < 15"), 3000).collect()) == want
+
+
+def test_a_source_of_no_bytes_and_rows_behind_the_last_byte(spark):
+    docs = spark.createDataFrame([(k, "x" * 100, "a") for k in range(20)] + [(k, "", "a") for k in range(20, 60)] + [(k, None, "b") for k in range(60, 64)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs, block_bytes=100).collect()
+    assert len(rows) == 64 and {r.block for r in rows if r.source == "a"} == set(range(20)) and {r.block for r in rows if r.source == "b"} == {0}
+    assert sorted({r.slot for r in rows}) == list(range(21))
+
+
+def test_columns_named_like_the_schedule_or_a_statistic_stay(spark):
+    text = " ".join(f"word{k}" for k in range(40))
+    docs = spark.createDataFrame([(k, f"{k} {text}", "s", "mine", 7.5, "own") for k in range(5)], "doc_id long, text string, source string, rank string, words double, n_words string")
+    kept = rule_lists.keep(docs, [(rule_lists.Condition("words", True, 1000.0),)])
+    assert kept.columns == docs.columns and sorted(kept.collect()) == sorted(docs.collect())
+    mixed = mixing.mix(docs, prefix="_mix_")
+    assert sorted(mixed.select(*docs.columns).collect()) == sorted(docs.collect()) and "_mix_slot" in mixed.columns
+
+
+def test_classifier_moves_no_text_that_does_not_fit(spark):
+    """A labelled text above the bound, and many copies of one row, leave the other rows to train on."""
+    rng = np.random.default_rng(3)
+    texts = {k: " ".join(rng.choice(["good", "plain", "words"] if k % 2 else ["###", "buy", "now!!"], 60)) for k in range(60)} | {60: "z" * 3_000_000}
+    rows = [*texts.items(), *[(2, texts[2])] * 50]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in texts], "doc_id long, quality int")
+    model = compression_quality.train_from(docs, labels, sample_bytes=1 << 20)
+    assert model.good and model.bad
+    right = [r.predicted == r.doc_id % 2 for r in compression_quality.score(docs.where("doc_id < 60"), model, 0.5).collect()]
+    assert np.mean(right) > 0.95

@@ -1,6 +1,6 @@
 import hashlib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -95,7 +95,7 @@ def brute_spans(rows, length):
     return Counter(out)
 
 
-@pytest.mark.parametrize(("length", "hot"), [(400, 100_000), (100, 100_000), (100, 2), (24, 100_000)])
+@pytest.mark.parametrize(("length", "hot"), [(400, 8192), (100, 8192), (100, 1), (24, 8192), (24, 3)])
 def test_spans_against_brute_force(spark, edge_rows, length, hot):
     rows = [(d, t[:9000] if t else t) for d, t, *_ in edge_rows] + [(30, "abc" * 300 + "xyz" + "abc" * 200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -103,14 +103,15 @@ def test_spans_against_brute_force(spark, edge_rows, length, hot):
     assert got == brute_spans(rows, length)
 
 
-def test_spans_of_many_contexts(spark):
-    """One passage in many surroundings, cut at different places: buckets with many different contexts."""
+@pytest.mark.parametrize("hot", [8192, 20])
+def test_spans_of_many_contexts(spark, hot):
+    """One passage in many surroundings, cut at different places: buckets with many different contexts, sorted whole or split."""
     rng = np.random.default_rng(1)
     passage = "".join(rng.choice(list("abcdefghij "), 900))
     noise = lambda n: "".join(rng.choice(list("klmnopqrst "), n))
     rows = [(d, noise(50) + passage[int(rng.integers(0, 500)) :][: int(rng.integers(200, 800))] + noise(60)) for d in range(90)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert Counter(tuple(r) for r in suffix_dedup.spans(docs, 150).collect()) == brute_spans(rows, 150)
+    assert Counter(tuple(r) for r in suffix_dedup.spans(docs, 150, hot).collect()) == brute_spans(rows, 150)
 
 
 def test_removed_texts_keep_their_columns(edge, empty):
@@ -171,15 +172,33 @@ def test_radius_search_against_brute_force(spark):
     assert got == want and got
 
 
-def test_near_fingerprints_are_counted(spark, edge, empty):
-    rows = fingerprints.report(spark.read.parquet(f"{SF}/documents.parquet"), radius=6).collect()
-    fps = {r.fingerprint for r in rows}
+@pytest.mark.parametrize("every", [1, 100])
+def test_near_fingerprints_are_counted(spark, edge, empty, every):
+    rows = fingerprints.report(spark.read.parquet(f"{SF}/documents.parquet"), every=every).collect()
+    fps = {r.word_fingerprint for r in rows}
     for r in rows:
-        own = int(r.fingerprint, 16)
-        assert r.near_fingerprints == sum(0 < (own ^ int(f, 16)).bit_count() <= 6 for f in fps)
+        own = int(r.word_fingerprint, 16)
+        near = sum(0 < (own ^ int(f, 16)).bit_count() <= fingerprints.RADIUS for f in fps)
+        assert r.near_fingerprints == (near if r.doc_id % every == 0 else None)
+    assert every > 1 or any(r.near_fingerprints for r in rows)
     assert fingerprints.report(edge).count() == edge.count() and fingerprints.report(empty).collect() == []
 
 
+def test_radius_finds_near_copies(spark):
+    """Recall of the real texts' pairs of similarity 0.8 or more (five words) at the production radius."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    sets = [shingles(t, 5, False) for t in texts]
+    holders = defaultdict(list)
+    for k, own in enumerate(sets):
+        for x in own:
+            holders[x].append(k)
+    together = Counter(pair for own in holders.values() if len(own) < 100 for pair in combinations(own, 2))
+    pairs = [(a, b) for (a, b), n in together.items() if sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    fps = fingerprints.simhash(pa.array(texts, pa.large_string()), 1)
+    near = [int(np.bitwise_count(fps[a] ^ fps[b]).sum()) <= fingerprints.RADIUS for a, b in pairs]
+    assert len(pairs) > 10 and np.mean(near) > 0.8
+
+
 def test_separation_on_real_texts(spark):
     rows = fingerprints.likeness_to_edited(spark.read.parquet(f"{SF}/documents.parquet")).collect()
     assert np.mean([r.near_edited > r.near_next for r in rows]) > 0.95

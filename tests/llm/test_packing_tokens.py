@@ -82,3 +82,31 @@ def test_counts_by_words_are_those_of_whole_texts(texts):
     assert token_counts.words_stand_alone(WORDS) and not token_counts.words_stand_alone(BYTES)
     tok = tokenizer(WORDS)
     assert token_counts._counter(WORDS)(texts) == [len(tok.encode(t, add_special_tokens=False)) for t in texts]
+
+
+def test_an_endless_word_is_encoded_a_few_times_only(monkeypatch):
+    seen = []
+    real = token_counts.encode_spans
+    monkeypatch.setattr(token_counts, "encode_spans", lambda texts, path: seen.append(len(texts[0])) or real(texts, path))
+    tok = tokenizer(WORDS)
+    for text in ("ab" * 150_000, "word " * 2000 + "xy" * 100_000 + " tail" * 3000, "a " * 40 + "q" * 70_000 + "\n" + "b c " * 30_000):
+        seen.clear()
+        assert token_counts.count_long(text, WORDS, 4096, 64) == len(tok.encode(text, add_special_tokens=False).ids)
+        assert sum(seen) < 6 * len(text)
+
+
+def test_a_foreign_pattern_beside_ranks_is_left_to_its_library(tmp_path):
+    import json
+    import shutil
+
+    found = json.load(open(BYTES, encoding="utf-8"))
+    found["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "\\s+"}, "behavior": "Isolated", "invert": False}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+    path = tmp_path / "byte_bpe_50k.json"
+    path.write_text(json.dumps(found), encoding="utf-8")
+    shutil.copy(BYTES[:-5] + ".tiktoken", tmp_path / "byte_bpe_50k.tiktoken")
+    texts = ["don't stop1234 it's", "plain words here"]
+    tok = tokenizer(str(path))
+    assert encode_ids(texts, str(path)) == [tok.encode(t, add_special_tokens=False).ids for t in texts] != encode_ids(texts, BYTES)
+    found["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = "[^ ]+"
+    path.write_text(json.dumps(found), encoding="utf-8")
+    assert token_counts.words_stand_alone(WORDS) and not token_counts.words_stand_alone(str(path))

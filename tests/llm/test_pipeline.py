@@ -1,6 +1,8 @@
 import hashlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from scriptorium.llm import jaccard_join, mixing, packing, rule_lists, suffix_dedup
 from test_near_copies import brute_components, brute_spans
@@ -47,7 +49,7 @@ def test_prefixes_of_sequences_follow_the_mixture(spark, monkeypatch):
     rows = [(k, " ".join(f"w{k * 7 + j}" for j in range(20 + k % 60)), "a" if k % 10 else "b") for k in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
     plain_mix, plain_pack = mixing.mix, packing.pack
-    monkeypatch.setattr(mixing, "mix", lambda d: plain_mix(d, block_bytes=2000))
+    monkeypatch.setattr(mixing, "mix", lambda d, **how: plain_mix(d, block_bytes=2000, **how))
     monkeypatch.setattr(packing, "pack", lambda *x, **how: plain_pack(*x, **how, group_rows=150))
     stages = dict(corpus_pipeline.STAGES)
     pieces = stages["packing"](spark, stages["mixing"](spark, docs, SF), SF).collect()
@@ -63,3 +65,22 @@ def test_prefixes_of_sequences_follow_the_mixture(spark, monkeypatch):
             assert abs(done["b"] / tokens - share) < 0.08
             at += 1
     assert at > 100
+
+
+def test_stages_of_edge_cases_and_clashing_names(spark, edge, empty):
+    """Null, empty, very long and repeated texts; columns named like those that operators add keep their values."""
+    docs = edge.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in ("words", "rank", "n_bytes", "block", "n_words", "kept", "component_id")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = {(r.doc_id, r.text): r for r in docs.collect()}
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        changed = {"text", "n_chars"} if name == "suffix_dedup" else set()
+        for r in out.collect():
+            if not changed:
+                assert r == rows[r.doc_id, r.text]
+            else:
+                assert r.words == (None if r.doc_id is None else f"words{r.doc_id}")
+        docs = out
+    assert corpus_pipeline.packed(spark, docs, SF).count() > 0
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).collect() == []
