@@ -11,6 +11,11 @@ return the columns of `documents`:
 4. mixing: rows are written in the order of the Pfair schedule of their sources.
 5. packing: pieces of sequences of at most 1024 tokens. A row's slot depends on the rows alone, so it is
    worked out again from stage 4's rows; sequences follow it by ranges of slots.
+
+Defined results: null and empty texts fail the base test and go in stage 1; null doc_id stay in all stages; rows
+with equal doc_id and text are one from stage 2 on; ties are broken by doc_id, then by the text's hash; an empty table
+gives no pieces; stages 1 to 4 keep extra columns as they are, whatever their names (names that begin with an
+underscore belong to the operators).
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm import jaccard_join, mixing, packing, rule_lists, suffix_dedup
-from scriptorium.llm.common import stash
+from scriptorium.llm.common import free_prefix, stash
 from scriptorium.llm.queries import tokenizer_path
 
 PASSAGE_BYTES = 200
@@ -26,7 +31,7 @@ PASSAGE_BYTES = 200
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rules = rule_lists.learn_from(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return rule_lists.apply_rules(docs, rules).where("kept").select(*docs.columns)
+    return rule_lists.keep(docs, rules)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +43,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ordered = mixing.mix(docs).repartitionByRange("slot", "rank").sortWithinPartitions("slot", "rank")
-    return ordered.select(*docs.columns)
+    free = free_prefix(docs.columns, "mix")
+    at = (f"{free}slot", f"{free}rank")
+    return mixing.mix(docs, prefix=free).repartitionByRange(*at).sortWithinPartitions(*at).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(mixing.mix(docs), tokenizer_path("byte_bpe_50k.json"), capacity=1024, order="slot")
+    free = free_prefix(docs.columns, "mix")
+    return packing.pack(mixing.mix(docs, prefix=free), tokenizer_path("byte_bpe_50k.json"), capacity=1024, order=f"{free}slot")
 
 
 STAGES = [
