@@ -1,22 +1,29 @@
 """Title matching and near-duplicate texts.
 
-Candidates come from shared tokens or bands, never from a cross join; Arrow UDFs
+Candidates come from shared tokens or grams, never from a cross join; Arrow UDFs
 compute the two sequence measures that have no native form.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions import arrow_udf
+from ..functions import arrow_udf, once
 from ..functions import text as T
 
 
+#: Characters of a gram in the search for near duplicates.
+GRAM = 8
+
+
 def _common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, with one big integer per row of bits."""
     if len(a) < len(b):
@@ -65,21 +72,30 @@ def token_jaccard(left: Column, right: Column) -> Column:
     return F.when((F.size(left) == 0) | (F.size(right) == 0), F.lit(0.0)).otherwise(both / either)
 
 
-def title_candidates(queries: DataFrame, works: DataFrame, top: int = 5) -> DataFrame:
+def title_candidates(queries: DataFrame, works: DataFrame, top: int = 5, least: float = 0.0) -> DataFrame:
     """The `top` works of each query (query_id, title against work_id, title) by Jaccard similarity of their title tokens.
 
-    Pairs that share a token are found by an equi-join on it; their shared tokens are counted, so
-    no pair is compared that shares none. Ties go to the smaller work_id.
+    Pairs that share a token are found by an equi-join on it, so no pair is compared that shares none. Ties go to the
+    smaller work_id. With `least`, only pairs of that similarity count, and titles of n tokens join
+    on n - ceil(least * n) + 1 of them, long ones first: two titles as similar as that share one of these, and
+    common short words join nothing.
     """
     left = queries.select("query_id", title_tokens(F.col("title")).alias("tokens")).withColumn("n", F.size("tokens"))
-    right = works.select("work_id", title_tokens(F.col("title")).alias("tokens")).withColumn("m", F.size("tokens"))
-    shared = (
-        left.select("query_id", "n", F.explode("tokens").alias("token"))
-        .join(right.select("work_id", "m", F.explode("tokens").alias("token")), "token")
-        .groupBy("query_id", "work_id", "n", "m")
-        .agg(F.count("*").alias("both"))
-    )
-    scored = shared.withColumn("jaccard", F.col("both") / (F.col("n") + F.col("m") - F.col("both")))
+    right = works.select("work_id", title_tokens(F.col("title")).alias("others")).withColumn("m", F.size("others"))
+    if least > 0:
+        ordered = lambda c: F.transform(F.array_sort(F.transform(F.col(c), lambda t: F.struct((-F.char_length(t)).alias("l"), t.alias("t")))), lambda x: x["t"])
+        prefix = lambda c, n: F.slice(ordered(c), F.lit(1), (n - F.ceil(F.lit(least) * n) + 1).cast("int"))
+        near = (F.col("m") >= least * F.col("n")) & (F.col("n") >= least * F.col("m"))
+        met = left.withColumn("token", F.explode(prefix("tokens", F.col("n")))).join(right.withColumn("token", F.explode(prefix("others", F.col("m")))), "token").where(near)
+        scored = met.withColumn("jaccard", token_jaccard(F.col("tokens"), F.col("others"))).where(F.col("jaccard") >= least).select("query_id", "work_id", "jaccard").distinct()
+    else:
+        shared = (
+            left.select("query_id", "n", F.explode("tokens").alias("token"))
+            .join(right.select("work_id", "m", F.explode("others").alias("token")), "token")
+            .groupBy("query_id", "work_id", "n", "m")
+            .agg(F.count("*").alias("both"))
+        )
+        scored = shared.withColumn("jaccard", F.col("both") / (F.col("n") + F.col("m") - F.col("both")))
     best = Window.partitionBy("query_id").orderBy(F.desc("jaccard"), "work_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "work_id", "jaccard", "rank")
 
@@ -101,25 +117,54 @@ def confident(ranked: DataFrame, score: str = "score") -> DataFrame:
     return out.withColumn("confident", (F.col(score) >= rules.CONFIDENT_SCORE) & (F.col(score) - F.col("second") >= rules.CONFIDENT_MARGIN))
 
 
+@functools.cache
+def _grams_udf(ratio: float, band: int):
+    @F.pandas_udf("array<struct<gram:long,at:int>>")
+    def grams(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _gram_prefix(t, ratio, band))
+
+    return grams
+
+
+def _gram_prefix(text: str, ratio: float, band: int) -> list[dict]:
+    """The first of a text's distinct q-grams in hash order, as many as `GRAM` times its edits and one more, with the places of each."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    q = min(GRAM, len(codes))
+    h = np.zeros(len(codes) - q + 1, np.uint64)
+    for k in range(q):
+        h = (h ^ codes[k : len(codes) - q + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    distinct = np.unique(h)[: q * edits(len(codes), ratio, band) + 1]
+    rows = np.flatnonzero(np.isin(h, distinct))
+    return [{"gram": g, "at": a} for g, a in zip(h[rows].view(np.int64).tolist(), rows.tolist())]
+
+
+def edits(n: int, ratio: float, band: int) -> int:
+    """Insertions and deletions at most between a text of n characters and one up to `band` longer, of at least that ratio."""
+    return math.floor((1 - ratio) * (2 * n + band) + 1e-9)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ratio: float = rules.NEAR_DUPLICATE_RATIO, band: int = rules.NEAR_DUPLICATE_LENGTHS) -> DataFrame:
     """Pairs of different texts (left < right by canonical text's smallest key) whose lengths differ by at most `band` and whose ratio is high enough.
 
-    Copies are collapsed first. Candidates share one of the eight smallest hashes of their
-    three-word windows, so they meet in an equi-join; texts this alike differ in few windows.
+    Copies are collapsed first. A ratio r leaves D = (1 - r) (n + m) insertions and deletions at most, and each takes at most
+    q of the texts' q-grams; so of the first q D + 1 distinct ones of either text in hash order, one is in
+    both, at places at most D apart: no pair is lost. Texts meet by gram and by range of length.
     """
-    own = docs.select(key, T.canonical(F.col(text)).alias("_text"), T.semantic_words(F.col(text)).alias("_words")).where(F.col("_text") != "")
-    own = own.groupBy("_text").agg(F.min(F.struct(key, "_words")).alias("x")).select("_text", f"x.{key}", F.split("x._words", " ").alias("_words"))
-    own = own.withColumn("_n", F.char_length("_text"))
-    bound = F.element_at(F.transform(F.array("_words"), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 2)), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))), 1)
-    shingles = bound
-    sketch = F.slice(F.sort_array(F.array_distinct(shingles)), 1, 8)
-    keyed = own.select(key, "_n", F.explode(sketch).alias("_piece"))
-    a = keyed.select("_piece", F.col(key).alias("left"), F.col("_n").alias("n"))
-    b = keyed.select("_piece", F.col(key).alias("right"), F.col("_n").alias("m"))
-    pairs = a.join(b, "_piece").where((F.col("left") < F.col("right")) & (F.abs(F.col("n") - F.col("m")) <= band)).select("left", "right").distinct()
+    own = docs.select(key, T.canonical(F.col(text)).alias("_text")).where(F.col("_text") != "")
+    own = own.groupBy("_text").agg(F.min(key).alias(key)).withColumn("_n", F.char_length("_text"))
+    wide = max(1, band)
+    keyed = own.withColumn("_g", once(_grams_udf(ratio, band)("_text"))).select(key, "_n", F.explode("_g").alias("_g")).select(key, "_n", "_g.gram", "_g.at")
+    a = keyed.select("gram", F.floor(F.col("_n") / wide).alias("range"), F.col(key).alias("x"), F.col("_n").alias("n"), F.col("at").alias("i"))
+    b = keyed.select("gram", F.explode(F.array(F.floor(F.col("_n") / wide), F.floor(F.col("_n") / wide) - 1)).alias("range"), F.col(key).alias("y"), F.col("_n").alias("m"), F.col("at").alias("j"))
+    apart = (1 - ratio) * (F.col("n") + F.col("m")) + 1e-9
+    # of one range each pair comes twice, of neighbouring ranges once
+    one = (F.floor(F.col("m") / wide) > F.col("range")) | (F.col("x") < F.col("y"))
+    close = (F.col("x") != F.col("y")) & one & (F.abs(F.col("n") - F.col("m")) <= band) & (F.abs(F.col("n") - F.col("m")) <= apart) & (F.abs(F.col("i") - F.col("j")) <= apart)
+    pairs = a.join(b, ["gram", "range"]).where(close).select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right")).distinct()
     texts = lambda side: own.select(F.col(key).alias(side), F.col("_text").alias(f"{side}_text"))
     both = pairs.join(texts("left"), "left").join(texts("right"), "right")
-    return both.withColumn("ratio", matcher_ratio_from("left_text", "right_text", F.lit(ratio))).where(F.col("ratio") >= ratio).select("left", "right", "ratio")
+    return both.withColumn("ratio", once(matcher_ratio_from("left_text", "right_text", F.lit(ratio)))).where(F.col("ratio") >= ratio).select("left", "right", "ratio")
 
 
 def image_matches(left: Column, right: Column) -> Column:

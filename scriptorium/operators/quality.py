@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text as T
-from .sections import accepts_fulltext, body_metrics, blocks, structure, sufficient_body
+from .sections import accepts_fulltext, measured, sufficient_body
 
 
 def content_kind(has_body: Column, has_abstract: Column) -> Column:
@@ -54,13 +54,9 @@ def loss_warnings(losses: Column) -> Column:
     )
 
 
-def assess_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Verdict on Markdown alone: metrics, run structure, content kind, flags, confidence, tokens."""
-    metrics = body_metrics(docs, key, text)
-    shape = structure(blocks(docs, key, text), key)
-    out = docs.select(key).distinct().join(metrics, key, "left").join(shape, key, "left")
-    out = out.na.fill({"chars": 0, "words": 0, "cjk": 0, "body_blocks": 0, "body_headings": 0, "abstract_words": 0, "body_paragraphs": 0, "run_paragraphs": 0, "run_chars": 0, "body": "", "abstract": ""})
-    out = out.na.fill(False, ["has_abstract", "post_abstract_run"]).na.fill(0.0, ["body_to_abstract"])
+def assess_text(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Verdict on Markdown alone: metrics, run structure, content kind, flags, confidence, tokens; one row per key."""
+    out = measured(docs, key, text, carry)
     out = out.withColumn("explicit_container", F.lit(False)).withColumn("sufficient", sufficient_body())
     accepted = F.col("sufficient") & (accepts_fulltext() | (F.col("body_blocks") >= 1))
     out = out.withColumn("accepted", accepted).withColumn("kind", content_kind(F.col("accepted"), F.col("has_abstract")))

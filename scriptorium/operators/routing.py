@@ -82,15 +82,19 @@ def resolve(queries: DataFrame, works: DataFrame, pages: DataFrame | None = None
 
     `works` (doi, title, landing_url, publisher) answers DOIs and titles, `pages` (url, doi) captured landing pages.
     """
-    from .matching import confident, title_candidates
+    from .matching import confident, score_candidates, title_candidates
 
     asked = queries.withColumn("kind", query_kind(F.col("query"))).withColumn("_doi", I.extract_doi(F.col("query")))
     if pages is not None:
         by_page = pages.select(F.col("url").alias("query"), F.col("doi").alias("_page_doi")).dropDuplicates(["query"])
         asked = asked.join(by_page, "query", "left").withColumn("_doi", F.coalesce("_doi", "_page_doi")).drop("_page_doi")
     titles = asked.where(F.col("kind") == "title").select("query_id", F.col("query").alias("title"))
-    ranked = title_candidates(titles, works.select(F.col("doi").alias("work_id"), "title"), top=5)
-    sure = confident(ranked, "jaccard").where("confident").select("query_id", F.col("work_id").alias("_title_doi"))
+    own = works.select(F.col("doi").alias("work_id"), F.col("title").alias("title")).dropDuplicates(["work_id"])
+    # a pair below this Jaccard similarity can neither be sure nor take the margin from a sure one
+    least = (rules.CONFIDENT_SCORE - rules.CONFIDENT_MARGIN - 0.3) / 0.7 - 1e-6
+    ranked = title_candidates(titles, own, top=5, least=least).join(titles.withColumnRenamed("title", "query_title"), "query_id").join(own, "work_id")
+    scored = score_candidates(ranked.select("query_id", "query_title", "work_id", "title", F.col("rank").alias("pos")))
+    sure = confident(scored).where("confident").select("query_id", F.col("work_id").alias("_title_doi"))
     asked = asked.join(sure, "query_id", "left").withColumn("doi", F.coalesce("_doi", "_title_doi")).drop("_doi", "_title_doi")
     known = works.select("doi", "landing_url", "publisher").dropDuplicates(["doi"])
     out = asked.join(known, "doi", "left").withColumn("landing_url", F.coalesce(F.when(F.col("kind") == "url", F.col("query")), F.col("landing_url")))

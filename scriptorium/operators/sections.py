@@ -20,11 +20,14 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("pos", "line"))
 
 
-def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per block between blank lines that has text: key, pos, block (normalised)."""
+def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), empty: bool = False) -> DataFrame:
+    """One row per block between blank lines that has text: key, pos, block (normalised), and the columns to carry.
+
+    With `empty`, a document's first block stays even if it has no text, so that each document has a row.
+    """
     parts = F.split(F.coalesce(F.col(text), F.lit("")), f"\\n{T.SPACE}*\\n")
-    out = docs.select(key, F.posexplode(parts).alias("pos", "raw")).withColumn("block", T.normalize_text(F.col("raw")))
-    return out.where(F.col("block") != "").select(key, "pos", "block")
+    out = docs.select(key, *carry, F.posexplode(parts).alias("pos", "raw")).withColumn("block", T.normalize_text(F.col("raw")))
+    return out.where((F.col("block") != "") | (F.lit(empty) & (F.col("pos") == 0))).select(key, *carry, "pos", "block")
 
 
 def _is_heading(line: Column) -> Column:
@@ -96,11 +99,18 @@ def combined_abstract(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return kept.groupBy(key).agg(F.array_join(ordered, "\n\n").alias("abstract"))
 
 
-def structure(found: DataFrame, key: str = "doc_id", title: str | None = None) -> DataFrame:
-    """Per document: body paragraphs, its longest run of them and its characters, and whether one follows a
-    body heading after an abstract.
+def abstract_of(nested: Column) -> Column:
+    """The same over a document's array of sections; null without an abstract."""
+    texts = F.filter(F.transform(nested, lambda x: F.when(x["kind"] == "abstract", T.strip_markdown_images(x["text"]))), lambda t: F.coalesce(t != "", F.lit(False)))
+    keyed = F.transform(texts, lambda t: F.struct(T.canonical(t).alias("key"), t.alias("text")))
+    first = F.filter(keyed, lambda x, i: ~F.exists(F.slice(keyed, F.lit(1), i), lambda y: y["key"] == x["key"]))
+    return F.when(F.size(texts) > 0, F.array_join(F.transform(first, lambda x: x["text"]), "\n\n"))
+
+
+def _runs(found: DataFrame, key: str, title: str | None = None) -> DataFrame:
+    """Blocks (key, pos, block) with `kind`, `turned` and the `island` of body paragraphs they are in.
 
-    `found` has key, pos, block. A heading sets a state that lasts until the next one
+    A heading sets a state that lasts until the next one
     (front matter only until the first paragraph); what is in no such state and is prose is
     body. Headings of the body don't break a run, all else does: gaps and islands.
     """
@@ -134,20 +144,32 @@ def structure(found: DataFrame, key: str = "doc_id", title: str | None = None) -
     marked = marked.withColumn("kind", F.when(heading, F.col("category")).otherwise(F.coalesce(held, F.col("own"))))
     barrier = ~F.col("kind").isin("body_paragraph", "body_heading")
     marked = marked.withColumn("island", F.sum(barrier.cast("int")).over(of_doc))
-    body = F.col("kind") == "body_paragraph"
     marked = marked.withColumn("abstract_seen", F.coalesce(F.max((F.col("kind") == "abstract").cast("int")).over(before), F.lit(0)))
-    marked = marked.withColumn("turned", F.coalesce(F.max(((F.col("kind") == "body_heading") & (F.col("abstract_seen") == 1)).cast("int")).over(before), F.lit(0)))
-    runs = marked.groupBy(key, "island").agg(
+    return marked.withColumn("turned", F.coalesce(F.max(((F.col("kind") == "body_heading") & (F.col("abstract_seen") == 1)).cast("int")).over(before), F.lit(0)))
+
+
+def _of_island() -> list[Column]:
+    body = F.col("kind") == "body_paragraph"
+    return [
         F.sum(body.cast("int")).alias("paragraphs"),
         F.sum(F.when(body, F.char_length("block")).otherwise(0)).alias("chars"),
         F.max((body & (F.col("turned") == 1)).cast("int")).alias("post"),
-    )
-    return runs.groupBy(key).agg(
+    ]
+
+
+def _of_islands() -> list[Column]:
+    return [
         F.sum("paragraphs").cast("long").alias("body_paragraphs"),
         F.max("paragraphs").cast("long").alias("run_paragraphs"),
         F.max("chars").cast("long").alias("run_chars"),
         (F.max("post") == 1).alias("post_abstract_run"),
-    )
+    ]
+
+
+def structure(found: DataFrame, key: str = "doc_id", title: str | None = None) -> DataFrame:
+    """Per document: body paragraphs, its longest run of them and its characters, and whether one follows a
+    body heading after an abstract. `found` has key, pos, block."""
+    return _runs(found, key, title).groupBy(key, "island").agg(*_of_island()).groupBy(key).agg(*_of_islands())
 
 
 def accepts_fulltext() -> Column:
@@ -155,31 +177,40 @@ def accepts_fulltext() -> Column:
     return F.col("post_abstract_run") | (F.col("run_paragraphs") >= 3)
 
 
-def body_metrics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Characters, words, CJK share, blocks and headings of each document's body, and of its abstract.
-
-    A heading's class lasts until the next one; what stands under a body heading or under none is
-    body, under an abstract heading is abstract. Display formulas between $$ lines are left out.
-    """
+def _metric_rows(found: DataFrame, key: str) -> DataFrame:
+    """Blocks with `in_body`, `in_abstract`, `is_heading` and `abstract_heading`."""
     of_doc = Window.partitionBy(key).orderBy("pos")
-    found = blocks(docs, key, text).withColumn("heading", _is_heading(F.col("block")))
-    found = found.withColumn("_h", once(F.when(F.col("heading"), H.normalize_heading(H.heading_text(F.col("block"))))))
-    found = found.withColumn("category", once(F.when(F.col("heading"), H.markdown_category_of(F.col("_h")))))
-    state = F.coalesce(F.last("category", ignorenulls=True).over(of_doc), F.lit("body_heading"))
+    found = found.withColumn("is_heading", _is_heading(F.col("block")))
+    found = found.withColumn("_h", once(F.when(F.col("is_heading"), H.normalize_heading(H.heading_text(F.col("block"))))))
+    found = found.withColumn("_category", once(F.when(F.col("is_heading"), H.markdown_category_of(F.col("_h")))))
+    state = F.coalesce(F.last("_category", ignorenulls=True).over(of_doc), F.lit("body_heading"))
     fence = F.col("block") == "$$"
-    found = found.withColumn("state", state).withColumn("formula", F.sum(fence.cast("int")).over(of_doc) % 2 == 1)
-    found = found.withColumn("gate", once(T.has_access_gate(F.col("block")) | F.col("block").rlike("^!\\[[^\\]]*\\]\\([^)]*\\)$")))
-    gate = F.col("gate")
-    in_body = (F.col("state") == "body_heading") & (F.col("heading") | (~F.col("formula") & ~fence & ~gate))
-    in_abstract = (F.col("state") == "abstract") & ~F.col("heading") & ~fence
-    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(c, F.struct("pos", "block")))), lambda x: x["block"]), "\n\n")
-    out = found.groupBy(key).agg(
-        joined(in_body).alias("body"),
-        joined(in_abstract).alias("abstract"),
-        F.sum((in_body & ~F.col("heading")).cast("long")).alias("body_blocks"),
-        F.sum((in_body & F.col("heading")).cast("long")).alias("body_headings"),
-        F.max((F.col("category") == "abstract").cast("int")).alias("_abstract_heading"),
-    )
+    found = found.withColumn("_state", state).withColumn("_formula", F.sum(fence.cast("int")).over(of_doc) % 2 == 1)
+    found = found.withColumn("_gate", once(T.has_access_gate(F.col("block")) | F.col("block").rlike("^!\\[[^\\]]*\\]\\([^)]*\\)$")))
+    filled = F.col("block") != ""
+    in_body = filled & (F.col("_state") == "body_heading") & (F.col("is_heading") | (~F.col("_formula") & ~fence & ~F.col("_gate")))
+    in_abstract = filled & (F.col("_state") == "abstract") & ~F.col("is_heading") & ~fence
+    found = found.withColumns({"in_body": in_body, "in_abstract": in_abstract, "abstract_heading": (F.col("_category") == "abstract").cast("int")})
+    return found.drop("_h", "_category", "_state", "_formula", "_gate")
+
+
+def _of_blocks() -> list[Column]:
+    listed = lambda c: F.collect_list(F.when(F.col(c), F.struct("pos", "block"))).alias(f"_{c}")
+    return [
+        listed("in_body"),
+        listed("in_abstract"),
+        F.sum((F.col("in_body") & ~F.col("is_heading")).cast("long")).alias("body_blocks"),
+        F.sum((F.col("in_body") & F.col("is_heading")).cast("long")).alias("body_headings"),
+        F.max("abstract_heading").alias("abstract_heading"),
+    ]
+
+
+def _of_parts() -> list[Column]:
+    joined = lambda c: F.array_join(F.transform(F.sort_array(F.flatten(F.collect_list(c))), lambda x: x["block"]), "\n\n")
+    return [joined("_in_body").alias("body"), joined("_in_abstract").alias("abstract"), F.sum("body_blocks").alias("body_blocks"), F.sum("body_headings").alias("body_headings"), F.max("abstract_heading").alias("_abstract_heading")]
+
+
+def _counted(out: DataFrame) -> DataFrame:
     words, abstract_words = T.count_words(F.col("body")), T.count_words(F.col("abstract"))
     out = out.withColumns(
         {
@@ -194,6 +225,27 @@ def body_metrics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return out.drop("_abstract_heading")
 
 
+def body_metrics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Characters, words, CJK share, blocks and headings of each document's body, and of its abstract.
+
+    A heading's class lasts until the next one; what stands under a body heading or under none is
+    body, under an abstract heading is abstract. Display formulas between $$ lines are left out.
+    """
+    found = _metric_rows(blocks(docs, key, text), key)
+    return _counted(found.groupBy(key).agg(*_of_blocks()).groupBy(key).agg(*_of_parts()))
+
+
+def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of `body_metrics` and `structure` of every document, and any value of the columns to carry.
+
+    Blocks are dealt by document once; all windows and sums then work on that one partitioning.
+    """
+    found = _runs(_metric_rows(blocks(docs, key, text, carry, empty=True), key), key)
+    kept = [F.first(c).alias(c) for c in carry]
+    by_island = found.groupBy(key, "island").agg(*_of_island(), *_of_blocks(), *kept)
+    return _counted(by_island.groupBy(key).agg(*_of_islands(), *_of_parts(), *kept))
+
+
 def sufficient_body() -> Column:
     """Whether the columns of `body_metrics` make an article's body."""
     shaped = (F.col("body_blocks") >= 2) | (F.col("body_headings") >= 1)

@@ -7,23 +7,23 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import headings as H
+from ..functions import once
 from ..functions import html as W
 from ..functions import text as T
 from ..operators import quality, sections
 
 
 def pages_to_articles(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Each page parsed once: title, metadata, blocks, references, assets and Markdown as columns."""
-    parsed = pages.select(key, url, W.parse_page(F.col(html), F.col(url)).alias("page"))
+    """Each page parsed once, whatever is done with the result: title, metadata, blocks, references, assets and Markdown as columns."""
+    parsed = pages.select(key, url, once(W.parse_page(F.col(html), F.col(url))).alias("page"))
     return parsed.select(key, url, "page.*")
 
 
 def page_verdicts(articles: DataFrame, key: str = "page_id") -> DataFrame:
     """Verdict on each parsed page from its Markdown and its access signals."""
-    texts = articles.select(key, F.col("markdown").alias("text"))
-    verdict = quality.assess_text(texts, key)
-    signals = articles.select(key, "title", T.access_signals(F.col("title"), F.col("markdown"), F.lit(None).cast("int")).alias("signals"))
-    out = verdict.join(signals, key)
+    signals = T.access_signals(F.col("title"), F.col("markdown"), F.lit(None).cast("int"))
+    texts = articles.select(key, F.col("markdown").alias("text"), once(signals).alias("signals"))
+    out = quality.assess_text(texts, key, carry=("signals",))
     gated = F.size("signals") > 0
     out = out.withColumn("accepted", F.col("accepted") & ~gated).withColumn("kind", quality.content_kind(F.col("accepted"), F.col("has_abstract")))
     flags = F.array_union("flags", F.when(gated, F.array(F.lit("access_gate_detected"))).otherwise(F.array().cast("array<string>")))
@@ -34,8 +34,8 @@ def article_from_markdown(docs: DataFrame, key: str = "doc_id", text: str = "tex
     """Sections, abstract, token counts and verdict of Markdown documents as one nested row each."""
     found = sections.sections(docs, key, text)
     nested = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("section", "heading", "level", "kind", "text"))).alias("sections"))
-    abstract = sections.combined_abstract(found, key).withColumnRenamed("abstract", "section_abstract")
-    return quality.assess_text(docs, key, text).join(nested, key, "left").join(abstract, key, "left")
+    nested = nested.withColumn("section_abstract", sections.abstract_of(F.col("sections")))
+    return quality.assess_text(docs, key, text).join(nested, key, "left")
 
 
 def metadata_only(records: DataFrame) -> DataFrame:

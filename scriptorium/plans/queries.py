@@ -513,7 +513,7 @@ def file_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 WITH m AS (SELECT event_id, user_id, 'fulltext:' || event_type || CASE WHEN event_id % 3 = 0 THEN '_ok' WHEN event_id % 3 = 1 THEN '_fail' ELSE '_odd' END AS mark, event_id AS pos FROM events)
-SELECT user_id, string_agg(mark, ' -> ' ORDER BY pos) FILTER (mark LIKE '%\_ok' ESCAPE '\') AS path, count(DISTINCT CASE WHEN mark LIKE '%\_odd' ESCAPE '\' THEN NULL ELSE mark END) AS marks FROM m WHERE event_id < 2000 GROUP BY user_id""")
+SELECT user_id, string_agg(mark, ' -> ' ORDER BY pos) FILTER (mark LIKE '%\_ok' ESCAPE '\') AS path, count(DISTINCT CASE WHEN mark LIKE '%\_odd' ESCAPE '\' THEN NULL ELSE mark END) AS marks FROM m GROUP BY user_id""")
 def success_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of success marks of all of each user's events, and how many different known marks there are."""
     e = read_table(spark, sf_dir, "events")

@@ -80,15 +80,24 @@ def serialize(envelopes: DataFrame, form: str = "json") -> DataFrame:
 def map_in_parallel(rows: DataFrame, call: Callable[[pd.DataFrame], pd.DataFrame], schema: str, concurrency: int, order: str = "pos") -> DataFrame:
     """Calls over at most `concurrency` partitions at a time, results in the input's order.
 
-    `call` gets a batch and gives its results with the order column; a later batch of a partition isn't
-    started once one reported `rate_limited` in a column of that name.
+    `call` gets a batch and gives its results with the order column. Once a batch reports `rate_limited` in a
+    column of that name, the partition's later batches aren't started: their rows come back with the order column,
+    a null elsewhere, and the reason in the columns `not_run` (if the schema has it) and `rate_limited`.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns, stopped = None, False
         for batch in batches:
+            if stopped:
+                out = pd.DataFrame({order: batch[order].values}).reindex(columns=columns)
+                if "not_run" in columns:
+                    out["not_run"] = "rate_limited"
+                out["rate_limited"] = True
+                yield out
+                continue
             out = call(batch)
             yield out
-            if "rate_limited" in out and out["rate_limited"].any():
-                return
+            columns = list(out.columns)
+            stopped = "rate_limited" in columns and bool(out["rate_limited"].any())
 
     return rows.repartitionByRange(concurrency, order).mapInPandas(run, schema).orderBy(order)

@@ -1,6 +1,9 @@
 """Operators on small tables."""
 
 import datetime as dt
+import random
+import re
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -242,3 +245,74 @@ def test_repeated_abstract_paragraphs(spark):
     assert got == [(0, "own words"), (2, "same words here")]
     blocks = spark.createDataFrame([(1, k, "One. Two." if k % 2 else "short") for k in range(20)], "doc_id long, pos int, block string")
     assert [r.pos for r in sections.first_prose(blocks).orderBy("pos").collect()] == [1, 3, 5, 7, 9, 11]
+
+
+def test_near_duplicates_against_brute_force(spark):
+    """Texts with and without spaces, edits at all places, lengths at the band's edge."""
+    rng = random.Random(4)
+    word = lambda n, letters="abcdefghij": "".join(rng.choice(letters) for _ in range(n))
+    texts = []
+    for size, letters in ((150, "abcdefghij"), (220, "中文字符没有空格的很长句子"), (400, "ab"), (1300, "abcdefghij"), (9000, "abcdefghijklmnop")):
+        base = word(size, letters)
+        texts.append(base)
+        for _ in range(4):
+            own = list(base)
+            for _ in range(rng.randint(1, max(1, size // 90))):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randint(0, 1)] = [rng.choice(letters)] * rng.randint(0, 2)
+            texts.append("".join(own))
+        texts.append(base[: size // 2] + word(1, letters) + base[size // 2 :])
+        texts.append(base + word(int(size * 0.008), letters))
+    texts += ["long" * 30 + " x " + "word" * 30, "long" * 30 + " xy " + "word" * 30, "", None, "short", "shorter"]
+    rows = list(enumerate(texts))
+    first = {}
+    for k, t in rows:
+        key = re.sub(r"[\W_]+", "", (t or "").lower())
+        if key:
+            first.setdefault(key, k)
+    plain = sorted((k, t) for t, k in first.items())
+    want = set()
+    for i, (a, x) in enumerate(plain):
+        for b, y in plain[i + 1 :]:
+            if abs(len(x) - len(y)) <= 64 and SequenceMatcher(None, x, y).ratio() >= 0.995:
+                want.add((a, b))
+    got = {(r.left, r.right) for r in matching.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want and len(got) > 5
+
+
+def test_resolve_weighs_tokens_and_characters(spark):
+    """A title with all tokens in another order is like in tokens but not in characters; a close second takes the margin."""
+    works = spark.createDataFrame([("10.1/a", "gamma beta alpha of deep rivers", None, None), ("10.1/b", "slow rivers carry sand", None, None), ("10.1/c", "slow rivers carry sands", None, None), ("10.1/d", "unique words about quiet lakes", None, None)], "doi string, title string, landing_url string, publisher string")
+    asked = spark.createDataFrame([(1, "alpha beta gamma of deep rivers"), (2, "slow rivers carry sand"), (3, "unique words about quiet lakes"), (4, "of the")], "query_id long, query string")
+    got = {r.query_id: r.doi for r in routing.resolve(asked, works).collect()}
+    score = lambda a, b: round(0.7 * len(set(a.split()) & set(b.split())) / len(set(a.split()) | set(b.split())) + 0.3 * 2 * matching._common_subsequence(a, b) / (len(a) + len(b)), 6)
+    assert score("alpha beta gamma of deep rivers", "gamma beta alpha of deep rivers") < 0.9 + 0.05
+    assert got[1] == ("10.1/a" if score("alpha beta gamma of deep rivers", "gamma beta alpha of deep rivers") >= 0.9 else None)
+    assert got[2] == "10.1/b" and got[3] == "10.1/d" and got[4] is None
+
+
+def test_titles_above_a_similarity_against_all_pairs(spark):
+    rng = random.Random(8)
+    words = ["the", "of", "a", "river", "model", "deep", "learning", "soil", "carbon", "forest"]
+    titles = [(k, " ".join(rng.sample(words, rng.randint(1, 8)))) for k in range(150)]
+    queries = spark.createDataFrame(titles[:40], "query_id long, title string")
+    works = spark.createDataFrame(titles[40:], "work_id long, title string")
+    want = set()
+    for q, t in titles[:40]:
+        scored = []
+        for w, o in titles[40:]:
+            a, b = set(t.split()), set(o.split())
+            scored.append((-len(a & b) / len(a | b), w))
+        want |= {(q, w) for s, w in sorted(scored)[:5] if -s >= 0.6}
+    assert {(r.query_id, r.work_id) for r in matching.title_candidates(queries, works, 5, 0.6).collect()} == want
+
+
+def test_batches_after_a_rate_limit_come_back_with_the_reason(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        rows = spark.range(20).select(F.col("id").alias("pos")).coalesce(1)
+        call = lambda b: b.assign(v=1, rate_limited=b.pos == 7, not_run=None)[["pos", "v", "rate_limited", "not_run"]]
+        out = sources.map_in_parallel(rows, call, "pos long, v long, rate_limited boolean, not_run string", 1).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r.pos for r in out] == list(range(20)) and [r.pos for r in out if r.not_run] == list(range(10, 20))
