@@ -186,6 +186,32 @@ def url_keys(value: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(clean, F.transform(clean, lambda x: F.regexp_replace(x, "^/+", ""))), lambda x: x != ""))
 
 
+def asset_group(ref: Column) -> Column:
+    """The code (letters and number) in an asset's file name under which its sizes belong together, else the name."""
+    plain = F.lower(strip(ref))
+    name = F.substring_index(F.split(plain, "[?#]").getItem(0), "/", -1)
+    name = F.when(name == "", plain).otherwise(name)
+    code = F.regexp_extract(name, f"((?:{'|'.join(rules.ASSET_CODES)})[0-9]+|{rules.ASSET_CODE_ALONE[0]})", 1)
+    return F.when(code != "", code).otherwise(name)
+
+
+def asset_kind(ref: Column, kind: Column, category: Column) -> Column:
+    """What an asset is: by its code, else an image by its declared type or category, else supplementary."""
+    group = asset_group(ref)
+    letters = F.regexp_extract(group, f"^({'|'.join(rules.ASSET_CODES)})[0-9]+$", 1)
+    coded = F.try_element_at(F.create_map(*(F.lit(x) for pair in rules.ASSET_CODES.items() for x in pair)), letters)
+    image = F.startswith(F.upper(strip(text_or_empty(kind))), F.lit(rules.ASSET_IMAGE_TYPE)) | (F.lower(strip(text_or_empty(category))) == rules.ASSET_IMAGE_CATEGORY)
+    return F.when(group == rules.ASSET_CODE_ALONE[0], rules.ASSET_CODE_ALONE[1]).otherwise(F.coalesce(coded, F.when(image, "image").otherwise("supplementary")))
+
+
+def figure_score(page_url: Column, full_size_url: Column, url: Column, preview_url: Column, caption: Column) -> Column:
+    """How much a figure's record tells; of records of one figure the highest counts."""
+    urls = F.concat_ws(" ", *(F.lower(normalize_text(u)) for u in (full_size_url, url, preview_url)))
+    filled = lambda c: normalize_text(c) != ""
+    holds = {"page": filled(page_url), "fig": F.contains(urls, F.lit("fig")), "equation": urls.rlike(rules.EQUATION_URL), "full": filled(full_size_url), "preview": filled(preview_url), "caption": filled(caption)}
+    return sum((F.when(holds[k], points).otherwise(0) for k, points in rules.FIGURE_POINTS.items()), F.lit(0))
+
+
 def _dimensions(body: bytes | None) -> tuple[int, int] | None:
     raw = bytes(body or b"")
     if raw[:8] == b"\x89PNG\r\n\x1a\n" and len(raw) >= 24:

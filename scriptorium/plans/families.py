@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import headings as H
 from ..functions import identifiers as I
+from ..functions import html as W
 from ..functions import signals as S
 from ..functions import text as T
-from ..operators import assets, quality, records, reports, routing, sections
+from ..functions import xml as X
+from ..operators import assets, budgets, matching, quality, records, reports, routing, sections
 from ..sources import read_table
+from . import articles
 from .queries import QUERIES, SQL, query
 
 __all__ = ["QUERIES", "SQL"]
@@ -323,7 +326,7 @@ _SECTION_HEADINGS = ["Abstract", "Significance", "Results", "References", "Intro
 @query(f"""
 WITH t AS (SELECT conv_id AS doc_id, turn, list_value({', '.join(f"'{h}'" for h in _SECTION_HEADINGS)})[1 + (conv_id + turn) % 5] AS heading, CASE WHEN turn % 4 = 3 THEN 4 ELSE 3 END AS level, md5(text) AS body FROM conversations),
 k AS (SELECT *, CASE heading WHEN 'Abstract' THEN 'abstract' WHEN 'Significance' THEN 'abstract' WHEN 'References' THEN 'references' ELSE 'body' END AS kind FROM t)
-SELECT doc_id, count(*) FILTER (kind = 'body') AS body, count(*) FILTER (kind = 'abstract') AS abstracts, count(*) FILTER (kind = 'body') AS renderable, max(level) - min(level) + greatest(min(level) - 2, 0) AS deepest,
+SELECT doc_id, count(*) FILTER (kind = 'body') AS body, count(*) FILTER (kind = 'abstract') AS abstracts, count(*) FILTER (kind = 'body') AS renderable, CAST(max(level) - min(level) + greatest(min(level) - 2, 0) AS BIGINT) AS deepest,
   coalesce(min(turn) FILTER (heading <> 'Significance'), 0) - 0 AS leading, string_agg(body, chr(10) || chr(10) ORDER BY turn) FILTER (kind = 'abstract') AS abstract FROM k GROUP BY doc_id""")
 def section_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Body, abstract, renderable and leading sections of conversations as Markdown, a turn a section."""
@@ -392,3 +395,184 @@ def url_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = assets.first_in_order(assets.pdf_candidates(routing.page_urls(rows, ["a.org", "b.org"], ["/doi/{doi}"]), ["one", "two"], 1, "extra"))
     return out.select("event_id", F.array_join("urls", "|").alias("pages"), F.array_join("pdf_urls", "|").alias("pdfs"), F.array_join("candidates", "|").alias("downloads"))
+
+
+_CODES = {
+    "asset_group": (I.asset_group, [("concat('http://h/1-s2.0-S', p_partkey, '-GR', p_partkey, '_lrg.jpg?x=1')", "concat('gr', p_partkey)"), ("concat('a/mmc', p_partkey, '.pdf')", "concat('mmc', p_partkey)"), ("'x/example.png#y'", "'am'"), ("concat('b', p_partkey, '.zip')", "concat('b', p_partkey, '.zip')")]),
+    "kind": (
+        lambda c: I.asset_kind(F.split_part(c, F.lit(";"), F.lit(1)), F.split_part(c, F.lit(";"), F.lit(2)), F.split_part(c, F.lit(";"), F.lit(3))),
+        [("concat('gr', p_partkey, '.jpg;;')", "'image'"), ("'ga1.jpg;;'", "'graphical_abstract'"), ("'fx2.jpg;;'", "'appendix_image'"), ("'tbl3.xml;;'", "'table_asset'"), ("'mmc4.pdf;IMAGE-WEB;'", "'supplementary'"), ("'q.jpg;image-downsampled;'", "'image'"), ("'q.jpg;;Thumbnail'", "'image'"), ("'q.bin;APPLICATION;other'", "'supplementary'")],
+    ),
+    "figure_points": (
+        lambda c: I.figure_score(*(F.split_part(c, F.lit(";"), F.lit(k)) for k in range(1, 6))).cast("long"),
+        [("concat('p', p_partkey, ';f/Fig1.png;;v.png;cap')", "CAST(175 AS BIGINT)"), ("';;x/ieq12.gif;;'", "-40"), ("';;;;'", "0"), ("';full.png;;;c'", "25")],
+    ),
+    "redirected": (lambda c: I.is_abstract_redirect(F.lit("https://h/doi/full/10.1/x"), c), [("concat('https://h/doi/abs/10.1/', p_partkey)", "true"), ("'https://h/doi/full/10.1/x'", "false")]),
+    "landing": (lambda c: I.landing_page(F.split(c, " ")), [(f"concat('https://{rules.API_HOSTS[0]}/x https://a.org/', p_partkey)", "concat('https://a.org/', p_partkey)"), (f"'no https://{rules.API_HOSTS[0]}/y'", f"'https://{rules.API_HOSTS[0]}/y'")]),
+    "anchor": (I.is_reference_anchor, [("'#ref-CR'", "true"), ("'x#bib'", "true"), ("concat('#sec', p_partkey)", "false")]),
+    "element_class": (H.identity_category, [(f"'x {next(iter(rules.IDENTITY_TOKENS.values()))[0]} y'", f"'{next(iter(rules.IDENTITY_TOKENS))}'"), ("''", "''")]),
+    "same_image": (lambda c: matching.image_matches(c, F.lit("img/f1.png")), [("'https://h/a/img/f1.png'", "true"), ("'other/f1.png?x'", "true"), ("concat('img/g', p_partkey, '.png')", "false")]),
+    "layer": (lambda c: F.coalesce(S.data_layer(c, "dataLayer"), F.lit("")), [("concat('<script>dataLayer={\"a\": ', p_partkey, '};</script>')", "concat('{\"a\": ', p_partkey, '}')"), ("'dataLayer={broken;'", "''")]),
+    "tidy": (W.normalize_markdown, [("concat('a  b \n\n\n\n```\n x  y\n```\n', p_partkey)", "concat('a b', chr(10), chr(10), chr(10), '```', chr(10), ' x  y', chr(10), '```', chr(10), p_partkey)")]),
+}
+
+
+@query(_form_query("part", "p_partkey", _CODES))
+def link_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds and groups of publishers' assets, figure scores, redirects, landing pages, anchors, embedded data and fenced Markdown."""
+    return _formed(spark, sf_dir, "part", "p_partkey", _CODES)
+
+
+_XML = """<article><title>T {k}</title><abstract><p>Ab {k}</p></abstract><body><sec><title>One</title><p>x{k}</p><sec><title>Two</title><p>y</p></sec></sec>
+<fig><label>Fig. 1</label><caption>Cap {k}</caption><graphic href="g{k}.png"/></fig><math><mfrac><mi>a</mi><msup><mi>b</mi><mn>{k}</mn></msup></mfrac></math></body>
+<ref-list><ref><label>3</label>Doe 2001 10.5555/A{k}.</ref></ref-list></article>"""
+_CALS = """<table><tgroup><colspec colname="a"/><colspec colname="b"/><colspec colname="c"/><tbody>
+<row><entry morerows="1">x{k}</entry><entry namest="b" nameend="c">y</entry></row><row><entry>1</entry><entry>2</entry></row></tbody></tgroup></table>"""
+
+
+def _filled(template: str, key: str) -> Column:
+    return F.replace(F.lit(template), F.lit("{k}"), F.col(key).cast("string"))
+
+
+@query(r"""
+SELECT p_partkey, concat('T ', p_partkey) AS title, concat('Ab ', p_partkey) AS abstract, concat('One 2 x', p_partkey, '|Two 3 y') AS sections, concat('3 10.5555/a', p_partkey, ' 2001') AS refs, concat('Fig. 1 Cap ', p_partkey, ' g', p_partkey, '.png') AS figures,
+  concat('\frac{a}{{b}^{', p_partkey, '}}') AS formula, concat('\frac{a}{{b}^{', p_partkey, '}}') AS latex, concat('x', p_partkey, ',y,y') AS head, concat('x', p_partkey, ',1,2') AS row, true AS lossy FROM part""")
+def xml_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of XML articles that are made from ids: sections, references, figures, formulas, and a table with spans."""
+    p = read_table(spark, sf_dir, "part").select("p_partkey")
+    x = p.select("p_partkey", X.parse_article(_filled(_XML, "p_partkey")).alias("x"), X.cals_table(_filled(_CALS, "p_partkey")).alias("t"), X.mathml_to_latex(_filled("<math><mfrac><mi>a</mi><msup><mi>b</mi><mn>{k}</mn></msup></mfrac></math>", "p_partkey")).alias("latex"))
+    listed = lambda c, f: F.array_join(F.transform(c, f), "|")
+    cells = lambda n: F.array_join(F.filter(F.transform(F.split(F.get(F.split("t.markdown", "\n"), F.lit(n)), "[|]"), lambda v: F.trim(v)), lambda v: v != ""), ",")
+    return x.select(
+        "p_partkey",
+        "x.title",
+        listed(F.col("x.abstracts"), lambda a: a["text"]).alias("abstract"),
+        listed(F.col("x.sections"), lambda s: F.concat_ws(" ", s["heading"], s["level"].cast("string"), s["text"])).alias("sections"),
+        listed(F.col("x.references"), lambda r: F.concat_ws(" ", r["label"], r["doi"], r["year"])).alias("refs"),
+        listed(F.col("x.figures"), lambda f: F.concat_ws(" ", f["label"], f["caption"], f["locator"])).alias("figures"),
+        F.array_join("x.formulas", "|").alias("formula"),
+        "latex",
+        cells(0).alias("head"),
+        cells(2).alias("row"),
+        F.col("t.lossy").alias("lossy"),
+    )
+
+
+_HTML = """<html><head><title>T</title><meta name="citation_title" content="Study {k}"><meta name="citation_doi" content="10.1234/K{k}">
+<meta name="citation_author" content="Jane Doe"><meta name="citation_pdf_url" content="/x{k}.pdf">
+<script type="application/ld+json">{"@type": "ScholarlyArticle", "author": [{"name": "Ann Lee{k}"}]}</script></head>
+<body><nav>Menu</nav><article><h1>Study {k}</h1><section class="abstract"><h2>Abstract</h2><p>Short &amp; sweet {k}.</p></section>
+<p>First <b>bold</b><p>Second <a href="https://e.org">link</a><figure><img src="f{k}.png"><figcaption>Figure 1. Map</figcaption></figure>
+<table><tr><th colspan=2>H</th></tr><tr><td>{k}</td><td>2|3</td></tr></table>
+<div id="references"><ol><li>Doe 1999, 2001 10.5555/zz{k}.</li></ol></div><a href="/suppl/s{k}.zip">Supplement</a>
+<div class="share-bar">share</div></article></body></html>"""
+
+
+@query(r"""
+SELECT p_partkey, concat('Study ', p_partkey) AS title, concat('10.1234/k', p_partkey) AS doi, concat('Jane Doe|Ann Lee', p_partkey) AS authors, concat('https://p.org/x', p_partkey, '.pdf') AS pdf, concat('1 10.5555/zz', p_partkey, ' 2001') AS refs,
+  concat('figure https://p.org/a/f', p_partkey, '.png|supplementary https://p.org/suppl/s', p_partkey, '.zip') AS assets, concat('Short & sweet ', p_partkey, '.') AS abstract, 'heading,heading,paragraph,paragraph' AS kinds,
+  concat(p_partkey, ',2+3') AS cells, true AS bold, true AS linked, false AS shared FROM part""")
+def built_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of HTML pages that are made from ids: metadata, authors, references, assets, blocks, a table and Markdown."""
+    p = read_table(spark, sf_dir, "part").select("p_partkey", F.lit("https://p.org/a/").alias("url"), _filled(_HTML, "p_partkey").alias("html"))
+    page = articles.pages_to_articles(p, "p_partkey")
+    listed = lambda c, *names: F.array_join(F.transform(c, lambda x: F.concat_ws(" ", *(x[n] for n in names))), "|")
+    # the escaped bar inside a cell becomes a plus before the row is cut at bars
+    plain = F.split(F.replace("markdown", F.lit("\\|"), F.lit("+")), "\n")
+    cells = F.transform(F.split(F.get(F.filter(plain, lambda line: F.contains(line, F.lit("2+3"))), F.lit(0)), "[|]"), lambda v: F.trim(v))
+    return page.select(
+        "p_partkey",
+        "title",
+        F.col("meta_doi").alias("doi"),
+        F.array_join("meta_authors", "|").alias("authors"),
+        F.get("pdf_urls", F.lit(0)).alias("pdf"),
+        listed(F.col("references"), "label", "doi", "year").alias("refs"),
+        listed(F.col("assets"), "kind", "url").alias("assets"),
+        listed(F.col("abstracts"), "text").alias("abstract"),
+        F.array_join(F.transform(F.slice("blocks", 1, 4), lambda b: b["kind"]), ",").alias("kinds"),
+        F.array_join(F.filter(cells, lambda c: c != ""), ",").alias("cells"),
+        F.contains("markdown", F.lit("First **bold**")).alias("bold"),
+        F.contains("markdown", F.lit("[link](https://e.org)")).alias("linked"),
+        F.exists(F.split("markdown", "\n"), lambda line: line == "share").alias("shared"),
+    )
+
+
+_MESSAGE = '{"DOI": "10.1234/W{k}", "title": ["On  {k}"], "container-title": ["J"], "publisher": "P", "abstract": "<p>Ab {k}</p>", "URL": "http://h/{k}", "author": [{"given": "A", "family": "B"}, {"name": "Team {k}"}, {"given": "a", "family": "b"}], "issued": {"date-parts": [[2001, 2]]}, "license": [{"URL": "l"}, {"URL": "l"}], "link": [{"URL": "u{k}"}], "subject": ["s", "t"]}'
+
+
+@query(r"""
+WITH m AS (SELECT c_custkey AS k FROM customer)
+SELECT k, concat('10.1234/w', k) AS doi, concat('On ', k) AS title, 'J' AS journal, concat('Ab ', k) AS abstract, concat('A B|Team ', k) AS authors, '2001-2' AS published, 'l' AS licences, concat('u', k) AS links, 's|t' AS keywords, 'likely_yes' AS state,
+  CASE WHEN k % 2 = 0 THEN 'abstract_only' ELSE 'metadata_only' END AS kind FROM m""")
+def works_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bibliographic messages as flat records, what they promise, and as articles without a body."""
+    raw = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), _filled(_MESSAGE, "c_custkey").alias("message"))
+    works = articles.probe(records.normalize_works(raw).withColumn("pdf_url", F.lit("")))
+    none = articles.metadata_only(works.withColumn("full_abstract", F.col("abstract")).withColumn("abstract", F.when(F.col("k") % 2 == 0, F.col("abstract")).otherwise("")))
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return none.select("k", "doi", "title", "journal", F.col("full_abstract").alias("abstract"), joined("authors"), "published", joined("licences"), joined("links"), joined("keywords"), "state", "kind")
+
+
+@query("""
+WITH h AS (SELECT user_id AS doc_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS pos FROM events)
+SELECT doc_id, pos, CASE WHEN pos < 4 THEN concat('k', pos) END AS hint FROM h WHERE pos < 6""")
+def section_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings with the kind of the next hint of their name: the same two names in turn, four hints."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    rows = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), n.alias("pos")).where("pos < 6")
+    name = lambda c: F.when(F.col(c) % 2 == 0, "Results").otherwise("Methods")
+    hints = rows.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("order"))
+    hints = hints.select("doc_id", "order", name("order").alias("heading"), F.concat(F.lit("k"), F.col("order").cast("string")).alias("kind"))
+    return sections.match_hints(rows.withColumn("heading", name("pos")), hints).select("doc_id", "pos", F.col("hint_kind").alias("hint"))
+
+
+@query("""
+WITH t AS (SELECT conv_id AS doc_id, count(*) AS turns FROM conversations GROUP BY 1)
+SELECT doc_id, CAST(least(turns, 3) * 10 AS BIGINT) AS tokens, turns > 3 AS truncated, CASE WHEN doc_id % 2 = 0 THEN 'own text' ELSE 'An abstract of some words that is repeated.' || chr(10) || chr(10) || 'own text' END AS body, CAST(2 AS BIGINT) AS prose FROM t""")
+def rendered_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as blocks of ten tokens within 35, bodies without a repeated abstract, and the first prose blocks."""
+    c = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("group"), F.col("turn").cast("int").alias("pos"), F.lit(10).cast("long").alias("tokens"), F.md5(F.col("text").cast("binary")).alias("text"))
+    shown = budgets.render(c, 35).select("doc_id", F.col("tokens").cast("long").alias("tokens"), "truncated")
+    abstract = "An abstract of some words that is repeated."
+    found = c.select("doc_id").distinct().select("doc_id", F.lit(0).alias("section"), F.lit("Main").alias("heading"), F.lit(2).alias("level"), F.lit("body").alias("kind"), F.lit(f"{abstract}\n\nown text").alias("text"))
+    known = found.select("doc_id", F.when(F.col("doc_id") % 2 == 0, abstract.upper()).otherwise("Another one.").alias("abstract"))
+    body = sections.without_leading_abstract(found, known).select("doc_id", F.col("text").alias("body"))
+    long = F.lit("\n\n".join(["# Head", "word " * 30, "short", "One. Two.", "x " * 60]))
+    prose = sections.first_prose(sections.blocks(found.select("doc_id", long.alias("text"))), n=2).groupBy("doc_id").agg(F.count("*").alias("prose"))
+    return shown.join(body, "doc_id").join(prose, "doc_id")
+
+
+@query("""
+WITH r AS (SELECT event_id, event_id % 3 = 0 AS a, event_id % 5 = 0 AS b FROM events), f AS (SELECT 'b' AS category, event_id FROM r WHERE b UNION ALL SELECT 'a', event_id FROM r WHERE a)
+SELECT category, CASE category WHEN 'b' THEN 'advice one' ELSE 'advice two' END AS advice, count(*) AS rows, CASE category WHEN 'b' THEN CAST(1 AS BIGINT) ELSE 2 END AS priority, min(event_id) AS first FROM f GROUP BY category""")
+def issue_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of records in the order of a table of advice."""
+    e = F.col("event_id")
+    none = F.array().cast("array<string>")
+    results = read_table(spark, sf_dir, "events").select(e.alias("pos"), e.alias("doi"), F.concat(F.when(e % 3 == 0, F.array(F.lit("a"))).otherwise(none), F.when(e % 5 == 0, F.array(F.lit("b"), F.lit("b"))).otherwise(none)).alias("flags"))
+    advice = spark.createDataFrame([("b", 1, "advice one"), ("none", 2, "no advice"), ("a", 3, "advice two")], "category string, position int, advice string")  # a fixed table
+    out = reports.recommendations(results, advice)
+    return out.select("category", "advice", "rows", F.col("priority").cast("long").alias("priority"), F.get("samples", F.lit(0)).alias("first"))
+
+
+@query("""
+WITH p AS (SELECT c_custkey AS query_id FROM customer)
+SELECT query_id, concat('w', query_id) AS work_id, CAST(1000000 AS BIGINT) AS score, CAST(round((0.7 * 2 / 3 + 0.3 * 36 / 38) * 1000000) AS BIGINT) AS second, true AS confident FROM p""")
+def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names against themselves and against themselves with a word more: tokens and characters weighed, and whether the first is sure."""
+    c = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"), F.col("c_name").alias("query_title"))
+    work = F.concat(F.lit("w"), F.col("query_id").cast("string"))
+    pairs = c.select("query_id", "query_title", work.alias("work_id"), F.col("query_title").alias("title"), F.lit(1).alias("pos"))
+    pairs = pairs.unionByName(c.select("query_id", "query_title", F.concat(work, F.lit("x")).alias("work_id"), F.concat("query_title", F.lit(" x")).alias("title"), F.lit(0).alias("pos")))
+    out = matching.confident(matching.score_candidates(pairs))
+    whole = lambda s: F.round(F.col(s) * 1_000_000).cast("long").alias(s)
+    return out.select("query_id", "work_id", whole("score"), whole("second"), "confident")
+
+
+@query("""
+WITH e AS (SELECT event_id, event_id % 2 = 0 AS known FROM events)
+SELECT event_id, 'springer' AS provider FROM e WHERE known""")
+def official_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that are official providers."""
+    asked = read_table(spark, sf_dir, "events").select("event_id", F.array(F.when(F.col("event_id") % 2 == 0, "https://www.nature.com/x").otherwise("https://nowhere.example/x")).alias("urls"), F.array().cast("array<string>").alias("publishers"), F.lit("").alias("doi"))
+    return routing.official_candidates(routing.route(asked, "event_id"), ["springer"]).select("event_id", "provider")

@@ -257,21 +257,27 @@ def dedupe_first_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TOKENS_SQL = "list_distinct(list_filter(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''))"
 _TOPK_SQL = f"""
-q AS (SELECT item_id, {_TOKENS_SQL.format('text')} AS toks FROM benchmark), w AS (SELECT doc_id, {_TOKENS_SQL.format("split_part(text, chr(10), 1)")} AS toks FROM documents),
+t AS (SELECT page_id, {_TOKENS_SQL.format(_PAGE_TITLE)} AS toks FROM pages), q AS (SELECT page_id AS item_id, toks FROM t WHERE page_id % 100 = 0), w AS (SELECT page_id AS doc_id, toks FROM t),
 a AS (SELECT item_id, len(toks) AS n, unnest(toks) AS tok FROM q), b AS (SELECT doc_id, len(toks) AS m, unnest(toks) AS tok FROM w),
 s AS (SELECT item_id, doc_id, count(*) * 1.0 / (any_value(n) + any_value(m) - count(*)) AS jaccard FROM a JOIN b USING (tok) GROUP BY 1, 2),
 r AS (SELECT item_id, doc_id, CAST(floor(jaccard * 1e9 + 0.5) AS BIGINT) AS score, row_number() OVER (PARTITION BY item_id ORDER BY jaccard DESC, doc_id) AS rank FROM s)"""
 
 
+def _titles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Titles that are looked up (of every hundredth page), and those of all pages."""
+    from ..functions import html as W
+
+    works = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("work_id"), W.page_title(F.col("html")).alias("title"))
+    return works.where(F.col("work_id") % 100 == 0).withColumnRenamed("work_id", "query_id"), works
+
+
 def _ranked(spark: SparkSession, sf_dir: str, top: int) -> DataFrame:
-    asked = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("title"))
-    works = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("work_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
-    return matching.title_candidates(asked, works, top)
+    return matching.title_candidates(*_titles(spark, sf_dir), top)
 
 
 @query(f"WITH {_TOPK_SQL} SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 5")
 def title_jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five documents whose first line is most like each benchmark text, by token Jaccard."""
+    """The five pages whose titles are most like that of every hundredth page, by token Jaccard."""
     out = _ranked(spark, sf_dir, 5)
     return out.select(F.col("query_id").alias("item_id"), F.col("work_id").alias("doc_id"), F.floor(F.col("jaccard") * 1e9 + 0.5).cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -279,7 +285,7 @@ def title_jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_TOPK_SQL}, p AS (SELECT item_id, max(CASE WHEN rank = 1 THEN doc_id END) AS doc_id, max(CASE WHEN rank = 1 THEN score END) AS first, coalesce(max(CASE WHEN rank = 2 THEN score END), 0) AS second FROM r WHERE rank <= 2 GROUP BY 1)
 SELECT item_id, doc_id, first, second, first >= 900000000 AND first - second >= 50000000 AS confident FROM p""")
 def confident_top_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each benchmark text's best candidate is sure."""
+    """Whether the best candidate of every hundredth page's title is sure."""
     scored = _ranked(spark, sf_dir, 2).withColumn("score", F.floor(F.col("jaccard") * 1e9 + 0.5).cast("long"))
     by_rank = Window.partitionBy("query_id").orderBy("rank")
     out = scored.withColumn("second", F.coalesce(F.lead("score").over(by_rank), F.lit(0)).cast("long")).where("rank = 1")
@@ -556,11 +562,10 @@ def skipping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The candidates of each benchmark text scored by tokens and characters, and whether the first is sure."""
-    ranked = _ranked(spark, sf_dir, 5)
-    asked = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_title"))
-    works = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("work_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
-    pairs = ranked.select("query_id", "work_id", F.col("rank").alias("pos")).join(asked, "query_id").join(works, "work_id")
+    """The candidates of every hundredth page's title scored by tokens and characters, and whether the first is sure."""
+    asked, works = _titles(spark, sf_dir)
+    ranked = matching.title_candidates(asked, works, 5)
+    pairs = ranked.select("query_id", "work_id", F.col("rank").alias("pos")).join(asked.withColumnRenamed("title", "query_title"), "query_id").join(works, "work_id")
     return matching.confident(matching.score_candidates(pairs)).select("query_id", "work_id", "score", "confident")
 
 
