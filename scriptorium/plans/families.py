@@ -77,29 +77,29 @@ def _texts(values: Column) -> Column:
 
 
 _NAMES = {
-    "authors": (lambda c: _texts(T.dedupe_authors(T.split_authors(c))), [("concat('Ann B', event_id, '; ann b', event_id, '; C. D')", "concat('Ann B', event_id, '|C. D')"), ("concat('x', event_id, ' ,  y')", "concat('x', event_id, '|y')"), ("''", "''")]),
-    "extended": (lambda c: _texts(T.extend_unique(F.array(F.lit("a"), F.lit("b")), F.split(c, ";"))), [("concat('b; c', event_id)", "concat('a|b|c', event_id)"), ("' ;a'", "'a|b'")]),
+    "authors": (lambda c: _texts(T.dedupe_authors(T.split_authors(c))), [("concat('Ann B', c_custkey, '; ann b', c_custkey, '; C. D')", "concat('Ann B', c_custkey, '|C. D')"), ("concat('x', c_custkey, ' ,  y')", "concat('x', c_custkey, '|y')"), ("''", "''")]),
+    "extended": (lambda c: _texts(T.extend_unique(F.array(F.lit("a"), F.lit("b")), F.split(c, ";"))), [("concat('b; c', c_custkey)", "concat('a|b|c', c_custkey)"), ("' ;a'", "'a|b'")]),
     "language": (T.language, [("'en_US'", "'en'"), ("'DE'", "'de'"), ("'x'", "NULL")]),
-    "lookup": (T.is_lookup_title, [("concat('Deep rivers ', event_id)", "true"), ("'Redirecting'", "false"), ("' '", "false")]),
-    "prose": (T.is_substantial_prose, [("concat(repeat('word ', 20), event_id)", "true"), ("concat('One. Two ', event_id)", "true"), ("concat('short ', event_id)", "false")]),
+    "lookup": (T.is_lookup_title, [("concat('Deep rivers ', c_custkey)", "true"), ("'Redirecting'", "false"), ("' '", "false")]),
+    "prose": (T.is_substantial_prose, [("concat(repeat('word ', 20), c_custkey)", "true"), ("concat('One. Two ', c_custkey)", "true"), ("concat('short ', c_custkey)", "false")]),
     "composed": (
         lambda c: T.compose_query(c, F.array(F.lit("A B"), F.lit("C"), F.lit("D"), F.lit("E")), F.lit(2020), F.lit("raw  text")),
-        [("concat('Title ', event_id)", "concat('Title ', event_id, ' A B C D 2020')"), ("' '", "'raw text'")],
+        [("concat('Title ', c_custkey)", "concat('Title ', c_custkey, ' A B C D 2020')"), ("' '", "'raw text'")],
     ),
-    "same": (lambda c: T.semantic_match(c, F.concat(F.lit("A long common start of words, then "), F.col("user_id").cast("string"))), [("concat('a LONG common start of words: then ', user_id)", "true"), ("concat('a long common start of other things ', event_id)", "true"), ("concat('nothing alike ', event_id)", "false")]),
-    "dirty": (I.doi_needs_cleaning, [("concat('10.1234/a', event_id)", "false"), ("concat('https://doi.org/10.1234/A', event_id)", "true")]),
-    "kind": (routing.query_kind, [("concat('https://h/', event_id)", "'url'"), ("concat('doi 10.1234/x', event_id)", "'doi'"), ("concat('a title ', event_id)", "'title'")]),
+    "same": (lambda c: T.semantic_match(c, F.concat(F.lit("A long common start of words, then "), F.col("c_nationkey").cast("string"))), [("concat('a LONG common start of words: then ', c_nationkey)", "true"), ("concat('a long common start of other things ', c_custkey)", "true"), ("concat('nothing alike ', c_custkey)", "false")]),
+    "dirty": (I.doi_needs_cleaning, [("concat('10.1234/a', c_custkey)", "false"), ("concat('https://doi.org/10.1234/A', c_custkey)", "true")]),
+    "kind": (routing.query_kind, [("concat('https://h/', c_custkey)", "'url'"), ("concat('doi 10.1234/x', c_custkey)", "'doi'"), ("concat('a title ', c_custkey)", "'title'")]),
     "reference": (
         lambda c: records.reference_text(F.array(F.lit("A"), F.lit("B")), c, F.lit(None).cast("string"), F.lit("[1]")),
-        [("concat('On soils ', event_id)", "concat('[1] A, B. On soils ', event_id)")],
+        [("concat('On soils ', c_custkey)", "concat('[1] A, B. On soils ', c_custkey)")],
     ),
-    "gated": (lambda c: _texts(T.access_gate_phrases(c)), [(f"'Please {rules.ACCESS_GATE_PHRASES[0]} now'", f"'{rules.ACCESS_GATE_PHRASES[0]}'"), ("concat('open text ', event_id)", "''")]),
+    "gated": (lambda c: _texts(T.access_gate_phrases(c)), [(f"'Please {rules.ACCESS_GATE_PHRASES[0]} now'", f"'{rules.ACCESS_GATE_PHRASES[0]}'"), ("concat('open text ', c_custkey)", "''")]),
 }
 
-@query(_form_query("events", "event_id", _NAMES))
+@query(_form_query("customer", "c_custkey", _NAMES))
 def name_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Authors, languages, titles, references and queries in their tidy forms, and what they count as."""
-    return _formed(spark, sf_dir, "events", "event_id", _NAMES)
+    return _formed(spark, sf_dir, "customer", "c_custkey", _NAMES)
 
 
 _IMAGES = {
@@ -435,16 +435,16 @@ def _filled(template: str, key: str) -> Column:
 
 
 @query(r"""
-SELECT p_partkey, concat('T ', p_partkey) AS title, concat('Ab ', p_partkey) AS abstract, concat('One 2 x', p_partkey, '|Two 3 y') AS sections, concat('3 10.5555/a', p_partkey, ' 2001') AS refs, concat('Fig. 1 Cap ', p_partkey, ' g', p_partkey, '.png') AS figures,
-  concat('\frac{a}{{b}^{', p_partkey, '}}') AS formula, concat('\frac{a}{{b}^{', p_partkey, '}}') AS latex, concat('x', p_partkey, ',y,y') AS head, concat('x', p_partkey, ',1,2') AS row, true AS lossy FROM part""")
+SELECT s_suppkey, concat('T ', s_suppkey) AS title, concat('Ab ', s_suppkey) AS abstract, concat('One 2 x', s_suppkey, '|Two 3 y') AS sections, concat('3 10.5555/a', s_suppkey, ' 2001') AS refs, concat('Fig. 1 Cap ', s_suppkey, ' g', s_suppkey, '.png') AS figures,
+  concat('\frac{a}{{b}^{', s_suppkey, '}}') AS formula, concat('\frac{a}{{b}^{', s_suppkey, '}}') AS latex, concat('x', s_suppkey, ',y,y') AS head, concat('x', s_suppkey, ',1,2') AS row, true AS lossy FROM supplier""")
 def xml_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of XML articles that are made from ids: sections, references, figures, formulas, and a table with spans."""
-    p = read_table(spark, sf_dir, "part").select("p_partkey")
-    x = p.select("p_partkey", X.parse_article(_filled(_XML, "p_partkey")).alias("x"), X.cals_table(_filled(_CALS, "p_partkey")).alias("t"), X.mathml_to_latex(_filled("<math><mfrac><mi>a</mi><msup><mi>b</mi><mn>{k}</mn></msup></mfrac></math>", "p_partkey")).alias("latex"))
+    p = read_table(spark, sf_dir, "supplier").select("s_suppkey")
+    x = p.select("s_suppkey", X.parse_article(_filled(_XML, "s_suppkey")).alias("x"), X.cals_table(_filled(_CALS, "s_suppkey")).alias("t"), X.mathml_to_latex(_filled("<math><mfrac><mi>a</mi><msup><mi>b</mi><mn>{k}</mn></msup></mfrac></math>", "s_suppkey")).alias("latex"))
     listed = lambda c, f: F.array_join(F.transform(c, f), "|")
     cells = lambda n: F.array_join(F.filter(F.transform(F.split(F.get(F.split("t.markdown", "\n"), F.lit(n)), "[|]"), lambda v: F.trim(v)), lambda v: v != ""), ",")
     return x.select(
-        "p_partkey",
+        "s_suppkey",
         "x.title",
         listed(F.col("x.abstracts"), lambda a: a["text"]).alias("abstract"),
         listed(F.col("x.sections"), lambda s: F.concat_ws(" ", s["heading"], s["level"].cast("string"), s["text"])).alias("sections"),
@@ -469,19 +469,19 @@ _HTML = """<html><head><title>T</title><meta name="citation_title" content="Stud
 
 
 @query(r"""
-SELECT p_partkey, concat('Study ', p_partkey) AS title, concat('10.1234/k', p_partkey) AS doi, concat('Jane Doe|Ann Lee', p_partkey) AS authors, concat('https://p.org/x', p_partkey, '.pdf') AS pdf, concat('1 10.5555/zz', p_partkey, ' 2001') AS refs,
-  concat('figure https://p.org/a/f', p_partkey, '.png|supplementary https://p.org/suppl/s', p_partkey, '.zip') AS assets, concat('Short & sweet ', p_partkey, '.') AS abstract, 'heading,heading,paragraph,paragraph' AS kinds,
-  concat(p_partkey, ',2+3') AS cells, true AS bold, true AS linked, false AS shared FROM part""")
+SELECT s_suppkey, concat('Study ', s_suppkey) AS title, concat('10.1234/k', s_suppkey) AS doi, concat('Jane Doe|Ann Lee', s_suppkey) AS authors, concat('https://p.org/x', s_suppkey, '.pdf') AS pdf, concat('1 10.5555/zz', s_suppkey, ' 2001') AS refs,
+  concat('figure https://p.org/a/f', s_suppkey, '.png|supplementary https://p.org/suppl/s', s_suppkey, '.zip') AS assets, concat('Short & sweet ', s_suppkey, '.') AS abstract, 'heading,heading,paragraph,paragraph' AS kinds,
+  concat(s_suppkey, ',2+3') AS cells, true AS bold, true AS linked, false AS shared FROM supplier""")
 def built_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of HTML pages that are made from ids: metadata, authors, references, assets, blocks, a table and Markdown."""
-    p = read_table(spark, sf_dir, "part").select("p_partkey", F.lit("https://p.org/a/").alias("url"), _filled(_HTML, "p_partkey").alias("html"))
-    page = articles.pages_to_articles(p, "p_partkey")
+    p = read_table(spark, sf_dir, "supplier").select("s_suppkey", F.lit("https://p.org/a/").alias("url"), _filled(_HTML, "s_suppkey").alias("html"))
+    page = articles.pages_to_articles(p, "s_suppkey")
     listed = lambda c, *names: F.array_join(F.transform(c, lambda x: F.concat_ws(" ", *(x[n] for n in names))), "|")
     # the escaped bar inside a cell becomes a plus before the row is cut at bars
     plain = F.split(F.replace("markdown", F.lit("\\|"), F.lit("+")), "\n")
     cells = F.transform(F.split(F.get(F.filter(plain, lambda line: F.contains(line, F.lit("2+3"))), F.lit(0)), "[|]"), lambda v: F.trim(v))
     return page.select(
-        "p_partkey",
+        "s_suppkey",
         "title",
         F.col("meta_doi").alias("doi"),
         F.array_join("meta_authors", "|").alias("authors"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import identifiers as I
+from ..functions import once
 from ..functions import text as T
 from ..operators import budgets, matching, quality, records, reports, routing, sections
 from ..session import ship_package
@@ -199,11 +200,17 @@ r AS (SELECT doc_id, island, sum(CAST(body AS INT)) AS n, sum(CASE WHEN body THE
 SELECT doc_id, CAST(sum(n) AS BIGINT) AS body_paragraphs, CAST(max(n) AS BIGINT) AS run_paragraphs, CAST(max(chars) AS BIGINT) AS run_chars, max(n) >= 3 AS accepted FROM r GROUP BY 1""")
 def sticky_state_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest run of long lines of every document, by gaps and islands."""
-    found = sections.lines(read_table(spark, sf_dir, "documents")).withColumn("block", T.normalize_text(F.col("line"))).where(F.col("block") != "")
-    body = (F.char_length("block") >= 80) & ~T.has_access_gate(F.col("block"))
-    marked = found.withColumn("body", body).withColumn("island", F.sum((~F.col("body")).cast("int")).over(Window.partitionBy("doc_id").orderBy("pos")))
-    runs = marked.groupBy("doc_id", "island").agg(F.sum(F.col("body").cast("long")).alias("n"), F.sum(F.when(F.col("body"), F.char_length("block")).otherwise(0)).alias("chars"))
-    return runs.groupBy("doc_id").agg(F.sum("n").alias("body_paragraphs"), F.max("n").alias("run_paragraphs"), F.max("chars").cast("long").alias("run_chars"), (F.max("n") >= 3).alias("accepted"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.filter(F.transform(F.split("text", "\n"), lambda x: T.normalize_text(x)), lambda x: x != "").alias("blocks"))
+    # characters of a body paragraph, 0 for what breaks a run; a fold over each document, so nothing is dealt anew
+    sizes = F.transform("blocks", lambda x: F.when((F.char_length(x) >= 80) & ~T.has_access_gate(x), F.char_length(x)).otherwise(0))
+    start = F.struct(*(F.lit(0).cast("long").alias(c) for c in ("n", "chars", "most", "most_chars", "total")))
+
+    def step(s: F.Column, x: F.Column) -> F.Column:
+        n, chars = F.when(x > 0, s["n"] + 1).otherwise(0), F.when(x > 0, s["chars"] + x).otherwise(0)
+        return F.struct(n.cast("long").alias("n"), chars.cast("long").alias("chars"), F.greatest(s["most"], n).cast("long").alias("most"), F.greatest(s["most_chars"], chars).cast("long").alias("most_chars"), F.when(x > 0, s["total"] + 1).otherwise(s["total"]).cast("long").alias("total"))
+
+    out = docs.where(F.size("blocks") > 0).select("doc_id", F.aggregate(once(sizes), start, step).alias("x"))
+    return out.select("doc_id", F.col("x.total").alias("body_paragraphs"), F.col("x.most").alias("run_paragraphs"), F.col("x.most_chars").alias("run_chars"), (F.col("x.most") >= 3).alias("accepted"))
 
 
 _DOMAINS = [d for p in rules.PROVIDERS for d in p[2]]
