@@ -576,3 +576,39 @@ def official_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates that are official providers."""
     asked = read_table(spark, sf_dir, "events").select("event_id", F.array(F.when(F.col("event_id") % 2 == 0, "https://www.nature.com/x").otherwise("https://nowhere.example/x")).alias("urls"), F.array().cast("array<string>").alias("publishers"), F.lit("").alias("doi"))
     return routing.official_candidates(routing.route(asked, "event_id"), ["springer"]).select("event_id", "provider")
+
+
+_PROSE = "This paragraph is made of plain words that stand for the prose of a body and say nothing else at all here {n}."
+_LONG = " ".join(_PROSE.replace("{n}", n) for n in ("one", "two"))
+_MARKDOWN = [
+    f"# T\n\n## Abstract\n\n{_LONG}\n\n## Introduction\n\n{_LONG} a\n\n{_LONG} b\n\n## Results\n\n{_LONG} c\n\n## References\n\n{_LONG} d",
+    "## Results\n\nshort text",
+    f"## Abstract\n\n{_LONG}",
+    "",
+]
+
+
+@query("""
+SELECT c_custkey AS doc_id, list_value('fulltext', 'metadata_only', 'abstract_only', 'metadata_only')[1 + k] AS kind, list_value('high', 'low', 'low', 'low')[1 + k] AS confidence, list_value('', 'insufficient_body,weak_body_structure', 'insufficient_body', 'insufficient_body')[1 + k] AS flags,
+  CAST(CASE k WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 0 END AS BIGINT) AS body_blocks, CAST(CASE k WHEN 0 THEN 3 ELSE 0 END AS BIGINT) AS body_paragraphs, CAST(CASE k WHEN 0 THEN 3 ELSE 0 END AS BIGINT) AS run_paragraphs, k = 0 AS post_abstract_run, k IN (0, 2) AS has_abstract, k = 0 AS accepted,
+  CASE WHEN k IN (0, 2) THEN '{LONG}' END AS abstract FROM (SELECT c_custkey, c_custkey % 4 AS k FROM customer)""".replace("{LONG}", _LONG))
+def assessed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown of four shapes (an article, a short text, an abstract, nothing) as articles with their verdicts."""
+    docs = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.element_at(F.array(*(F.lit(x) for x in _MARKDOWN)), (F.col("c_custkey") % 4 + 1).cast("int")).alias("text"))
+    out = articles.article_from_markdown(docs)
+    return out.select("doc_id", "kind", "confidence", F.array_join("flags", ",").alias("flags"), "body_blocks", "body_paragraphs", "run_paragraphs", "post_abstract_run", "has_abstract", "accepted", F.col("section_abstract").alias("abstract"))
+
+
+@query(f"""
+SELECT s_suppkey AS page_id, CASE WHEN s_suppkey % 2 = 0 THEN 'fulltext' ELSE 'metadata_only' END AS kind, CASE WHEN s_suppkey % 2 = 0 THEN 'high' ELSE 'low' END AS confidence, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'access_gate_detected' END AS flags,
+  concat('## Results', chr(10), chr(10), 'kept ', s_suppkey) AS cleaned FROM supplier""")
+def judged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with and without a sign of an access gate, and Markdown without navigation lines and sections."""
+    k = F.col("s_suppkey")
+    body = "".join(f"<h2>Part {n}</h2><p>{_LONG} {n}</p>" for n in range(3))
+    page = F.concat(F.lit(f"<html><head><title>T</title></head><body><article><h1>Deep rivers</h1>{body}<p>"), F.when(k % 2 == 0, "The end").otherwise(rules.ACCESS_GATE_PHRASES[0]), F.lit("</p></article></body></html>"))
+    rows = read_table(spark, sf_dir, "supplier").select(k.alias("page_id"), F.lit("https://p.org/").alias("url"), page.alias("html"))
+    found = articles.page_verdicts(articles.pages_to_articles(rows)).select("page_id", "kind", "confidence", F.array_join("flags", ",").alias("flags"))
+    noisy = F.concat(F.lit(f"## {rules.CHROME_HEADINGS[0].title()}\n\nlink\n\n### Deeper\n\nmore\n\n## Results\n\n{rules.LINE_EXACT_NOISE[0]}\nkept "), F.col("page_id").cast("string"))
+    cleaned = sections.clean_lines(rows.select("page_id", noisy.alias("text")), "page_id")
+    return found.join(cleaned.withColumnRenamed("text", "cleaned"), "page_id")
