@@ -156,25 +156,21 @@ def prune(node: Node) -> Node:
 
 def container_score(node: Node) -> float:
     """Text length with bonuses for headings, paragraphs, figures and a body's identity, less for back matter's."""
+    points = rules.CONTAINER_POINTS
     headings = len(node.find("h1", "h2", "h3", "h4", "h5", "h6"))
     parts = sum(1 for n in node.find("p", "div", "section", "article") if n.text())
     own = node.identity()
-    bonus = 400.0 if identity_class(own) == "body" else 0.0
+    bonus = float(points["body"]) if identity_class(own) == "body" else 0.0
     if any(t in own for t in rules.IDENTITY_TOKENS["references_or_back_matter"]):
-        bonus -= 120.0
-    return len(node.text()) + 200 * headings + 40 * parts + 20 * len(node.find("figure", "table")) + bonus
+        bonus += points["back_matter"]
+    return len(node.text()) + points["heading"] * headings + points["part"] * parts + points["figure"] * len(node.find("figure", "table")) + bonus
 
 
 def completeness(node: Node) -> int:
     """Whether a container has a title, an abstract and a body, and is an article or main element."""
     inside = [identity_class(n.identity()) for n in node.walk()]
-    return (
-        40 * (node.tag == "h1" or bool(node.find("h1")))
-        + 40 * ("abstract" in inside)
-        + 40 * ("body" in inside)
-        + 10 * (node.tag == "article")
-        + 5 * (node.tag == "main")
-    )
+    holds = {"title": node.tag == "h1" or bool(node.find("h1")), "abstract": "abstract" in inside, "body": "body" in inside, "article": node.tag == "article", "main": node.tag == "main"}
+    return sum(points for what, points in rules.COMPLETENESS_POINTS.items() if holds[what])
 
 
 def complete_ancestor(node: Node, highest: int = 8) -> Node:

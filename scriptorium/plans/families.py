@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import headings as H
 from ..functions import identifiers as I
+from ..functions import once
 from ..functions import html as W
 from ..functions import signals as S
+from ..functions import sites
 from ..functions import text as T
 from ..functions import xml as X
 from ..operators import assets, budgets, matching, quality, records, reports, routing, sections
@@ -612,3 +614,19 @@ def judged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     noisy = F.concat(F.lit(f"## {rules.CHROME_HEADINGS[0].title()}\n\nlink\n\n### Deeper\n\nmore\n\n## Results\n\n{rules.LINE_EXACT_NOISE[0]}\nkept "), F.col("page_id").cast("string"))
     cleaned = sections.clean_lines(rows.select("page_id", noisy.alias("text")), "page_id")
     return found.join(cleaned.withColumnRenamed("text", "cleaned"), "page_id")
+
+
+_SITE = """<html><body><main><div class="permissions">P</div><div class="card">C</div><div class="epub-reference">W</div><div class="article-tools">T</div><p>Permissions</p><p>Recommended articles</p>
+<div class="x advert">A</div><script>s</script><p>Body {k}</p></main><div class="cookie-banner">no</div></body></html>"""
+
+
+@query("""
+SELECT s_suppkey AS page_id, list_value('science', 'pnas', 'wiley', 'other')[1 + s_suppkey % 4] AS publisher, 'body' AS container,
+  list_value('C|W|Recommended articles', 'P|W|Permissions|Recommended articles|A', 'P|C|Permissions|A', 'P|C|W|Permissions|Recommended articles|A')[1 + s_suppkey % 4] || '|Body ' || s_suppkey AS kept FROM supplier""")
+def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the site rules of four publishers keep of one page."""
+    k = F.col("s_suppkey")
+    publisher = F.element_at(F.array(*(F.lit(x) for x in ("science", "pnas", "wiley", "other"))), (k % 4 + 1).cast("int"))
+    rows = read_table(spark, sf_dir, "supplier").select(k.alias("page_id"), publisher.alias("publisher"), _filled(_SITE, "s_suppkey").alias("html"))
+    out = rows.withColumn("x", once(sites.site_page("html", "publisher")))
+    return out.select("page_id", "publisher", "x.container", F.replace("x.markdown", F.lit("\n\n"), F.lit("|")).alias("kept"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from scriptorium import rules
 from scriptorium.functions import headings as H
 from scriptorium.functions import html as W
+from scriptorium.functions import sites
 from scriptorium.functions import identifiers as I
 from scriptorium.functions import signals as S
 from scriptorium.functions import text as T
@@ -230,3 +231,13 @@ def test_cals_tables(spark):
     r = spark.createDataFrame([(ok,), (bad,), ("<no",)], "x string").select(X.cals_table("x").alias("t")).select("t.*").collect()
     assert r[0].markdown.split("\n")[0] == "| x   | y   | y   |" and r[0].markdown.split("\n")[2] == "| x   | 1   | 2   |" and r[0].lossy
     assert r[1].markdown == "" and r[2].markdown == ""
+
+
+def test_site_rules_and_selectors():
+    root = W.tree('<html><body><header><div class="social-share a">x</div></header><div id="main-content"><div class="article__fulltext"><p>text</p></div></div><div role="main"><article>y</article></div></body></html>')
+    by = {n.attrs.get("class") or n.attrs.get("id") or n.tag: n for n in root.walk()}
+    assert sites.matches(by["social-share a"], "header .social-share") and not sites.matches(by["article__fulltext"], "header .article__fulltext")
+    assert sites.matches(by["main-content"], "#main-content") and sites.matches(by["article"], "[role='main'] article") and not sites.matches(by["article"], "main article")
+    assert sites.site_rule(" Science ")["texts"] == ("Check for updates", "View Metrics", "Share", "Cite", "Permissions") and sites.site_rule(None) == sites.site_rule("unknown")
+    assert sites.site_rule("pnas")["noise"] == ("pnas",) and sites.site_rule("wiley")["noise"] == ("generic",)
+    assert sites.best_container(W.tree("<p>x</p>"), "wiley").tag == ""
