@@ -22,6 +22,7 @@ MD5 digests; null doc_id come first in the order; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, shingle_hashes, small_batches, stash, text_slices, word_hashes
+from .common import document_text, mix, shingle_hashes, small_batches, stash, text_slices, word_hashes
 
 BITS = 128
 #: Words of a term in the fingerprints that are compared for likeness.
@@ -140,34 +141,55 @@ _ROWS = "part int, borrowed boolean, doc_id long, packed binary, digest binary,
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, word_fingerprint string"
 
 
-def _starts(docs: DataFrame) -> tuple[list[int], list[tuple[int, int | None]]]:
-    """Splits of doc_id into ranges, and (range, its smallest doc_id) of those with rows; as many as shuffle partitions at most.
+class Ranges:
+    """Consecutive ranges of rows in the order of doc_id (null first), then digest.
 
-    Null doc_id are in range 0, before all others.
+    An id that many quantiles name has as many ranges, by its rows' digests; so have null ids by their share.
     """
+
+    def __init__(self, quantiles: list[int], nulls: int):
+        named = Counter(quantiles)
+        self.ids = np.array(sorted(named), np.int64)
+        self.widths = np.array([named[x] for x in self.ids.tolist()], np.int64)
+        self.first = nulls + np.concatenate([[0], np.cumsum(self.widths)])  # ranges before each id's own
+        self.nulls = nulls
+
+    def of(self, ids: pa.Array, digests: list[bytes]) -> np.ndarray:
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        values = ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+        high = np.array([int.from_bytes(d[:4], "big") for d in digests], np.int64)
+        at = np.searchsorted(self.ids, values, "left")
+        part = self.first[at]
+        if len(self.ids):
+            inside = np.minimum(at, len(self.ids) - 1)
+            own = (at < len(self.ids)) & (self.ids[inside] == values)
+            part = part + np.where(own, 1 + (high * self.widths[inside] >> 32), 0)
+        return np.where(null, high * self.nulls >> 32, part).astype(np.int32)
+
+
+def _ranges(docs: DataFrame) -> tuple[Ranges, list[tuple[int, int | None, bytes]]]:
+    """Ranges, about two per shuffle partition, and (range, doc_id, digest) of the first row of each that has rows."""
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select("doc_id")
-    splits = sorted({int(x) for x in ids.where(F.col("doc_id").isNotNull()).approxQuantile("doc_id", [k / parts for k in range(1, parts)], 1 / (4 * parts))}) if parts > 1 else []
+    counts = docs.agg(F.count("*").alias("rows"), F.count("doc_id").alias("named")).first()
+    empty = counts["rows"] - counts["named"]
+    nulls = -(-parts * empty // counts["rows"]) if empty else 0
+    quantiles = docs.where(F.col("doc_id").isNotNull()).approxQuantile("doc_id", [k / parts for k in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
+    ranges = Ranges([int(x) for x in quantiles], nulls)
+    digest = F.unhex(F.md5(document_text().cast("binary")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[int, tuple] = {}
         for batch in batches:
-            part, _ = _range(batch.column(0), splits)
-            held = pa.table({"part": pa.array(part, pa.int32()), "doc_id": batch.column(0).cast(pa.int64())})
-            low = held.group_by("part").aggregate([("doc_id", "min"), ("doc_id", "count"), ("doc_id", "count", pa.compute.CountOptions(mode="only_null"))])
-            names = ["part", "low", "n", "nulls"]
-            yield from low.rename_columns(names).select(names).to_batches()
-
-    found = ids.mapInArrow(run, "part int, low long, n long, nulls long").groupBy("part").agg(F.min("low").alias("low"), F.sum("nulls").alias("nulls")).orderBy("part").collect()
-    return splits, [(r["part"], None if r["nulls"] else r["low"]) for r in found]
-
+            digests = batch.column(1).to_pylist()
+            for part, doc_id, d in zip(ranges.of(batch.column(0), digests).tolist(), batch.column(0).to_pylist(), digests):
+                key = (doc_id is not None, doc_id or 0, d)
+                if part not in first or key < first[part]:
+                    first[part] = key
+        yield pa.RecordBatch.from_arrays([pa.array(first, pa.int32()), pa.array([k[1] if k[0] else None for k in first.values()], pa.int64()), pa.array([k[2] for k in first.values()], pa.binary())], names=["part", "doc_id", "digest"])
 
-def _range(ids: pa.Array, splits: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Range of each id, and whether it is null."""
-    null = ids.is_null().to_numpy(zero_copy_only=False)
-    values = ids.cast(pa.int64()).fill_null(0).to_numpy()
-    part = np.searchsorted(np.array(splits, np.int64), values, "right")
-    part[null] = 0
-    return part.astype(np.int32), null
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest")).mapInArrow(run, "part int, doc_id long, digest binary")
+    lows = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "digest")).alias("x")).orderBy("part").collect()
+    return ranges, [(r["part"], r["x"]["doc_id"], bytes(r["x"]["digest"])) for r in lows]
 
 
 def likeness_to_edited(docs: DataFrame) -> DataFrame:
@@ -175,24 +197,26 @@ def likeness_to_edited(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n/2) characters replaced by the first as many of the next
     document in doc_id order (the last document's next is the first). Rows are dealt by ranges
-    of doc_id in one shuffle; the first rows of a range also go to the range before it.
+    of doc_id and digest in one shuffle; the first row of a range also goes to the range before it (from each
+    task that has a copy). Rows of equal doc_id and text stay in one range.
     """
     small_batches(docs.sparkSession)
-    splits, starts = _starts(docs)
-    before = {part: starts[k - 1][0] for k, (part, _) in enumerate(starts)}  # the first range's rows go to the last
-    lows = dict(starts)
+    ranges, starts = _ranges(docs)
+    before = {part: starts[k - 1][0] for k, (part, *_) in enumerate(starts)}  # the first range's row goes to the last
+    lows = {part: low for part, *low in starts}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=1).compress
+        given: set[int] = set()  # ranges whose first row this task has lent
         for batch in batches:
             ids, texts = batch.column(0).cast(pa.int64()), batch.column(1).fill_null("")
             raw = [t.encode() for t in texts.to_pylist()]
             packed = pa.array([compress(t) for t in raw], pa.binary())
-            digests = pa.array([hashlib.md5(t).digest() for t in raw], pa.binary())
+            hashes = [hashlib.md5(t).digest() for t in raw]
+            digests = pa.array(hashes, pa.binary())
             own, words = (pa.array([x.tobytes() for x in simhash(texts, size)], pa.binary()) for size in (SHINGLE, 1))
-            part, null = _range(ids, splits)
-            values = ids.to_pylist()
-            lent = np.array([k for k, (p, v) in enumerate(zip(part.tolist(), values)) if lows[p] == v], np.int64)
+            part = ranges.of(ids, hashes)
+            lent = np.array([k for k, (p, v, d) in enumerate(zip(part.tolist(), ids.to_pylist(), hashes)) if lows[p] == [v, d] and not (p in given or given.add(p))], np.int64)
             rows = np.concatenate([np.arange(len(batch)), lent])
             to = np.concatenate([part, np.array([before[p] for p in part[lent].tolist()], np.int32)])
             take = pa.array(rows)

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -230,3 +231,42 @@ def test_links_of_a_long_cluster_are_all_counted(spark, monkeypatch, piece):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = Counter((r.doc_id, r.n_shingles, r.n_links) for r in jaccard_join.join(docs, how).collect())
     assert got == want and max(n for _, _, n in got) > 64
+
+
+def test_many_rows_of_one_id_and_of_none(spark):
+    """A third of the rows share an id, another third has none: their ranges are cut by digest, and each row finds its next one."""
+    rows = [(7, f"text {k} of the seventh {k * k}") for k in range(200)] + [(None, f"unnamed {k} text {k * 3}") for k in range(200)] + [(1000 + k, f"row {k}") for k in range(200)] + [(7, "a copy")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).digest()))
+    want = Counter()
+    for k, (d, t) in enumerate(ordered):
+        after, half = ordered[(k + 1) % len(ordered)][1], len(t) // 2
+        want[(d, hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest())] += 1
+    got = Counter((r.doc_id, r.edited_sha256) for r in fingerprints.likeness_to_edited(docs).collect())
+    assert got == want
+    ranges, starts = fingerprints._ranges(docs)
+    assert ranges.nulls >= 2 and ranges.widths.max() >= 2 and len(starts) >= 6
+
+
+def test_components_of_no_links(spark):
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_a_passage_in_many_documents_is_split(spark):
+    """More contexts of one anchor than are sorted whole: every copy of the passage goes, and nothing else."""
+    rng = np.random.default_rng(11)
+    passage = "".join(rng.choice(list("abcdefgh "), 450))
+    noise = lambda n: "".join(rng.choice(list("ijklmnop "), n))
+    sides = [(noise(60), noise(60)) for _ in range(suffix_dedup.HOT + 500)]
+    rows = [(d, f"{a}X{passage}Y{b}") for d, (a, b) in enumerate(sides)]
+    out = suffix_dedup.spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+
+    def reach(texts):  # what each text shares with its likest other one, from its start
+        order, got = sorted(range(len(texts)), key=texts.__getitem__), [0] * len(texts)
+        for x, y in zip(order, order[1:]):
+            n = len(os.path.commonprefix([texts[x], texts[y]]))
+            got[x], got[y] = max(got[x], n), max(got[y], n)
+        return got
+
+    before, after = reach([a[::-1] for a, _ in sides]), reach([b for _, b in sides])
+    assert {(r.doc_id, r.n_removed, r.n_spans) for r in out} == {(d, 452 + before[d] + after[d], 1) for d in range(len(rows))}
