@@ -239,7 +239,7 @@ def _list_pairs(how: Likeness):
             if len(batch):
                 held.append((batch.column(0).to_numpy(), np.column_stack([batch.column(k).to_numpy() for k in (1, 2, 3)])))
                 size += len(batch)
-            if size >= 1 << 17 and (len(held) > 8 or size >= _HELD):
+            if size >= 1 << 17:
                 yield from flush(False)
         if held:
             yield from flush(True)
