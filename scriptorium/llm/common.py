@@ -6,9 +6,10 @@ ASCII, so words can be found in UTF-8 bytes without decoding.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +105,21 @@ def document_text(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def lean(run: Callable) -> Callable:
+    """The same function over batches; what it has freed goes back to the system, as workers are used again."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def _recoded(df: DataFrame, column: str, kind: DataType, coder) -> DataFrame:
     names = df.columns
     at = names.index(column)
@@ -117,7 +133,7 @@ def _recoded(df: DataFrame, column: str, kind: DataType, coder) -> DataFrame:
             columns[at] = pa.array([None if x is None else code(x) for x in columns[at].to_pylist()], arrow)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def packed(df: DataFrame, column: str) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, document_text, packed, shingle_hashes, small_batches, stash, text_slices, unpacked, word_hashes
+from .common import Workspace, document_text, lean, packed, shingle_hashes, small_batches, stash, text_slices, unpacked, word_hashes
 from .components import components
 
 #: log2 of the sketch's counters; 4 bytes each, whatever the input's size.
@@ -115,7 +115,7 @@ def shingle_sketch(docs: DataFrame, how: Likeness) -> np.ndarray:
         return pa.table({"slice": table["slice"][:1].cast(pa.int32()), "task": pa.array([table["task"][0].as_py() % 256], pa.int32()), "counts": pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())})
 
     schema = "slice int, task int, counts binary"
-    sums = docs.select(document_text().alias("text")).mapInArrow(count, schema)
+    sums = docs.select(document_text().alias("text")).mapInArrow(lean(count), schema)
     sums = sums.groupBy("slice", F.col("task") % 256).applyInArrow(lambda t: add(t), schema)
     sums = sums.groupBy("slice").applyInArrow(lambda t: add(t), schema)
     rows = {r["slice"]: np.frombuffer(r["counts"], "<u4") for r in sums.collect()}  # 1 MB in all
@@ -147,7 +147,7 @@ def _prefixes(docs: DataFrame, how: Likeness, sketch: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(groups, pa.binary()), lists, pa.array(marks, pa.binary())], names=["doc_id", "node", "n", "set_key", "group_key", "prefix", "mark"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _node().alias("node"), document_text().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, node long, n long, set_key binary, group_key binary, prefix array<long>, mark binary")
+    return rows.mapInArrow(lean(run), "doc_id long, node long, n long, set_key binary, group_key binary, prefix array<long>, mark binary")
 
 
 def _list_pairs(how: Likeness):
@@ -266,7 +266,7 @@ def _plausible(pairs: DataFrame, table: DataFrame, how: Likeness) -> DataFrame:
     left = pairs.join(own, F.col("a") == F.col("_id")).select("a", "b", F.col("n").alias("n"), F.col("mark").alias("x"))
     right = own.select("_id", F.col("n").alias("m"), F.col("mark").alias("y"))
     both = left.join(right, F.col("b") == F.col("_id")).select("a", "b", "n", "m", "x", "y")
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, how: Likeness) -> DataFrame:
@@ -297,7 +297,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, how: Likeness) -> DataFrame:
 
     left = pairs.join(texts, F.col("a") == F.col("_id")).select("a", "b", F.col("_text").alias("x"))
     both = left.join(texts, F.col("b") == F.col("_id")).select("a", "b", "x", F.col("_text").alias("y"))
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _one_document(table: DataFrame, classes: DataFrame, space: Workspace) -> DataFrame:
@@ -391,14 +391,14 @@ def _link_counts(texts: DataFrame, how: Likeness, table: DataFrame, classes: Dat
 
     wanted = cut.select(F.col("cls").alias("_id")).distinct()
     own_texts = unpacked(texts.join(wanted, "_id", "left_semi").select("_text"), "_text")
-    members = own_texts.mapInArrow(sets, "set_key binary, members binary").groupBy("set_key").agg(F.first("members").alias("members"))
+    members = own_texts.mapInArrow(lean(sets), "set_key binary, members binary").groupBy("set_key").agg(F.first("members").alias("members"))
     members = space.stash(cut.select("set_key", "docs", "component", "piece").join(members, "set_key"), "members")
     sides = [members.join(blocks, ["component", "piece"]).select("component", "piece", "other", F.lit(0).alias("side"), "set_key", "members", "docs")]
     later = blocks.where(F.col("piece") < F.col("other")).withColumnRenamed("piece", "first").withColumnRenamed("other", "piece")
     sides.append(members.join(later, ["component", "piece"]).select("component", F.col("first").alias("piece"), F.col("piece").alias("other"), F.lit(1).alias("side"), "set_key", "members", "docs"))
     block = F.concat_ws(" ", "component", "piece", "other").alias("block")
     dealt = sides[0].unionByName(sides[1]).select(block, "side", "set_key", "members", "docs").repartition("block").sortWithinPartitions("block", "side")
-    found = dealt.mapInArrow(_degrees(how), "set_key binary, links long").groupBy("set_key").agg(F.sum("links").alias("links"))
+    found = dealt.mapInArrow(lean(_degrees(how)), "set_key binary, links long").groupBy("set_key").agg(F.sum("links").alias("links"))
     copies = own.select("set_key", (F.col("docs") - 1).alias("copies"))
     return copies.join(found, "set_key", "left").select("set_key", (F.col("copies") + F.coalesce("links", F.lit(0))).alias("n_links"))
 
@@ -422,7 +422,7 @@ def join(docs: DataFrame, how: Likeness = Likeness(), count_links: bool = True)
     tokens = tokens.select("tok", "gid", "n", F.col("place").cast("long").alias("place"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     dealt = tokens.repartition("tok").sortWithinPartitions("tok", "n", "gid")
-    found = space.stash(dealt.mapInArrow(_list_pairs(how), "a long, b long, list long, place long").distinct(), "lists")
+    found = space.stash(dealt.mapInArrow(lean(_list_pairs(how)), "a long, b long, list long, place long").distinct(), "lists")
     small_batches(spark, 512)
     pairs = found.where(F.col("list").isNull()).select("a", "b")
 

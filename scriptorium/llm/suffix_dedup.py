@@ -46,7 +46,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, document_text, mix, small_batches, stash, text_slices
+from .common import Workspace, document_text, lean, mix, small_batches, stash, text_slices
 
 #: Contexts of one anchor up to which its bucket is sorted whole: a worker takes some 40 KB for each.
 HOT = 8192
@@ -405,7 +405,7 @@ def _in_two_places(rows: DataFrame, key: str, place: F.Column) -> DataFrame:
 def _split_buckets(first: DataFrame, length: int, k: int, space: Workspace) -> DataFrame:
     """Ranges (tkey, start, end) of repeated bytes around the anchors of large buckets; `first`: their contexts with bytes."""
     own = F.xxhash64("ckey")
-    cores = first.select("ckey", "before", "context").mapInArrow(_core_keys(length, k), "key binary, ckey binary, slot int")
+    cores = first.select("ckey", "before", "context").mapInArrow(lean(_core_keys(length, k)), "key binary, ckey binary, slot int")
     cores = space.stash(cores.distinct(), "cores")
     cores = space.stash(cores.join(_in_two_places(cores, "key", own), "key", "left_semi"), "cores")
     # of each context: the repeated first windows furthest to either side; what lies between them is settled
@@ -419,7 +419,7 @@ def _split_buckets(first: DataFrame, length: int, k: int, space: Workspace) -> D
     inner = cores.where(F.col("slot") % 2 == 0)
     needed = inner.join(known, "ckey").where(is_open).select("key").distinct()
     todo = inner.join(needed, "key", "left_semi").groupBy("ckey").agg(F.collect_set("slot").alias("slots"))
-    windows = first.join(todo, "ckey").select("ckey", "tkey", "pos", "before", "context", "slots").mapInArrow(_window_keys(length, k), "key binary, ckey binary, tkey binary, start long")
+    windows = first.join(todo, "ckey").select("ckey", "tkey", "pos", "before", "context", "slots").mapInArrow(lean(_window_keys(length, k)), "key binary, ckey binary, tkey binary, start long")
     windows = space.stash(windows, "windows")
     found = windows.join(_in_two_places(windows, "key", own), "key", "left_semi").select("tkey", "start", (F.col("start") + length).alias("end"))
     return settled.unionByName(found)
@@ -435,15 +435,15 @@ def _repeated(docs: DataFrame, length: int, hot: int, space: Workspace) -> tuple
     small_batches(spark)
     k = 64 if length >= 256 else 32 if length >= 96 else 8
     texts = docs.select(_key(document_text()).alias("tkey"), document_text().alias("text")).where(F.octet_length("text") >= length)
-    every = space.stash(texts.mapInArrow(_find_anchors(length, k), "anchor long, tkey binary, pos long"), "anchors")
+    every = space.stash(texts.mapInArrow(lean(_find_anchors(length, k)), "anchor long, tkey binary, pos long"), "anchors")
     place = F.xxhash64("tkey", "pos")
     again = space.stash(_in_two_places(every, "anchor", place), "again")
     # one row an anchor on the right: a frequent one's rows on the left can be split over tasks
     lists = every.join(again, "anchor").groupBy("tkey").agg(F.sort_array(F.collect_set(F.struct("pos", "anchor"))).alias("own"))
-    packed = texts.mapInArrow(_once_compressed, "tkey binary, packed binary")
+    packed = texts.mapInArrow(lean(_once_compressed), "tkey binary, packed binary")
     small_batches(spark, 256)
     some = space.stash(packed.join(lists, "tkey"), "texts")
-    contexts = space.stash(some.mapInArrow(_contexts(length, k), _CONTEXT), "contexts")
+    contexts = space.stash(some.mapInArrow(lean(_contexts(length, k)), _CONTEXT), "contexts")
     twice = _in_two_places(contexts, "ckey", place)
     start = F.col("pos") - F.col("before")
     ranges = contexts.where(F.col("size") >= length).join(twice, "ckey", "left_semi").select("tkey", start.alias("start"), (start + F.col("size")).alias("end"))
@@ -451,7 +451,7 @@ def _repeated(docs: DataFrame, length: int, hot: int, space: Workspace) -> tuple
     large = first.select("anchor", "ckey").distinct().groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor")
     large = space.stash(large, "large")
     dealt = first.join(large, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "ckey", "tkey", "pos")
-    ranges = ranges.unionByName(space.stash(dealt.mapInArrow(_sorted_buckets(length, k), _RANGE), "ranges"))
+    ranges = ranges.unionByName(space.stash(dealt.mapInArrow(lean(_sorted_buckets(length, k)), _RANGE), "ranges"))
     ranges = ranges.unionByName(_split_buckets(first.join(large, "anchor", "left_semi"), length, k, space))
     return ranges, some.select("tkey", "packed")
 
@@ -494,7 +494,7 @@ def _results(docs: DataFrame, length: int, with_text: bool, hot: int) -> DataFra
     space = Workspace()
     ranges, texts = _repeated(docs, length, hot, space)
     per_text = ranges.distinct().groupBy("tkey").agg(F.collect_list(F.struct("start", "end")).alias("own"))
-    cut = texts.join(per_text, "tkey").mapInArrow(_cut(with_text), "_tkey binary, _removed long, _spans long, _sha string, _kept string")
+    cut = texts.join(per_text, "tkey").mapInArrow(lean(_cut(with_text)), "_tkey binary, _removed long, _spans long, _sha string, _kept string")
     # a text whose copies come from several tasks may be there more than once
     cut = cut.groupBy("_tkey").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("_removed", "_spans", "_sha", "_kept")))
     cut = stash(cut, "cut")
