@@ -156,7 +156,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_b
     sums = sums.select(F.col("source").alias("_mix_source"), F.col("_mix_range").alias("_mix_r"), first_of("_bytes").alias("_mix_bytes"), first_of("_rows").alias("_mix_rows"), last.alias("_mix_last"))
     inside = Window.partitionBy("source", "_mix_range").orderBy("_mix_hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_mix_own", F.coalesce(F.sum(n_bytes).over(inside), F.lit(0))).withColumn("_mix_own_rows", F.coalesce(F.count("*").over(inside), F.lit(0)))
-    placed = placed.join(sums, placed["source"].eqNullSafe(sums["_mix_source"]) & (placed["_mix_range"] == sums["_mix_r"]))
+    placed = placed.join(sums.hint("merge"), placed["source"].eqNullSafe(sums["_mix_source"]) & (placed["_mix_range"] == sums["_mix_r"]))
     placed = placed.withColumn(rank, F.col("_mix_rows") + F.col("_mix_own_rows")).withColumn(block, F.least(F.floor((F.col("_mix_bytes") + F.col("_mix_own")) / size), F.col("_mix_last")).cast("long"))
     placed = placed.drop("_mix_source", "_mix_r", "_mix_own", "_mix_own_rows", "_mix_bytes", "_mix_rows", "_mix_range", "_mix_hash", "_mix_last")
     if weights is None:
