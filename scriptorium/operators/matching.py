@@ -72,30 +72,50 @@ def token_jaccard(left: Column, right: Column) -> Column:
     return F.when((F.size(left) == 0) | (F.size(right) == 0), F.lit(0.0)).otherwise(both / either)
 
 
+#: So many of the most frequent tokens are ordered by their counts, all others before them by length.
+FREQUENT = 4096
+
+
+def _rare_tokens(titles: DataFrame, often: DataFrame, tokens: str, least: float) -> DataFrame:
+    """Titles, each once (array `tokens`), a row for each of their n - ceil(least * n) + 1 rarest tokens as `token`."""
+    n = F.size(tokens)
+    rows = titles.withColumn("token", F.explode(tokens)).join(F.broadcast(often), "token", "left")
+    place = F.struct(F.coalesce("count", F.lit(0)).alias("count"), (-F.char_length("token")).alias("length"), "token")
+    others = [F.first(c).alias(c) for c in titles.columns if c != tokens]
+    met = rows.groupBy(tokens).agg(F.sort_array(F.collect_list(place)).alias("_by"), *others)
+    return met.withColumn("_by", F.explode(F.slice("_by", F.lit(1), (n - F.ceil(F.lit(least) * n) + 1).cast("int")))).withColumn("token", F.col("_by.token")).drop("_by")
+
+
 def title_candidates(queries: DataFrame, works: DataFrame, top: int = 5, least: float = 0.0) -> DataFrame:
     """The `top` works of each query (query_id, title against work_id, title) by Jaccard similarity of their title tokens.
 
     Pairs that share a token are found by an equi-join on it, so no pair is compared that shares none. Ties go to the
     smaller work_id. With `least`, only pairs of that similarity count, and titles of n tokens join
-    on n - ceil(least * n) + 1 of them, long ones first: two titles as similar as that share one of these, and
-    common short words join nothing.
+    on n - ceil(least * n) + 1 of them, those in few works' titles first: two titles as similar as that share one of these, and
+    common words join nothing. Then titles of the same tokens also count once, with the `top` smallest of their work_ids.
     """
+    if least > 0:
+        asked = queries.select("query_id", F.array_sort(title_tokens(F.col("title"))).alias("tokens")).where(F.size("tokens") > 0).distinct()
+        own = works.select("work_id", F.array_sort(title_tokens(F.col("title"))).alias("others")).where(F.size("others") > 0).distinct()
+        some = own.withColumn("_n", F.row_number().over(Window.partitionBy("others").orderBy("work_id"))).where(F.col("_n") <= top)
+        some = some.groupBy("others").agg(F.collect_list("work_id").alias("ids"))
+        counts = some.select(F.explode("others").alias("token")).groupBy("token").count().where("count > 1")
+        often = counts.orderBy(F.desc("count"), "token").limit(FREQUENT)  # of fixed size
+        n, m = F.size("tokens"), F.size("others")
+        met = _rare_tokens(asked.select("tokens").distinct(), often, "tokens", least).join(_rare_tokens(some, often, "others", least), "token")
+        near = met.where((m >= least * n) & (n >= least * m)).withColumn("jaccard", token_jaccard(F.col("tokens"), F.col("others"))).where(F.col("jaccard") >= least)
+        first = Window.partitionBy("tokens").orderBy(F.desc("jaccard"), "work_id")
+        few = near.select("tokens", "jaccard", F.explode("ids").alias("work_id")).distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top)
+        return asked.join(few, "tokens").select("query_id", "work_id", "jaccard", "rank")
     left = queries.select("query_id", title_tokens(F.col("title")).alias("tokens")).withColumn("n", F.size("tokens"))
     right = works.select("work_id", title_tokens(F.col("title")).alias("others")).withColumn("m", F.size("others"))
-    if least > 0:
-        ordered = lambda c: F.transform(F.array_sort(F.transform(F.col(c), lambda t: F.struct((-F.char_length(t)).alias("l"), t.alias("t")))), lambda x: x["t"])
-        prefix = lambda c, n: F.slice(ordered(c), F.lit(1), (n - F.ceil(F.lit(least) * n) + 1).cast("int"))
-        near = (F.col("m") >= least * F.col("n")) & (F.col("n") >= least * F.col("m"))
-        met = left.withColumn("token", F.explode(prefix("tokens", F.col("n")))).join(right.withColumn("token", F.explode(prefix("others", F.col("m")))), "token").where(near)
-        scored = met.withColumn("jaccard", token_jaccard(F.col("tokens"), F.col("others"))).where(F.col("jaccard") >= least).select("query_id", "work_id", "jaccard").distinct()
-    else:
-        shared = (
-            left.select("query_id", "n", F.explode("tokens").alias("token"))
-            .join(right.select("work_id", "m", F.explode("others").alias("token")), "token")
-            .groupBy("query_id", "work_id", "n", "m")
-            .agg(F.count("*").alias("both"))
-        )
-        scored = shared.withColumn("jaccard", F.col("both") / (F.col("n") + F.col("m") - F.col("both")))
+    shared = (
+        left.select("query_id", "n", F.explode("tokens").alias("token"))
+        .join(right.select("work_id", "m", F.explode("others").alias("token")), "token")
+        .groupBy("query_id", "work_id", "n", "m")
+        .agg(F.count("*").alias("both"))
+    )
+    scored = shared.withColumn("jaccard", F.col("both") / (F.col("n") + F.col("m") - F.col("both")))
     best = Window.partitionBy("query_id").orderBy(F.desc("jaccard"), "work_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "work_id", "jaccard", "rank")
 

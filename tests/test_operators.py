@@ -307,6 +307,18 @@ def test_titles_above_a_similarity_against_all_pairs(spark):
     assert {(r.query_id, r.work_id) for r in matching.title_candidates(queries, works, 5, 0.6).collect()} == want
 
 
+def test_a_long_word_of_many_titles_joins_none_of_them(spark):
+    """Titles meet on their rare tokens, however long the common ones; equal titles count once, with their smallest ids."""
+    titles = spark.createDataFrame([(k, f"customer {k:05d} on automobile") for k in range(300)], "work_id long, title string")
+    kinds = titles.select(F.array_sort(matching.title_tokens(F.col("title"))).alias("tokens"))
+    often = kinds.select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 1")
+    met = matching._rare_tokens(kinds, often, "tokens", 0.78).groupBy("token").count()
+    assert met.count() == 300 and met.agg(F.max("count")).first()[0] == 1
+    copies = titles.unionByName(titles.withColumn("work_id", F.col("work_id") + 1000)).unionByName(titles.withColumn("work_id", F.col("work_id") + 2000))
+    got = matching.title_candidates(titles.withColumnRenamed("work_id", "query_id"), copies, 2, 0.78).collect()
+    assert sorted((r.query_id, r.work_id, r.jaccard, r.rank) for r in got) == sorted((k, k + 1000 * i, 1.0, i + 1) for k in range(300) for i in range(2))
+
+
 def test_batches_after_a_rate_limit_come_back_with_the_reason(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
     try:
