@@ -20,7 +20,9 @@ from ..functions import arrow_udf, once
 from ..functions import text as T
 
 
-#: Characters of a gram in the search for near duplicates.
+#: In the search for near duplicates: reach of an anchor to both sides, and characters of the gram that starts at it.
+REACH, ANCHORED = 4, 11
+#: Characters of a gram for texts with few anchors.
 GRAM = 8
 
 
@@ -139,52 +141,105 @@ def confident(ranked: DataFrame, score: str = "score") -> DataFrame:
 
 @functools.cache
 def _grams_udf(ratio: float, band: int):
-    @F.pandas_udf("array<struct<gram:long,at:int>>")
+    @F.pandas_udf("array<struct<gram:long,at:long,more:int>>")
     def grams(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _gram_prefix(t, ratio, band))
+        return texts.map(lambda t: _gram_rows(t, ratio, band))
 
     return grams
 
 
-def _gram_prefix(text: str, ratio: float, band: int) -> list[dict]:
-    """The first of a text's distinct q-grams in hash order, as many as `GRAM` times its edits and one more, with the places of each."""
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    q = min(GRAM, len(codes))
-    h = np.zeros(len(codes) - q + 1, np.uint64)
-    for k in range(q):
-        h = (h ^ codes[k : len(codes) - q + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+def _hashed(codes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all grams of that size."""
+    count = max(0, len(codes) - size + 1)
+    h = np.full(count, size, np.uint64)
+    for k in range(size):
+        h = (h ^ codes[k : count + k]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    distinct = np.unique(h)[: q * edits(len(codes), ratio, band) + 1]
-    rows = np.flatnonzero(np.isin(h, distinct))
-    return [{"gram": g, "at": a} for g, a in zip(h[rows].view(np.int64).tolist(), rows.tolist())]
+    return h
+
+
+def _anchors(codes: np.ndarray) -> np.ndarray:
+    """Places whose three characters hash below those of `REACH` places before and not above those of as many after; so more than `REACH` apart."""
+    h, count = _hashed(codes, 3), len(codes) - ANCHORED + 1
+    if count < 1:
+        return np.zeros(0, np.int64)
+    padded = np.concatenate([np.full(REACH, ~np.uint64(0)), h])
+    lowest = np.ones(count, bool)
+    for k in range(1, REACH + 1):
+        lowest &= (h[:count] < padded[REACH - k : REACH - k + count]) & (h[:count] <= h[k : k + count])
+    return np.flatnonzero(lowest)
+
+
+def _first_grams(h: np.ndarray, places: np.ndarray, count: int) -> list[tuple[int, int, int]]:
+    """The first `count` distinct hashes with their first and last places."""
+    first, inverse = np.unique(h, return_inverse=True)
+    near = inverse < count
+    low, high = np.full(min(count, len(first)), len(h) and places.max() + 1), np.zeros(min(count, len(first)), np.int64)
+    np.minimum.at(low, inverse[near], places[near])
+    np.maximum.at(high, inverse[near], places[near])
+    return list(zip(first[:count].tolist(), low.tolist(), high.tolist()))
+
+
+def _gram_prefix(text: str, ratio: float, band: int) -> list[tuple[int, int, int]]:
+    """(hash, first place, last place) of the grams of a text by which it meets its near duplicates."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    most = edits(len(codes), ratio, band)
+    if not most:
+        return []
+    places = _anchors(codes)
+    out = _first_grams(_hashed(codes, ANCHORED)[places], places, 3 * most + 1) if len(places) else []
+    if len(places) <= 3 * most:
+        h = _hashed(codes, min(GRAM, len(codes)))
+        out += _first_grams(h, np.arange(len(h)), min(GRAM, len(codes)) * most + 1)
+    return out
+
+
+def _gram_rows(text: str, ratio: float, band: int) -> list[dict]:
+    """Rows of a text: gram with range of lengths; length and first place; distance of the last place, twice, and 1 more in the range below its own."""
+    n, wide = len(text), 2 * max(1, band)
+    own, below = n // wide, (n - min(band, math.floor(2 * n * (1 - ratio) + 1e-9))) // wide
+    mixed = lambda g, r: ((g ^ (r + 1) * 0x94D049BB133111EB) * 0xBF58476D1CE4E5B9 + (1 << 63)) % (1 << 64) - (1 << 63)
+    found = _gram_prefix(text, ratio, band)
+    return [{"gram": mixed(g, r), "at": n << 32 | low, "more": 2 * (high - low) + (r < own)} for r in range(max(0, below), own + 1) for g, low, high in found]
 
 
 def edits(n: int, ratio: float, band: int) -> int:
     """Insertions and deletions at most between a text of n characters and one up to `band` longer, of at least that ratio."""
-    return math.floor((1 - ratio) * (2 * n + band) + 1e-9)
+    return math.floor(min((1 - ratio) * (2 * n + band), (1 - ratio) * 2 * n / ratio) + 1e-9)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ratio: float = rules.NEAR_DUPLICATE_RATIO, band: int = rules.NEAR_DUPLICATE_LENGTHS) -> DataFrame:
     """Pairs of different texts (left < right by canonical text's smallest key) whose lengths differ by at most `band` and whose ratio is high enough.
 
-    Copies are collapsed first. A ratio r leaves D = (1 - r) (n + m) insertions and deletions at most, and each takes at most
-    q of the texts' q-grams; so of the first q D + 1 distinct ones of either text in hash order, one is in
-    both, at places at most D apart: no pair is lost. Texts meet by gram and by range of length.
+    Copies are collapsed first. A ratio r leaves D = (1 - r) (n + m) insertions and deletions at most. Anchors and their grams depend on
+    15 characters and lie 5 apart, so each edit takes or makes at most three; of the first 3 D + 1 distinct anchored
+    grams of either text in hash order, one is in both, at places at most D apart, if either has more than 3 D anchors. Texts with
+    fewer also meet on the first 8 D + 1 of all their grams of eight. No pair is lost. Texts meet by gram and range of length,
+    in rows that are shuffled once for both sides of the join; texts move once, by a hash of key and text.
     """
-    own = docs.select(key, T.canonical(F.col(text)).alias("_text")).where(F.col("_text") != "")
-    own = own.groupBy("_text").agg(F.min(key).alias(key)).withColumn("_n", F.char_length("_text"))
-    wide = max(1, band)
-    keyed = own.withColumn("_g", once(_grams_udf(ratio, band)("_text"))).select(key, "_n", F.explode("_g").alias("_g")).select(key, "_n", "_g.gram", "_g.at")
-    a = keyed.select("gram", F.floor(F.col("_n") / wide).alias("range"), F.col(key).alias("x"), F.col("_n").alias("n"), F.col("at").alias("i"))
-    b = keyed.select("gram", F.explode(F.array(F.floor(F.col("_n") / wide), F.floor(F.col("_n") / wide) - 1)).alias("range"), F.col(key).alias("y"), F.col("_n").alias("m"), F.col("at").alias("j"))
-    apart = (1 - ratio) * (F.col("n") + F.col("m")) + 1e-9
-    # of one range each pair comes twice, of neighbouring ranges once
-    one = (F.floor(F.col("m") / wide) > F.col("range")) | (F.col("x") < F.col("y"))
-    close = (F.col("x") != F.col("y")) & one & (F.abs(F.col("n") - F.col("m")) <= band) & (F.abs(F.col("n") - F.col("m")) <= apart) & (F.abs(F.col("i") - F.col("j")) <= apart)
-    pairs = a.join(b, ["gram", "range"]).where(close).select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right")).distinct()
-    texts = lambda side: own.select(F.col(key).alias(side), F.col("_text").alias(f"{side}_text"))
-    both = pairs.join(texts("left"), "left").join(texts("right"), "right")
-    return both.withColumn("ratio", once(matcher_ratio_from("left_text", "right_text", F.lit(ratio)))).where(F.col("ratio") >= ratio).select("left", "right", "ratio")
+    own = docs.select(F.col(key).alias("_k"), T.canonical(F.col(text)).alias("_text")).where((F.col("_text") != "") & F.col("_k").isNotNull())
+    own = own.withColumn("_md5", F.md5("_text"))
+    named = lambda k: F.xxhash64(k, "_md5").alias("_x")
+    kept = own.groupBy("_md5").agg(F.min("_k").alias("_k")).select(named("_k"))
+    own = own.select(named("_k"), "_k", "_text").join(kept, "_x", "left_semi").distinct()
+    keyed = own.select("_x", F.explode(_grams_udf(ratio, band)("_text")).alias("_g")).select("_g.gram", "_x", "_g.at", "_g.more").repartition("gram")
+    a, b = (keyed.select("gram", F.col("_x").alias(x), F.col("at").alias(f"at_{x}"), F.col("more").alias(f"more_{x}")) for x in ("x", "y"))
+    n, m = F.shiftright("at_x", 32), F.shiftright("at_y", 32)
+    low, other_low = (F.col(c).bitwiseAND(F.lit((1 << 32) - 1)) for c in ("at_x", "at_y"))
+    high, other_high = low + F.shiftright("more_x", 1), other_low + F.shiftright("more_y", 1)
+    apart = (1 - ratio) * (n + m) + 1e-9
+    # two texts of one range meet once by their names, others where the shorter is in its own range
+    sides = 2 * F.col("more_x").bitwiseAND(F.lit(1)) + F.col("more_y").bitwiseAND(F.lit(1))
+    once_a_pair = ((sides == 0) & (F.col("x") < F.col("y"))) | ((sides == 1) & (n < m))
+    close = (F.col("x") != F.col("y")) & once_a_pair & (F.abs(n - m) <= band) & (F.abs(n - m) <= apart) & (low - other_high <= apart) & (other_low - high <= apart)
+    pairs = a.join(b, "gram").where(close).select("x", "y").distinct()
+    texts = lambda side: own.select(F.col("_x").alias(side), F.col("_k").alias(f"key_{side}"), F.col("_text").alias(f"text_{side}"))
+    both = pairs.join(texts("x"), "x").join(texts("y"), "y").where("key_x <> key_y")
+    turned = F.col("key_x") < F.col("key_y")
+    in_order = lambda c: (F.when(turned, F.col(f"{c}_x")).otherwise(F.col(f"{c}_y")), F.when(turned, F.col(f"{c}_y")).otherwise(F.col(f"{c}_x")))
+    (left, right), (left_text, right_text) = in_order("key"), in_order("text")
+    out = both.select(left.alias("left"), right.alias("right"), once(matcher_ratio_from(left_text, right_text, F.lit(ratio))).alias("ratio"))
+    return out.where(F.col("ratio") >= ratio)
 
 
 def image_matches(left: Column, right: Column) -> Column:

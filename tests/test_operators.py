@@ -280,6 +280,33 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == want and len(got) > 5
 
 
+def test_edited_texts_meet_on_few_grams():
+    """Ordinary texts have at most three grams an edit and one more; edited texts share one at near places, texts with few anchors too."""
+    rng = random.Random(11)
+    for letters in ("abcdefghijklmnopqrst", "abc", "ab", "a", "中文字符没有空格的很长句子"):
+        for size in (110, 300, 900, 4000):
+            base = "".join(rng.choice(letters) for _ in range(size))
+            if size == 900:
+                base = base[:6] * 150
+            for _ in range(6):
+                other, left = list(base), int(0.005 * 2 * size)
+                while left:
+                    at = rng.choice([0, len(other), rng.randrange(len(other) + 1)])
+                    if rng.random() < 0.5 and at < len(other):
+                        del other[at]
+                    else:
+                        other.insert(at, rng.choice(letters))
+                    left -= 1
+                other = "".join(other)
+                apart = 0.005 * (len(base) + len(other)) + 1e-9
+                if abs(len(base) - len(other)) > apart or 2 * matching._common_subsequence(base, other) < 0.995 * (len(base) + len(other)):
+                    continue
+                a, b = ({g: (i, j) for g, i, j in matching._gram_prefix(t, 0.995, 64)} for t in (base, other))
+                assert any(a[g][0] - b[g][1] <= apart and b[g][0] - a[g][1] <= apart for g in a.keys() & b.keys())
+                if len(letters) == 20 and size != 900:
+                    assert len(a) <= 3 * matching.edits(size, 0.995, 64) + 1
+
+
 def test_resolve_weighs_tokens_and_characters(spark):
     """A title with all tokens in another order is like in tokens but not in characters; a close second takes the margin."""
     works = spark.createDataFrame([("10.1/a", "gamma beta alpha of deep rivers", None, None), ("10.1/b", "slow rivers carry sand", None, None), ("10.1/c", "slow rivers carry sands", None, None), ("10.1/d", "unique words about quiet lakes", None, None)], "doi string, title string, landing_url string, publisher string")
