@@ -141,7 +141,7 @@ def confident(ranked: DataFrame, score: str = "score") -> DataFrame:
 
 @functools.cache
 def _grams_udf(ratio: float, band: int):
-    @F.pandas_udf("array<struct<gram:long,at:long,more:int>>")
+    @F.pandas_udf("array<struct<gram:long,at:long,more:int,letters:long>>")
     def grams(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: _gram_rows(t, ratio, band))
 
@@ -194,13 +194,26 @@ def _gram_prefix(text: str, ratio: float, band: int) -> list[tuple[int, int, int
     return out
 
 
+def _letter_counts(text: str) -> int:
+    """Characters by their code modulo 8, the last eight bits of each count."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return int(np.bincount(codes % 8, minlength=8).astype(np.uint8).view("<i8")[0])
+
+
+def _letter_edits(left: str, right: str) -> Column:
+    """Insertions and deletions at least between texts of these counts."""
+    byte = lambda c, k: F.shiftright(c, 8 * k).bitwiseAND(F.lit(255))
+    apart = [F.abs(byte(left, k) - byte(right, k)) for k in range(8)]
+    return functools.reduce(Column.__add__, [F.least(d, 256 - d) for d in apart])
+
+
 def _gram_rows(text: str, ratio: float, band: int) -> list[dict]:
-    """Rows of a text: gram with range of lengths; length and first place; distance of the last place, twice, and 1 more in the range below its own."""
+    """Rows of a text: gram with range of lengths; length and first place; distance of the last place, twice, and 1 more in the range below its own; counts."""
     n, wide = len(text), 2 * max(1, band)
     own, below = n // wide, (n - min(band, math.floor(2 * n * (1 - ratio) + 1e-9))) // wide
     mixed = lambda g, r: ((g ^ (r + 1) * 0x94D049BB133111EB) * 0xBF58476D1CE4E5B9 + (1 << 63)) % (1 << 64) - (1 << 63)
-    found = _gram_prefix(text, ratio, band)
-    return [{"gram": mixed(g, r), "at": n << 32 | low, "more": 2 * (high - low) + (r < own)} for r in range(max(0, below), own + 1) for g, low, high in found]
+    found, letters = _gram_prefix(text, ratio, band), _letter_counts(text)
+    return [{"gram": mixed(g, r), "at": n << 32 | low, "more": 2 * (high - low) + (r < own), "letters": letters} for r in range(max(0, below), own + 1) for g, low, high in found]
 
 
 def edits(n: int, ratio: float, band: int) -> int:
@@ -215,15 +228,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     15 characters and lie 5 apart, so each edit takes or makes at most three; of the first 3 D + 1 distinct anchored
     grams of either text in hash order, one is in both, at places at most D apart, if either has more than 3 D anchors. Texts with
     fewer also meet on the first 8 D + 1 of all their grams of eight. No pair is lost. Texts meet by gram and range of length,
-    in rows that are shuffled once for both sides of the join; texts move once, by a hash of key and text.
+    in rows that are shuffled once for both sides of the join, and only if their counts of letters differ by D at most;
+    texts move once, by a hash of key and text, and again for the few pairs that are left.
     """
     own = docs.select(F.col(key).alias("_k"), T.canonical(F.col(text)).alias("_text")).where((F.col("_text") != "") & F.col("_k").isNotNull())
     own = own.withColumn("_md5", F.md5("_text"))
     named = lambda k: F.xxhash64(k, "_md5").alias("_x")
     kept = own.groupBy("_md5").agg(F.min("_k").alias("_k")).select(named("_k"))
     own = own.select(named("_k"), "_k", "_text").join(kept, "_x", "left_semi").distinct()
-    keyed = own.select("_x", F.explode(_grams_udf(ratio, band)("_text")).alias("_g")).select("_g.gram", "_x", "_g.at", "_g.more").repartition("gram")
-    a, b = (keyed.select("gram", F.col("_x").alias(x), F.col("at").alias(f"at_{x}"), F.col("more").alias(f"more_{x}")) for x in ("x", "y"))
+    keyed = own.select("_x", F.explode(_grams_udf(ratio, band)("_text")).alias("_g")).select("_g.gram", "_x", "_g.at", "_g.more", "_g.letters").repartition("gram")
+    a, b = (keyed.select("gram", F.col("_x").alias(x), F.col("at").alias(f"at_{x}"), F.col("more").alias(f"more_{x}"), F.col("letters").alias(f"letters_{x}")) for x in ("x", "y"))
     n, m = F.shiftright("at_x", 32), F.shiftright("at_y", 32)
     low, other_low = (F.col(c).bitwiseAND(F.lit((1 << 32) - 1)) for c in ("at_x", "at_y"))
     high, other_high = low + F.shiftright("more_x", 1), other_low + F.shiftright("more_y", 1)
@@ -231,7 +245,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     # two texts of one range meet once by their names, others where the shorter is in its own range
     sides = 2 * F.col("more_x").bitwiseAND(F.lit(1)) + F.col("more_y").bitwiseAND(F.lit(1))
     once_a_pair = ((sides == 0) & (F.col("x") < F.col("y"))) | ((sides == 1) & (n < m))
-    close = (F.col("x") != F.col("y")) & once_a_pair & (F.abs(n - m) <= band) & (F.abs(n - m) <= apart) & (low - other_high <= apart) & (other_low - high <= apart)
+    close = (F.col("x") != F.col("y")) & once_a_pair & (F.abs(n - m) <= band) & (F.abs(n - m) <= apart) & (low - other_high <= apart) & (other_low - high <= apart) & (_letter_edits("letters_x", "letters_y") <= apart)
     pairs = a.join(b, "gram").where(close).select("x", "y").distinct()
     texts = lambda side: own.select(F.col("_x").alias(side), F.col("_k").alias(f"key_{side}"), F.col("_text").alias(f"text_{side}"))
     both = pairs.join(texts("x"), "x").join(texts("y"), "y").where("key_x <> key_y")

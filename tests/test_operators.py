@@ -307,6 +307,20 @@ def test_edited_texts_meet_on_few_grams():
                     assert len(a) <= 3 * matching.edits(size, 0.995, 64) + 1
 
 
+def test_counts_of_letters_never_exceed_the_edits(spark):
+    rng = random.Random(12)
+    pairs = []
+    for size in (0, 3, 200, 5000):
+        base = "".join(rng.choice("aaaabcdefgh中é") for _ in range(size))
+        for count in (0, 1, 40, 700):
+            other = list(base)
+            for _ in range(count):
+                other.insert(rng.randrange(len(other) + 1), rng.choice("aab"))
+            pairs += [(matching._letter_counts(base), matching._letter_counts("".join(other)), count), (matching._letter_counts("".join(other)), matching._letter_counts(base), count)]
+    rows = spark.createDataFrame(pairs, "l long, r long, edits long").select("edits", matching._letter_edits("l", "r").alias("least")).collect()
+    assert all(0 <= r.least <= r.edits for r in rows) and all(r.least == r.edits for r in rows if r.edits <= 40)
+
+
 def test_resolve_weighs_tokens_and_characters(spark):
     """A title with all tokens in another order is like in tokens but not in characters; a close second takes the margin."""
     works = spark.createDataFrame([("10.1/a", "gamma beta alpha of deep rivers", None, None), ("10.1/b", "slow rivers carry sand", None, None), ("10.1/c", "slow rivers carry sands", None, None), ("10.1/d", "unique words about quiet lakes", None, None)], "doi string, title string, landing_url string, publisher string")
